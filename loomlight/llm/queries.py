@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, piece_codec, quality_classifier, quality_rules, token_counts, winnow
+from . import chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, token_counts, winnow
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
@@ -43,7 +47,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scan, op2_piece_codec, op3_winnow, op5_quality_rules, op6_quality_classifier, op8_token_counts, op10_chat_format]
+    found = [op1_license_scan, op2_piece_codec, op3_winnow, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
