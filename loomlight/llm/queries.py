@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, token_counts, winnow
+from . import bin_packing, chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, secret_scan, token_counts, winnow
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_report(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 #: Control strings as texts: conversation -7 of op10.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -47,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_license_scan, op2_piece_codec, op3_winnow, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op10_chat_format]
+    found = [op1_license_scan, op2_piece_codec, op3_winnow, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op9_bin_packing, op10_chat_format]
     return {f.__name__: f for f in found}
 
 
