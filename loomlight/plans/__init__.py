@@ -1 +1 @@
-"""Plans of the span analytics engine."""
+"""Projections of the driver's tables and the registered queries."""
