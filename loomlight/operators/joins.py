@@ -26,7 +26,7 @@ def orphans(spans: DataFrame) -> DataFrame:
 def rerooted(spans: DataFrame) -> DataFrame:
     """Spans with their parent, or null where that isn't in the same trace."""
     parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("there")).distinct()
-    return spans.join(parents, ["trace_id", "parent_span_id"], "left").withColumn("parent_span_id", F.when("there", F.col("parent_span_id"))).drop("there")
+    return spans.join(parents, ["trace_id", "parent_span_id"], "left").withColumn("parent_span_id", F.when(F.col("there"), F.col("parent_span_id"))).drop("there")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
