@@ -9,11 +9,17 @@ link when 100 * overlap >= percent * union, that is when they share c(a, b) elem
 * Heavy side, larger sets (and light ones that can link with them): inverted lists. Lists of
   single shingles would be scanned in vain for every common phrase, so elements are dealt to
   more parts than two linking sets of a size class can differ in, and a list is kept for
-  each part's content. Linking sets share the whole content of a part (three parts, of which
-  empty ones don't count). Lists are scanned in stars: each member is checked with one
-  leader, in a few rounds with other leaders; then all pairs that stand in one list but in
-  different components are checked. So no link between components is lost, and groups of
-  near copies never turn into all their pairs.
+  each part's content. There are enough parts that linking sets of a class share at least
+  ``Threshold.shared`` lists; so each set leaves all but the last of so many of its longest
+  lists, in one order for all, and linking sets still meet in a list. Lists are scanned in
+  stars: each member is checked with one leader, in a few rounds with other leaders. Lists
+  that still hold several components are then scanned whole, in blocks of at most BLOCK
+  members by BLOCK, and give the pairs of different components that may link. So no link
+  between components is lost, and groups of near copies never turn into all their pairs.
+
+Before texts are fetched, a pair must pass a bound by sketches: elements are dealt to about
+four parts for each difference allowed, a byte stands for each part's content, and each
+byte that differs is a difference at least. A link never fails that bound.
 
 The boundary is the largest size up to which enumerating costs less than the lists of a set
 and the check of a candidate, in rows (see ``boundary``).
@@ -38,7 +44,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, texts_as_bytes
@@ -48,10 +54,13 @@ from .components import components
 CHECK_COST = 32
 #: Sizes of a class are within this ratio.
 CLASS_RATIO = 1.33
-#: Parts beyond the differences; a set with so many empty parts lists those too.
-SPARE = 3
+#: Bits of a list's key that hold its class.
+CLASS_BITS = 6
+LAST_CLASS = (1 << CLASS_BITS) - 1
 #: Rounds of stars before the pairs that are left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Members of a list that one task compares with as many others.
+BLOCK = 1024
 BITMAP_BITS = 22
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -98,10 +107,14 @@ class Threshold:
 
     def _boundary(self) -> int:
         n = 1
-        while sum(comb(n + 1, c) for _, _, c in self.subsets(n + 1)) <= self._differences(n + 1) + SPARE + CHECK_COST:
+        while sum(comb(n + 1, c) for _, _, c in self.subsets(n + 1)) <= self._differences(n + 1) + CHECK_COST:
             n += 1
         return n
 
+    def differences(self, a: int, b: int) -> int:
+        """The most elements in one of two linking sets of these sizes only."""
+        return a + b - 2 * self.overlap(a, b)
+
     def _differences(self, largest: int) -> int:
         """The most elements in one of two linking sets only, of up to ``largest`` elements each."""
         return max(s - 2 * -(-self.percent * s // (100 + self.percent)) for s in range(max(1, 2 * largest - 60), 2 * largest + 1))
@@ -113,14 +126,34 @@ class Threshold:
             out.append(int(out[-1] * CLASS_RATIO) + 1)
         return out
 
-    def lists(self, n: int) -> list[tuple[int, int]]:
-        """(class, number of parts) of the lists that a set of n elements stands in."""
+    def _spare(self, differences: int) -> tuple[int, int]:
+        """Parts beyond the differences, and how many of those that stay equal may be empty."""
+        return 3 + differences // 8, 2 + differences // 16
+
+    def shared(self, k: int) -> int:
+        """The least number of lists of a class that linking sets share."""
+        spare, empty = self._spare(self._differences(self._class_end(k)))
+        return spare - empty
+
+    def _class_end(self, k: int) -> int:
+        starts = self._starts(1 << 12)
+        while len(starts) <= k + 1:
+            starts = self._starts(starts[-1] * 2)
+        return starts[k + 1] - 1
+
+    def lists(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, number of parts, most empty parts that need no list) of the lists that a set of n elements stands in."""
         starts = self._starts(1 << (2 * n).bit_length())
         if n < starts[0]:
             return []
         k = bisect_right(starts, n) - 1
         reach = [k, k + 1] if self.partners(n)[-1] >= starts[k + 1] else [k]
-        return [(c, self._differences(starts[c + 1] - 1) + SPARE) for c in reach]
+        found = []
+        for c in reach:
+            differences = self._differences(starts[c + 1] - 1)
+            spare, empty = self._spare(differences)
+            found.append((c, differences + spare, empty))
+        return found
 
 
 @lru_cache(8)
@@ -141,15 +174,49 @@ def light_keys(s: np.ndarray, t: Threshold) -> tuple[list[int], list[int]]:
 def heavy_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
     """Keys of the contents of parts."""
     out = []
-    for c, parts in t.lists(len(s)):
+    for c, parts, empty in t.lists(len(s)):
         part = (s % np.uint64(parts)).astype(np.int64)
         content, sizes = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
         np.add.at(content, part, mix(s + _C))
         keys = mix(content + mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)) * _A)
-        out.append(keys if (sizes == 0).sum() >= SPARE else keys[sizes > 0])
+        keys = (keys & np.uint64(~LAST_CLASS & 0xFFFFFFFFFFFFFFFF)) | np.uint64(min(c, LAST_CLASS))
+        out.append(keys if (sizes == 0).sum() > empty else keys[sizes > 0])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray, t: Threshold) -> bytes:
+    """A byte for each of a power of two of parts: the exclusive or of a byte of each element."""
+    size = 1 << max(5, (4 * t.differences(len(s), len(s))).bit_length())
+    out = np.zeros(size, np.uint8)
+    np.bitwise_xor.at(out, (s & np.uint64(size - 1)).astype(np.int64), (s >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """The sketch that fewer parts would give."""
+    out = np.frombuffer(x, np.uint8)
+    while len(out) > size:
+        half = len(out) // 2
+        out = out[:half] ^ out[half:]
+    return out
+
+
+def may_link(n: np.ndarray, sketches: list[bytes], i: int, others: np.ndarray, t: Threshold, matrix: np.ndarray | None = None) -> np.ndarray:
+    """Which of the others (places in n) the set at place i may link with, by sizes and sketches."""
+    a, b = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+    fit = 100 * a >= t.percent * b
+    others, a, b = others[fit], a[fit], b[fit]
+    if not len(others):
+        return others
+    most = a + b - 2 * -(-t.percent * (a + b) // (100 + t.percent))
+    if matrix is None:
+        size = min(len(sketches[i]), *(len(sketches[j]) for j in others))
+        own, rest = _folded(sketches[i], size), np.stack([_folded(sketches[j], size) for j in others])
+    else:
+        own, rest = matrix[i], matrix[others]
+    return others[np.count_nonzero(rest != own, axis=1) <= most]
+
+
 def _lists(values: list) -> pa.Array:
     arrays = [np.asarray(v, np.uint64).view(np.int64) for v in values]
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
@@ -157,13 +224,13 @@ def _lists(values: list) -> pa.Array:
 
 
 def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, sig and the keys of the first row of each sig in a task."""
+    """doc_id, n, sig and, of the first row of each sig in a task, keys and sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = threshold(percent), set()
         for batch in batches:
-            n, sigs, heavy, small, large = [], [], [], [], []
+            n, sigs, heavy, small, large, sketches = [], [], [], [], [], []
             for raw in texts_as_bytes(batch.column(1)):
                 s = shingle_set(raw, width)
                 sig = xxhash.xxh3_128_digest(s.tobytes())
@@ -175,9 +242,20 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 small.append(a)
                 large.append(b)
                 heavy.append(heavy_keys(s, t) if new else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), _lists(heavy), _lists(small), _lists(large)], ["doc_id", "n", "sig", "heavy", "small", "large"])
+                sketches.append(sketch(s, t) if new and len(heavy[-1]) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), _lists(heavy), _lists(small), _lists(large), pa.array(sketches, pa.binary())], ["doc_id", "n", "sig", "heavy", "small", "large", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, heavy array<long>, small array<long>, large array<long>, sketch binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, heavy array<long>, small array<long>, large array<long>")
+def _shorter(live: DataFrame, t: Threshold) -> DataFrame:
+    """key, node without each node's longest lists of a class, one fewer than linking sets share."""
+    own = F.col("key").bitwiseAND(F.lit(LAST_CLASS)).cast("int")
+    shared = F.get(F.array(*(F.lit(t.shared(k)) for k in range(LAST_CLASS + 1))), own)
+    lengths = live.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
+    longest = Window.partitionBy("node", "class").orderBy(F.desc("length"), "key")
+    ranked = live.join(lengths, "key").withColumn("class", own).withColumn("at", F.row_number().over(longest)).filter(F.col("at") >= shared)
+    return ranked.select("key", "node")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,6 +296,75 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Dat
     return pairs.join(first, "v").join(second, "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long").distinct()
 
 
+def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sketches let them link."""
+    small_batches(pairs.sparkSession)
+    of = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = threshold(percent)
+        for batch in batches:
+            keep = [
+                bool(len(may_link(np.array([a, b]), [x, y], 0, np.array([1]), t)))
+                for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch")
+    return both.mapInArrow(run, "u long, v long").distinct()
+
+
+def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one list and different components whose sketches let them link.
+
+    placed: key, node, component; lists: key, length of the lists to scan. A long list is cut
+    to blocks, and each two blocks meet in a group of their own.
+    """
+    small_batches(placed.sparkSession)
+    rows = placed.join(lists, "key").join(sketches, "node")
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch")
+
+    def pairs_of(group: list[tuple], t: Threshold) -> list[tuple[int, int]]:
+        i, j = group[0][1], group[0][2]
+        own, node, component, n = (np.array([r[c] for r in group]) for c in (3, 4, 5, 6))
+        if len(np.unique(component)) < 2:
+            return []
+        sketches_ = [r[7] for r in group]
+        size = min(map(len, sketches_))
+        matrix = np.stack([_folded(x, size) for x in sketches_])
+        found = []
+        for a in range(len(group) - 1):
+            others = np.arange(a + 1, len(group))
+            apart = component[others] != component[a]
+            if i != j:
+                apart &= own[others] != own[a]
+            found += [(node[a], node[b]) for b in may_link(n, sketches_, a, others[apart], t, matrix)]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, group = threshold(percent), []
+
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([int(x[c]) for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found += pairs_of(group, t)
+                    group = []
+                group.append(row)
+            if found:
+                yield made(found)
+        if group and (found := pairs_of(group, t)):
+            yield made(found)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -231,47 +378,37 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     links = members.filter("node != other").select(F.col("node").alias("u"), F.col("other").alias("v"))
 
     def lists(column: str) -> DataFrame:
-        keyed = sets.filter(F.col("doc_id").isNotNull()).select(F.explode(column).alias("key"), "doc_id")
-        return keyed
+        return sets.filter(F.col("doc_id").isNotNull()).select(F.explode(column).alias("key"), "doc_id")
 
     # light side: a star to a set of the smaller size of the key
     light = lists("small").withColumn("larger", F.lit(0)).union(lists("large").withColumn("larger", F.lit(1)))
     heads = light.groupBy("key").agg(F.min(F.struct("larger", "doc_id")).alias("head"), F.count("*").alias("m")).filter("m > 1 and head.larger = 0").select("key", F.col("head.doc_id").alias("u"))
     light_links = light.join(heads, "key").filter("doc_id != u").select("u", F.col("doc_id").alias("v")).distinct()
+    at = lambda c: node_of.select(F.col("doc_id").alias(c), F.col("node").alias(f"{c}_node"))
+    light_links = light_links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    links = materialize(links.union(light_links).filter("u != v").distinct())
 
     # heavy side: lists with two members at least, by node
-    heavy = lists("heavy")
-    together = heavy.repartition("key")
+    together = lists("heavy").repartition("key")
     live = together.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
     live = together.join(live, "key", "left_semi").join(node_of, "doc_id").select("key", "node").distinct()
-    live = materialize(live)
-    texts = materialize(_texts_of(named, live.select("node").distinct()))
-
-    def on_nodes(found: DataFrame) -> DataFrame:
-        at = lambda c: node_of.select(F.col("doc_id").alias(c), F.col("node").alias(f"{c}_node"))
-        return found.join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    live = materialize(_shorter(live, threshold(percent)))
+    nodes = live.select("node").distinct()
+    sketches = sets.filter("sketch is not null").join(classes, "sig").groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches.join(nodes, "node", "left_semi").select("node", "n", "sketch"))
+    texts = materialize(_texts_of(named, nodes))
 
-    links = materialize(links.union(on_nodes(light_links)).filter("u != v").distinct())
-    checked = None
     for turn in range(STAR_ROUNDS + 1):
         parts = components(links)
         placed = live.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("u"), F.col("component").alias("u_component"))).alias("head")).filter("low != high")
+        head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("u"), F.col("component").alias("u_component")))
+        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length"), head.alias("head")).filter("low != high")
         if turn < STAR_ROUNDS:
-            pairs = placed.join(split.select("key", "head.u", "head.u_component"), "key").filter("component != u_component").select("u", F.col("node").alias("v"))
+            pairs = placed.join(split.select("key", "head.u", "head.u_component"), "key").filter("component != u_component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+            pairs = _passing(pairs, sketches, percent)
         else:
-            there = placed.join(split.select("key"), "key", "left_semi")
-            pairs = there.select("key", F.col("node").alias("u"), F.col("component").alias("u_component")).join(there.select("key", F.col("node").alias("v"), "component"), "key").filter("u < v and component != u_component").select("u", "v")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = materialize(pairs)
-        if not pairs.take(1):
-            if turn == STAR_ROUNDS:
-                break
-            continue
+            pairs = _across(placed, split.select("key", "length"), sketches, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = materialize(links.union(_linked(pairs, texts, percent, width)).distinct())
-        checked = pairs if checked is None else checked.union(pairs)
     parts = components(links)
     found = sets.select("doc_id", "n").join(node_of, "doc_id", "left").join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
