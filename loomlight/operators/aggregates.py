@@ -8,10 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IS_TOOL = F.col("kind") == "TOOL"
-IS_LLM = F.col("kind") == "LLM"
-IS_ERROR = F.col("status_code") == "ERROR"
-IS_ROOT = F.col("parent_span_id").isNull()
+def is_tool() -> Column:
+    return F.col("kind") == "TOOL"
+
+
+def is_llm() -> Column:
+    return F.col("kind") == "LLM"
+
+
+def is_error() -> Column:
+    return F.col("status_code") == "ERROR"
+
+
+def is_root() -> Column:
+    return F.col("parent_span_id").isNull()
 
 
 def duration_ms() -> Column:
@@ -20,22 +30,22 @@ def duration_ms() -> Column:
 
 def tool_counts(spans: DataFrame) -> DataFrame:
     """Calls and errors of each tool."""
-    return spans.filter(IS_TOOL).groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(IS_ERROR).alias("errors"))
+    return spans.filter(is_tool()).groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(is_error()).alias("errors"))
 
 
 def session_records(spans: DataFrame) -> DataFrame:
     """One wide row for each session: sizes, errors, tokens, cost, time bounds."""
-    known = F.col("cost_usd").isNotNull() & IS_LLM
+    known = F.col("cost_usd").isNotNull() & is_llm()
     rows = spans.groupBy("trace_id").agg(
         F.count("*").alias("spans"),
-        F.count_if(IS_LLM).alias("turns"),
-        F.count_if(IS_TOOL).alias("tool_calls"),
-        F.count_if(IS_TOOL & IS_ERROR).alias("tool_errors"),
-        F.sum(F.when(IS_LLM, F.col("input_tokens"))).alias("input_tokens"),
-        F.sum(F.when(IS_LLM, F.col("output_tokens"))).alias("output_tokens"),
+        F.count_if(is_llm()).alias("turns"),
+        F.count_if(is_tool()).alias("tool_calls"),
+        F.count_if(is_tool() & is_error()).alias("tool_errors"),
+        F.sum(F.when(is_llm(), F.col("input_tokens"))).alias("input_tokens"),
+        F.sum(F.when(is_llm(), F.col("output_tokens"))).alias("output_tokens"),
         F.count_if(known).alias("usd_known"),
-        F.count_if(IS_LLM & F.col("cost_usd").isNull()).alias("usd_unknown"),
-        F.round(F.sum(F.when(IS_LLM, F.col("cost_usd"))), 6).alias("usd"),
+        F.count_if(is_llm() & F.col("cost_usd").isNull()).alias("usd_unknown"),
+        F.round(F.sum(F.when(is_llm(), F.col("cost_usd"))), 6).alias("usd"),
         F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
         F.min("start_us").alias("first_us"),
         F.max(F.greatest("start_us", "end_us")).alias("last_us"),
@@ -71,13 +81,13 @@ def corpus_totals(records: DataFrame) -> DataFrame:
 def tool_use(spans: DataFrame) -> DataFrame:
     """Per run and tool: captured and repeated arguments, errors, errors followed by a later call, latency."""
     later = F.lead(F.lit(1)).over(Window.partitionBy("trace_id", "tool").orderBy("start_us", "ord")).isNotNull()
-    calls = spans.filter(IS_TOOL).withColumn("followed", later)
+    calls = spans.filter(is_tool()).withColumn("followed", later)
     rows = calls.groupBy("trace_id", "tool").agg(
         F.count("*").alias("calls"),
         F.count("args").alias("captured"),
         F.countDistinct("args").alias("different"),
-        F.count_if(IS_ERROR).alias("errors"),
-        F.count_if(IS_ERROR & F.col("followed")).alias("retried"),
+        F.count_if(is_error()).alias("errors"),
+        F.count_if(is_error() & F.col("followed")).alias("retried"),
         F.round(F.sum(duration_ms()), 3).alias("latency_sum_ms"),
     )
     return rows.select("trace_id", "tool", "calls", "captured", (F.col("captured") - F.col("different")).alias("duplicates"), "errors", "retried", "latency_sum_ms")
@@ -100,7 +110,7 @@ def stuck_loops(spans: DataFrame, gap_us: int = 60_000_000, least: int = 3) -> D
 
     Calls that are expected to block are left out, and so are calls without captured arguments.
     """
-    calls = spans.filter(IS_TOOL & F.col("args").isNotNull() & ~F.col("expected_blocking"))
+    calls = spans.filter(is_tool() & F.col("args").isNotNull() & ~F.col("expected_blocking"))
     order = Window.partitionBy("trace_id", "tool", "args").orderBy("start_us", "ord")
     starts = F.coalesce((F.col("start_us") - F.lag("start_us").over(order) > gap_us).cast("int"), F.lit(1))
     marked = calls.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
@@ -117,12 +127,12 @@ def affected_ratio(loops: DataFrame, spans: DataFrame) -> DataFrame:
 
 def failure_clusters(spans: DataFrame) -> DataFrame:
     """Failed runs (an error at the root) by class, with the earliest run as example."""
-    failed = spans.filter(IS_ROOT & IS_ERROR).withColumn("failure_class", F.lit("unknown"))
+    failed = spans.filter(is_root() & is_error()).withColumn("failure_class", F.lit("unknown"))
     return failed.groupBy("failure_class", "status_message").agg(F.countDistinct("trace_id").alias("runs"), F.min_by("trace_id", F.struct("start_us", "trace_id")).alias("example_run"))
 
 
 def run_envelopes(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("trace_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.bool_or(IS_ROOT & IS_ERROR).alias("failed"))
+    return spans.groupBy("trace_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.bool_or(is_root() & is_error()).alias("failed"))
 
 
 def distributions(spans: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -136,8 +146,8 @@ def token_totals(spans: DataFrame) -> DataFrame:
     """Direct usage (model calls) and aggregate usage (containers), kept apart."""
     agent = F.col("kind") == "AGENT"
     return spans.groupBy("trace_id").agg(
-        F.sum(F.when(IS_LLM, F.col("input_tokens"))).alias("direct_input"),
-        F.sum(F.when(IS_LLM, F.col("output_tokens"))).alias("direct_output"),
+        F.sum(F.when(is_llm(), F.col("input_tokens"))).alias("direct_input"),
+        F.sum(F.when(is_llm(), F.col("output_tokens"))).alias("direct_output"),
         F.sum(F.when(agent, F.col("input_tokens"))).alias("aggregate_input"),
         F.sum(F.when(agent, F.col("output_tokens"))).alias("aggregate_output"),
     )
@@ -146,17 +156,17 @@ def token_totals(spans: DataFrame) -> DataFrame:
 def cost_provenance(spans: DataFrame) -> DataFrame:
     """Observed, estimated (tokens but no cost) and uncaptured costs of model calls."""
     seen, tokens = F.col("cost_usd").isNotNull(), F.col("input_tokens").isNotNull()
-    rows = spans.filter(IS_LLM).agg(F.count_if(seen).alias("observed"), F.count_if(~seen & tokens).alias("estimated"), F.count_if(~seen & ~tokens).alias("uncaptured"), F.count("*").alias("records"))
+    rows = spans.filter(is_llm()).agg(F.count_if(seen).alias("observed"), F.count_if(~seen & tokens).alias("estimated"), F.count_if(~seen & ~tokens).alias("uncaptured"), F.count("*").alias("records"))
     return rows.withColumn("known_fraction", F.round(F.try_divide("observed", "records"), 9))
 
 
 def terminal_outcomes(spans: DataFrame) -> DataFrame:
-    return spans.filter(IS_ROOT).groupBy("status_code").agg(F.count("*").alias("runs"))
+    return spans.filter(is_root()).groupBy("status_code").agg(F.count("*").alias("runs"))
 
 
 def models_by_runs(spans: DataFrame) -> DataFrame:
     name = F.concat(F.coalesce("model", F.lit("unknown")), F.lit("@otlp"))
-    return spans.filter(IS_LLM).groupBy(name.alias("model")).agg(F.countDistinct("trace_id").alias("runs"), F.count("*").alias("calls"))
+    return spans.filter(is_llm()).groupBy(name.alias("model")).agg(F.countDistinct("trace_id").alias("runs"), F.count("*").alias("calls"))
 
 
 def spend(rows: DataFrame, key: str) -> DataFrame:
@@ -173,7 +183,7 @@ def span_structure(spans: DataFrame) -> DataFrame:
     """Roots, traces without or with more than one root, and spans whose parent is absent."""
     ids = spans.select(F.col("span_id").alias("parent_span_id")).distinct()
     orphans = spans.filter("parent_span_id is not null").join(ids, "parent_span_id", "left_anti").agg(F.count("*").alias("orphans"))
-    per = spans.groupBy("trace_id").agg(F.count_if(IS_ROOT).alias("roots"), F.count("*").alias("n"))
+    per = spans.groupBy("trace_id").agg(F.count_if(is_root()).alias("roots"), F.count("*").alias("n"))
     totals = per.agg(F.sum("n").alias("spans"), F.sum("roots").alias("rootless"), F.sum(F.greatest(F.col("roots") - 1, F.lit(0))).alias("extra_roots"), F.count_if(F.col("roots") == 0).alias("traces_without_root"))
     return totals.join(orphans, F.lit(True))  # one row each
 
