@@ -49,7 +49,7 @@ ESCAPE = "\\"
 CONTROLS = sorted({x.strip() for before, after, _ in TEMPLATE.values() for x in (before, after)} | set(OTHER), key=lambda x: (-len(x), x))
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _TO_ESCAPE = re.compile("|".join(map(re.escape, [ESCAPE, *CONTROLS])))
-_ESCAPED = re.compile(r"\\([\;])")
+_ESCAPED = re.compile(r"\\([\\;])")
 
 Segment = tuple[str, bool]
 
