@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from loomlight.plans import relation_queries, span_queries  # noqa: F401
+from loomlight.plans import extra_queries, relation_queries, span_queries  # noqa: F401
 from loomlight.plans.registry import ORACLES, QUERIES
 
 
@@ -41,5 +41,5 @@ def test_twin(spark, sf, duck, name):
     assert rows(df.columns, df.collect()) == rows([c[0] for c in twin.description], twin.fetchall())
 
 
-def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLES)
+def test_queries_without_a_twin():
+    assert set(QUERIES) - set(ORACLES) == {"o05_seeded_sample", "o07_distinct_behaviours"}
