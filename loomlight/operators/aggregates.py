@@ -203,7 +203,7 @@ def top_loop_tools(loops: DataFrame, n: int = 3) -> DataFrame:
     """The tools with the most repeated calls of each run."""
     rows = loops.groupBy("trace_id", "tool").agg(F.sum("occurrences").alias("occurrences"))
     best = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("occurrences"), "tool"))
-    return rows.withColumn("rank", best).filter(F.col("rank") <= n)
+    return rows.withColumn("rank", best.cast("long")).filter(F.col("rank") <= n)
 
 
 def divergence(spans: DataFrame) -> DataFrame:

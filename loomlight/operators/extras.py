@@ -69,7 +69,7 @@ def lifecycles(events: DataFrame) -> DataFrame:
         state = F.when(name == "started", "started").when((acc["state"] == "started") & name.isin("completed", "failed", "interrupted"), name).otherwise(acc["state"])
         return F.struct(state.alias("state"), (acc["starts"] + (name == "started").cast("int")).alias("starts"))
 
-    return ordered.select("trace_id", F.aggregate("events", start, step).alias("s")).select("trace_id", "s.state", "s.starts")
+    return ordered.select("trace_id", F.aggregate("events", start, step).alias("s")).select("trace_id", "s.state", F.col("s.starts").cast("long").alias("starts"))
 
 
 def step_constraints(steps: DataFrame, declared: DataFrame) -> DataFrame:

@@ -99,14 +99,14 @@ def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
 def fifo_pairs(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Calls and results of one name joined in the order in which they came."""
     order = Window.partitionBy(*keys).orderBy("ord")
-    left = calls.withColumn("n", F.row_number().over(order)).select(*keys, "n", F.col("span_id").alias("call_id"))
-    right = results.withColumn("n", F.row_number().over(order)).select(*keys, "n", F.col("span_id").alias("result_id"))
+    left = calls.withColumn("n", F.row_number().over(order).cast("long")).select(*keys, "n", F.col("span_id").alias("call_id"))
+    right = results.withColumn("n", F.row_number().over(order).cast("long")).select(*keys, "n", F.col("span_id").alias("result_id"))
     return left.join(right, [*keys, "n"], "left").select(*keys, "n", "call_id", "result_id")
 
 
 def last_per_group(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The n latest rows of each key."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("start_us"), F.desc("ord")))).filter(F.col("rank") <= n)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("start_us"), F.desc("ord"))).cast("long")).filter(F.col("rank") <= n)
 
 
 def model_calls(rows: DataFrame) -> DataFrame:

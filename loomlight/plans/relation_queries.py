@@ -394,7 +394,7 @@ def f16(spark, sf):
 
 @query("f17_paths", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '(/[A-Za-z0-9._-]+){2,}'))[1:64]) AS paths FROM pages")
 def f17(spark, sf):
-    return parquet(spark, sf, "pages").select("page_id", F.size(S.absolute_paths("html")).alias("paths"))
+    return parquet(spark, sf, "pages").select("page_id", F.size(S.absolute_paths("html")).cast("long").alias("paths"))
 
 
 @query("f18_repo_scores", "WITH s AS (SELECT trace_id, cwd, sum(CASE k % 4 WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 50 ELSE 5 END)::BIGINT AS score, min(ord) AS first_seen FROM ev GROUP BY trace_id, cwd) SELECT trace_id, cwd, score FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, first_seen) AS n FROM s) WHERE n = 1")
