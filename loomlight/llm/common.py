@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of small tables.
+PART_ROWS = 100_000
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, written, in about as many partitions as they need, and their number.
+
+    A table of links may have a few rows in each of very many partitions; every later shuffle
+    would write files for each of them.
+    """
+    found = materialize(df)
+    count = found.count()
+    return found.coalesce(max(1, -(-count // PART_ROWS))), count
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of what nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

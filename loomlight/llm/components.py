@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import PART_ROWS, compact, release
 
 
-def _star(links: DataFrame, own: bool) -> DataFrame:
+def _star(links: DataFrame, own: bool, parts: int) -> DataFrame:
     """Joins each u's neighbours to the smallest of them (or of them and u)."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     joined = links.join(least, "u").withColumn("m", F.least("u", "m"))
     moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if not own else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.filter(F.col("u") != F.col("v")).distinct()
+    return moved.filter(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts)
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(links: DataFrame) -> int:
+    """A number that tells whether links have changed."""
+    return links.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,16 +27,18 @@ def components(links: DataFrame) -> DataFrame:
     links: u, v, in any direction. Links never grow in number; each round is written to the
     checkpoint folder, so a lost executor costs a round at most.
     """
-    now = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
+    now, count = compact(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     before = _state(now)
-    while before[0]:
+    while count:
+        parts = max(1, -(-2 * count // PART_ROWS))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, own=False)
+        large = _star(both, own=False, parts=parts)
         # small stars look from the larger end of each link
         turned = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = materialize(_star(turned, own=True))
+        now, count = compact(_star(turned, own=True, parts=parts))
         after = _state(now)
         if after == before:
             break
         before = after
+    release(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,10 +12,11 @@ link when 100 * overlap >= percent * union, that is when they share c(a, b) elem
   each part's content. There are enough parts that linking sets of a class share at least
   ``Threshold.shared`` lists; so each set leaves all but the last of so many of its longest
   lists, in one order for all, and linking sets still meet in a list. Lists are scanned in
-  stars: each member is checked with one leader, in a few rounds with other leaders. Lists
-  that still hold several components are then scanned whole, in blocks of at most BLOCK
-  members by BLOCK, and give the pairs of different components that may link. So no link
-  between components is lost, and groups of near copies never turn into all their pairs.
+  stars: each member is checked with one leader. Lists that still hold several components are
+  then scanned whole, in blocks of at most BLOCK members by BLOCK, and give the pairs of
+  different components that may link, in SHARES: each share is checked and joined before the
+  next is taken. So no link between components is lost, and groups of near copies never turn
+  into all their pairs.
 
 Before texts are fetched, a pair must pass a bound by sketches: elements are dealt to about
 four parts for each difference allowed, a byte stands for each part's content, and each
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts_as_bytes
+from .common import compact, materialize, release, small_batches, texts_as_bytes
 from .components import components
 
 #: Cost of checking a candidate (two texts fetched and cut), in rows of a list.
@@ -57,8 +58,11 @@ CLASS_RATIO = 1.33
 #: Bits of a list's key that hold its class.
 CLASS_BITS = 6
 LAST_CLASS = (1 << CLASS_BITS) - 1
-#: Rounds of stars before the pairs that are left.
-STAR_ROUNDS = 2
+#: Rounds of stars before lists are scanned whole.
+STAR_ROUNDS = 1
+#: Whole scans take the pairs up to these shares of all, by a hash of the pair. What the first
+#: few pairs join needs no look in the next; the last share is all, so every pair is taken.
+SHARES = (1 / 64, 1 / 8, 1.0)
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
 BITMAP_BITS = 22
@@ -314,8 +318,14 @@ def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one list and different components whose sketches let them link.
+def _pair_share(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each pair, in any order of the two."""
+    low, high = np.minimum(u, v).astype(np.uint64), np.maximum(u, v).astype(np.uint64)
+    return (mix(mix(low * _A + _B) + high * _C) >> np.uint64(11)) / float(1 << 53)
+
+
+def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: int, above: float, upto: float) -> DataFrame:
+    """Pairs (u, v) of one list and different components whose sketches let them link, of the share above ... upto.
 
     placed: key, node, component; lists: key, length of the lists to scan. A long list is cut
     to blocks, and each two blocks meet in a group of their own.
@@ -340,6 +350,8 @@ def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: i
             apart = component[others] != component[a]
             if i != j:
                 apart &= own[others] != own[a]
+            share = _pair_share(node[a], node[others])
+            apart &= (share >= above) & (share < upto)
             found += [(node[a], node[b]) for b in may_link(n, sketches_, a, others[apart], t, matrix)]
         return found
 
@@ -357,7 +369,7 @@ def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: i
                     group = []
                 group.append(row)
             if found:
-                yield made(found)
+                yield made(list(dict.fromkeys(found)))
         if group and (found := pairs_of(group, t)):
             yield made(found)
 
@@ -386,7 +398,7 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     light_links = light.join(heads, "key").filter("doc_id != u").select("u", F.col("doc_id").alias("v")).distinct()
     at = lambda c: node_of.select(F.col("doc_id").alias(c), F.col("node").alias(f"{c}_node"))
     light_links = light_links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    links = materialize(links.union(light_links).filter("u != v").distinct())
+    links, _ = compact(links.union(light_links).filter("u != v").distinct())
 
     # heavy side: lists with two members at least, by node
     together = lists("heavy").repartition("key")
@@ -398,17 +410,28 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     sketches = materialize(sketches.join(nodes, "node", "left_semi").select("node", "n", "sketch"))
     texts = materialize(_texts_of(named, nodes))
 
-    for turn in range(STAR_ROUNDS + 1):
+    def split_lists(turn: int) -> tuple[DataFrame, DataFrame]:
+        """key, node, component of all lists; length and a head of those that hold several components."""
         parts = components(links)
         placed = live.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("u"), F.col("component").alias("u_component")))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length"), head.alias("head")).filter("low != high")
-        if turn < STAR_ROUNDS:
-            pairs = placed.join(split.select("key", "head.u", "head.u_component"), "key").filter("component != u_component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-            pairs = _passing(pairs, sketches, percent)
-        else:
-            pairs = _across(placed, split.select("key", "length"), sketches, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = materialize(links.union(_linked(pairs, texts, percent, width)).distinct())
+        return placed, placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length"), head.alias("head")).filter("low != high")
+
+    for turn in range(STAR_ROUNDS):
+        placed, split = split_lists(turn)
+        pairs = placed.join(split.select("key", "head.u", "head.u_component"), "key").filter("component != u_component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        pairs, _ = compact(_passing(pairs, sketches, percent))
+        links, _ = compact(links.union(_linked(pairs, texts, percent, width)).distinct())
+        release(docs.sparkSession)
+    above = 0.0
+    for upto in SHARES:
+        placed, split = split_lists(-1)
+        pairs = _across(placed, split.select("key", "length"), sketches, percent, above, upto if upto < 1 else 2.0)
+        pairs, count = compact(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if count:
+            links, _ = compact(links.union(_linked(pairs, texts, percent, width)).distinct())
+        above = upto
+        release(docs.sparkSession)
     parts = components(links)
     found = sets.select("doc_id", "n").join(node_of, "doc_id", "left").join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
