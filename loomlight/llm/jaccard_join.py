@@ -405,6 +405,8 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     live = together.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
     live = together.join(live, "key", "left_semi").join(node_of, "doc_id").select("key", "node").distinct()
     live = materialize(_shorter(live, threshold(percent)))
+    del together  # with it go the shuffles of all lists
+    release(docs.sparkSession)
     nodes = live.select("node").distinct()
     sketches = sets.filter("sketch is not null").join(classes, "sig").groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = materialize(sketches.join(nodes, "node", "left_semi").select("node", "n", "sketch"))
