@@ -1,19 +1,22 @@
-"""Quality rules: counts of a text, and bands of its perplexity under an n-gram model of its language.
+"""Quality rules: counts of a text, and bands of its perplexity under n-gram models of its language.
 
 Base rules: a text fails with fewer than MIN_WORDS words, or if over MAX_REPEATED percent of
 its words stand in three-word windows that come twice or more.
 
-The model is a modified Kneser-Ney model of ORDER symbols. Symbols are 64 classes of
-characters (letters without accents, by case; digits; kinds of marks), so a language has at
-most 64**3 n-grams. Languages of LANGUAGES have a model each, any other or null lang shares
-one. Spark counts the n-grams of all rows, aggregated in each task before the shuffle; the
-counts, at most len(GROUPS) * 64**3 numbers whatever the corpus, are smoothed on the driver
-and broadcast as sorted hash arrays, which scoring searches.
-
-Bands: of each language's documents that pass the base rules, the median log perplexity per
-symbol, less and plus SPREAD times the distance to the quartiles on that side (at least
-LEAST). Documents outside are rejected; a text without a symbol has perplexity null and
-fails by its words.
+Two modified Kneser-Ney models, counted over all rows. That of words (word_model) grows with
+the corpus: it is cut to parts, and perplexity is its perplexity per word. It spells words
+that no other row has by the model of ORDER symbols. Symbols are 64 classes of characters
+(letters without accents, by case; digits; kinds of marks), so a language has at most 64**3
+n-grams, which are smoothed on the driver and broadcast as sorted hash arrays. Languages of
+LANGUAGES have models each, any other or null lang shares one. Letters outside Latin have
+four symbols only: there the words tell text from noise, and spelling counts the characters
+of a class.
+
+Bands: of each language's documents that pass the base rules, the median of a log perplexity
+less and plus SPREAD times the distance to the quartiles on that side (at least LEAST).
+Documents outside are rejected: above the band of words, or on either side of that of
+symbols. Words have no lower bound, as copies of a document in other rows make it likely,
+and copies are no junk. A text without a word has perplexity null and fails by its words.
 
 Null text: empty. Repeated rows are counted and scored each. An empty table gives an empty
 result. Other columns pass through score(); the rules add only names of their own.
@@ -30,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from . import word_model
 from .common import materialize, small_batches
 
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -266,41 +271,74 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-_ADDED = StructType([StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("language_group", IntegerType()), StructField("log_perplexity", DoubleType())])
+_ADDED = StructType([StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("language_group", IntegerType()), StructField("log_perplexity", DoubleType()), StructField("symbol_perplexity", DoubleType())])
+
+
+@lru_cache(1)
+def _class_logs() -> np.ndarray:
+    """Log of the number of characters of each class of marks or of letters outside Latin; 0 of others."""
+    out = np.zeros(CLASSES)
+    found, n = np.unique(_classes()[:0x10000], return_counts=True)
+    out[found] = np.log(n)
+    out[:58] = 0
+    return out
+
+
+def spelling(model: KneserNey, words: list[str], group: int) -> np.ndarray:
+    """Log probability of each word's characters and the blank behind it."""
+    out = []
+    for start in range(0, len(words), 50_000):
+        part = [w + " " for w in words[start : start + 50_000]]
+        line = [symbols(w) for w in part]
+        sizes = np.array([len(x) for x in line])
+        marks = np.bincount(np.repeat(np.arange(len(part)), sizes), _class_logs()[np.concatenate(line)], len(part))
+        out.append(-model.log_perplexities(part, np.full(len(part), group)) * sizes - marks)
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def score(docs: DataFrame, model: KneserNey, keep_text: bool = True) -> DataFrame:
-    """The columns of docs, then the counts, base_failed, language_group and log_perplexity."""
+    """The columns of docs, then the counts, base_failed, language_group, log_perplexity (of words) and symbol_perplexity (its log too)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if keep_text or c != "text"]
-    work = docs.select(*kept, F.col("text").cast("string").alias("__text"), language_group(F.col("lang")).alias("__group"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, groups = [x or "" for x in batch.column(len(kept)).to_pylist()], batch.column(len(kept) + 1).to_numpy()
-            counts = [base_counts(t.encode()) for t in texts]
-            columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
-            failed = [n < MIN_WORDS or 100 * again > MAX_REPEATED * n for n, _, _, _, again in counts]
-            logs = np.concatenate([shared.value.log_perplexities(texts[s], groups[s]) for s in _runs(texts)])
-            added = [pa.array(failed, pa.bool_()), pa.array(groups, pa.int32()), pa.array(logs, pa.float64(), mask=np.isnan(logs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns, *added], [*kept, *_ADDED.names])
-
-    return work.mapInArrow(run, StructType([*(docs.schema[c] for c in kept), *_ADDED.fields]))
+    rows, chars = word_model.dealt(docs, language_group(F.col("lang")))
+    answers, stats = word_model.answers(rows, chars)
+    parts = word_model.parts_of(chars)
+    work = rows.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "language_group", "run")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column("__text").to_pylist()
+        if not texts:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        group = left.column("language_group")[0].as_py()
+        groups = np.full(len(texts), group)
+        counts = [base_counts(t.encode()) for t in texts]
+        columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+        failed = [n < MIN_WORDS or 100 * again > MAX_REPEATED * n for n, _, _, _, again in counts]
+        of_symbols = np.concatenate([shared.value.log_perplexities(texts[s], groups[s]) for s in _runs(texts)])
+        asked = word_model.Run(texts)
+        logs = word_model.score_run(asked, right, parts[group], stats.get(group), spelling(shared.value, asked.spelled, group))
+        added = [pa.array(failed, pa.bool_()), pa.array(groups, pa.int32()), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (logs, of_symbols))]
+        return pa.Table.from_arrays([*(left.column(c) for c in kept), *columns, *added], names=names)
+
+    schema = StructType([*(docs.schema[c] for c in kept), *_ADDED.fields])
+    names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
+    keys = ("language_group", "run")
+    return work.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """language_group, lower, upper: a row for each of the groups at most."""
-    q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-    rows = scored.filter(~F.col("base_failed")).groupBy("language_group").agg(q.alias("q"))
-    side = lambda a, b: F.greatest(F.col("q")[b] - F.col("q")[a], F.lit(LEAST)) * SPREAD
-    return rows.select("language_group", (F.col("q")[1] - side(0, 1)).alias("lower"), (F.col("q")[1] + side(1, 2)).alias("upper"))
+    """language_group, upper (of words), symbols_lower, symbols_upper: a row for each of the groups at most."""
+    q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+    rows = scored.filter(~F.col("base_failed")).groupBy("language_group").agg(q("log_perplexity").alias("w"), q("symbol_perplexity").alias("s"))
+    end = lambda c, at, sign: F.col(c)[1] + F.greatest(F.abs(F.col(c)[at] - F.col(c)[1]), F.lit(LEAST)) * sign * SPREAD
+    return rows.select("language_group", end("w", 2, 1).alias("upper"), end("s", 0, -1).alias("symbols_lower"), end("s", 2, 1).alias("symbols_upper"))
 
 
 def judge(scored: DataFrame) -> DataFrame:
     """Adds perplexity and kept to what score() gives. The rows are written once: bands come from all of them."""
     rows = materialize(scored)
-    inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
+    inside = (F.col("log_perplexity") <= F.col("upper")) & F.col("symbol_perplexity").between(F.col("symbols_lower"), F.col("symbols_upper"))
     joined = rows.join(F.broadcast(bands(rows)), "language_group", "left")  # len(GROUPS) rows at most
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).withColumn("perplexity", F.exp("log_perplexity"))
 
