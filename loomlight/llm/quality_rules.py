@@ -45,7 +45,7 @@ CLASSES = 1 << BITS
 #: Languages with a model of their own; the last group is of all others.
 LANGUAGES = ("ar", "cs", "de", "en", "es", "fr", "hi", "it", "ja", "ko", "nl", "pl", "pt", "ru", "zh")
 GROUPS = (*LANGUAGES, "other")
-SPREAD, LEAST = 10.0, 0.02
+SPREAD, LEAST = 5.0, 0.02
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\f"

@@ -28,6 +28,14 @@ def report(spark, texts, lang="en"):
     return {r.doc_id: r for r in quality_rules.rule_report(rows(spark, texts, lang)).collect()}
 
 
+def test_junk_of_known_words_and_marks_is_rejected(spark):
+    good = [prose(200) for _ in range(80)]
+    salad, marked = R.sample(good[0], len(good[0])), [w + "%%%" for w in prose(200)]
+    found = report(spark, [" ".join(x) for x in [*good, salad, marked]])
+    assert sum(found[i].kept for i in range(80)) >= 79
+    assert not found[80].kept and not found[81].kept and not found[80].base_failed and not found[81].base_failed
+
+
 def test_other_scripts(spark):
     letters = [chr(c) for c in range(0x430, 0x450)]
     vocabulary = ["".join(R.choices(letters, k=R.randint(2, 8))) for _ in range(60)]
