@@ -2,7 +2,11 @@
 
 A text is cut to sentences (at . ! ? ; : before white space, at empty lines, and at a line
 end before a line that begins like a sentence), each is normalised (lower case, letters and
-digits, single spaces), and the known ones become sentence identifiers in order. Ordered
+digits, single spaces), and the known ones become sentence identifiers in order. Known
+sentences that these cuts divide ("...Foundation; either version 2...", lines wrapped before
+a capital) are joined again: neighbours of one paragraph whose words together are a known
+sentence count as that one, the longest first. scan_sql() looks at single pieces only, so the
+two agree on notices that stand on one line. Ordered
 rules are then matched against the identifier sequence: the first that matches names the
 licence, all that match are listed.
 
@@ -81,10 +85,11 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 
-#: Every known sentence has one of these; a sentence without any needs no normalising.
+#: Every known sentence has one of these; a text without any needs no normalising.
 ANCHORS = ["licen", "copyright", "warrant", "redistribut", "permission", "software", "source code", "rights reserved"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CUT = "\x01"
+_CUT, _END = "\x01", "\x02"  # between pieces that may be joined, and between paragraphs
+_EMPTY_LINES = 1  # place in _CUTS
 #: Pattern and replacement, one after the other; the same in Java's and RE2's language but for the group mark.
 _CUTS = [(r"[.!?;:]+([ \t\r\n]+|$)", _CUT), (r"\n[ \t\r]*\n", _CUT), (r"([^,\n])\r?\n[ \t*#/]*([A-Z][a-z])", rf"{{1}}{_CUT}{{2}}")]
 _KNOWN = {s: name for name, all_of in SENTENCES.items() for s in all_of}
@@ -98,18 +103,23 @@ def _rule_pattern(sequence: list[str]) -> str:
     return out
 
 
+#: Known sentences between cuts, the longest first; a cut may stand for any blank.
+_FOUND = f"(?<=[{_CUT}{_END}])(?:" + "|".join(s.replace(" ", f"[ {_CUT}]") for s in sorted(_KNOWN, key=len, reverse=True)) + f")(?=[{_CUT}{_END}])"
+
+
 def identifiers(text: Column) -> Column:
     """The known sentences' identifiers in the order of the text."""
-    cut = F.coalesce(text, F.lit(""))
-    for pattern, by in _CUTS:
-        cut = F.regexp_replace(cut, pattern, by.replace("{1}", "$1").replace("{2}", "$2"))
-    low = F.translate(cut, _UPPER, _LOWER)
-    may_be = lambda s: reduce(Column.__or__, (s.contains(a) for a in ANCHORS))
-    sentences = F.filter(F.split(low, _CUT), may_be)
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = F.filter(plain, lambda s: s.isin(*_KNOWN))
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    may_be = reduce(Column.__or__, (low.contains(a) for a in ANCHORS))
+    cut = text
+    for at, (pattern, by) in enumerate(_CUTS):
+        cut = F.regexp_replace(cut, pattern, by.replace(_CUT, _END if at == _EMPTY_LINES else _CUT).replace("{1}", "$1").replace("{2}", "$2"))
+    plain = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), f"[^a-z0-9{_CUT}{_END}]+", " ")
+    plain = F.regexp_replace(F.concat(F.lit(_CUT), plain, F.lit(_CUT)), f" ?{_CUT}[{_CUT} ]*", _CUT)
+    plain = F.regexp_replace(plain, f" ?{_CUT}?{_END}[{_CUT}{_END} ]*", _END)
     names = F.create_map(*(F.lit(x) for pair in _KNOWN.items() for x in pair))
-    return F.transform(known, lambda s: F.element_at(names, s))
+    known = F.regexp_extract_all(plain, F.lit(_FOUND), F.lit(0))
+    return F.when(may_be, F.transform(known, lambda s: F.element_at(names, F.translate(s, _CUT, " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
