@@ -3,9 +3,10 @@
 Grammar inference: for each labelled kind a prefix tree of its strings is built with counts,
 and statistically compatible states are merged (ALERGIA, with Hoeffding's bound), states
 nearest the root and most used first, a state's own parent before other states. Each
-candidate of a text (a run of credential characters) is scored under every automaton; it is a
-secret if one accepts it with a mean log likelihood per character of at least the least that
-its labelled strings have (less MARGIN), and a length that those have. The labelled strings are made from
+candidate of a text (a run of credential characters, and each stretch of its dotted parts) is
+scored under every automaton; it is a secret if one accepts it with a mean log likelihood per
+character of at least the least that its labelled strings have (less MARGIN). Where a format
+fixes the length, that is the length; else there is a least one only. The labelled strings are made from
 the public formats of FORMATS, PER_FORMAT each with a fixed seed: a bounded sample and the
 only thing that is bounded. Automata are small and go along with the function.
 
@@ -38,7 +39,8 @@ _HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 BASE = ("assign", "access", "hex")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{10,})*")
+_CANDIDATE = re.compile(r"[A-Za-z0-9_.-]{16,}")
+LEAST_CANDIDATE = 16
 
 _DIGIT, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = _DIGIT + _UPPER + _LOWER
@@ -51,9 +53,11 @@ FORMATS: dict[str, list] = {
     "slack_bot_token": ["xoxb-", (_DIGIT, 11, 13), "-", (_DIGIT, 11, 13), "-", (_ALNUM, 24, 24)],
     "stripe_secret_key": ["sk_live_", (_ALNUM, 24, 24)],
     "sendgrid_key": ["SG.", (_ALNUM + "-_", 22, 22), ".", (_ALNUM + "-_", 43, 43)],
-    "json_web_token": ["eyJ", (_ALNUM + "-_", 20, 40), ".eyJ", (_ALNUM + "-_", 40, 80), ".", (_ALNUM + "-_", 43, 43)],
+    "json_web_token": ["eyJ", (_ALNUM + "-_", 15, 160), ".eyJ", (_ALNUM + "-_", 10, 400), ".", (_ALNUM + "-_", 43, 342)],
 }
 PER_FORMAT, ALPHA, SEED = 120, 0.05, 7
+#: A state with so many different characters reads a random part of a format.
+VARIED = 20
 #: How far below the least likely labelled string another of its kind may be.
 MARGIN = 0.3
 
@@ -141,9 +145,9 @@ def infer(strings: list[str], alpha: float = ALPHA) -> _State:
 
 
 class Automaton:
-    """Log probabilities of the merged states, and the bounds that the labelled strings set."""
+    """Log probabilities of the merged states, and the bounds that the labelled strings and the format's lengths set."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA) -> None:
+    def __init__(self, strings: list[str], shortest: int, longest: int, alpha: float = ALPHA) -> None:
         root = infer(strings, alpha)
         number, order = {id(root): 0}, [root]
         for state in order:
@@ -152,8 +156,14 @@ class Automaton:
                     number[id(child)] = len(order)
                     order.append(child)
         self.steps = [{c: (number[id(t)], log(n / s.count)) for c, (t, n) in s.edges.items()} for s in order]
-        self.ends = [log(s.ends / s.count) if s.ends else -inf for s in order]
-        self.shortest, self.longest = min(map(len, strings)), max(map(len, strings))
+        letters = {c for s in strings for c in s} - {"."}
+        for state, step in zip(order, self.steps, strict=True):
+            if len(step) >= VARIED:  # a character not met here goes where most go
+                to = number[id(max(state.edges.values(), key=lambda e: e[1])[0])]
+                step |= {c: (to, -log(state.count + 1)) for c in letters - step.keys()}
+        self.ends = [log(s.ends / s.count) if s.ends else -log(s.count + 1) if len(s.edges) >= VARIED else -inf for s in order]
+        self.shortest, self.longest = shortest, longest if longest == shortest else inf
+        self.dots = max(s.count(".") for s in strings)
         self.least = min(map(self.score, strings)) - MARGIN
 
     def score(self, s: str) -> float:
@@ -177,7 +187,8 @@ def automata() -> dict[str, Automaton]:
     by_kind: dict[str, list[str]] = {}
     for kind, s in labelled():
         by_kind.setdefault(kind, []).append(s)
-    return {kind: Automaton(strings) for kind, strings in by_kind.items()}
+    size = lambda kind, at: sum(len(p) if isinstance(p, str) else p[at] for p in FORMATS[kind])
+    return {kind: Automaton(strings, size(kind, 1), size(kind, 2)) for kind, strings in by_kind.items()}
 
 
 Span = tuple[int, int, str]
@@ -196,12 +207,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 def learned_spans(text: str, models: dict[str, Automaton]) -> list[Span]:
-    """Candidates that an automaton accepts, with the kind of the likeliest."""
+    """Candidates that an automaton accepts, with the kind of the likeliest; of stretches that overlap, the first and longest."""
     found = []
+    most = 1 + max(a.dots for a in models.values())
     for m in _CANDIDATE.finditer(text):
-        scored = [(a.score(m[0]), kind) for kind, a in models.items() if a.accepts(m[0])]
-        if scored:
-            found.append((m.start(), m.end(), max(scored)[1]))
+        parts = m[0].split(".")
+        starts = [m.start()]
+        for x in parts:
+            starts.append(starts[-1] + len(x) + 1)
+        i = 0
+        while i < len(parts):
+            for j in range(min(i + most, len(parts)), i, -1):
+                start, end = starts[i], starts[j] - 1
+                if end - start < LEAST_CANDIDATE:
+                    break
+                s = text[start:end]
+                if scored := [(a.score(s), kind) for kind, a in models.items() if a.accepts(s)]:
+                    found.append((start, end, max(scored)[1]))
+                    i = j - 1
+                    break
+            i += 1
     return found
 
 
