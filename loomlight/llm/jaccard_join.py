@@ -228,18 +228,19 @@ def _lists(values: list) -> pa.Array:
 
 
 def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, sig and, of the first row of each sig in a task, keys and sketch."""
+    """doc_id, n, sig and, of the first row with an id of each sig in a task, keys and sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = threshold(percent), set()
         for batch in batches:
             n, sigs, heavy, small, large, sketches = [], [], [], [], [], []
-            for raw in texts_as_bytes(batch.column(1)):
+            for raw, named in zip(texts_as_bytes(batch.column(1)), batch.column(0).is_valid().to_pylist(), strict=True):
                 s = shingle_set(raw, width)
                 sig = xxhash.xxh3_128_digest(s.tobytes())
-                new = sig not in seen and len(s) > 0
-                seen.add(sig)
+                new = named and sig not in seen and len(s) > 0
+                if named:
+                    seen.add(sig)
                 n.append(len(s))
                 sigs.append(sig)
                 a, b = light_keys(s, t) if new else ([], [])
@@ -384,10 +385,12 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     sets = materialize(_sets(rows, percent, width))
     ids = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "sig")
     classes = ids.groupBy("sig").agg(F.min("doc_id").alias("node"))
-    # a document with several rows has several classes, which it links
-    members = materialize(ids.distinct().join(classes, "sig").groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
-    node_of = members.select("doc_id", "node")
-    links = members.filter("node != other").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    # a document with several rows may have several classes: it links them all, and its keys and sketches are its own
+    members = materialize(ids.distinct().join(classes, "sig").select("doc_id", "node").distinct())
+    per_id = members.groupBy("doc_id").agg(F.count("*").alias("classes"), F.min("node").alias("node"))
+    node_of = materialize(per_id.select("doc_id", F.when(F.col("classes") > 1, F.col("doc_id")).otherwise(F.col("node")).alias("node"), "classes"))
+    several, node_of = node_of.filter("classes > 1").select("doc_id"), node_of.select("doc_id", "node")
+    links = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     def lists(column: str) -> DataFrame:
         return sets.filter(F.col("doc_id").isNotNull()).select(F.explode(column).alias("key"), "doc_id")
@@ -408,7 +411,10 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     del together  # with it go the shuffles of all lists
     release(docs.sparkSession)
     nodes = live.select("node").distinct()
-    sketches = sets.filter("sketch is not null").join(classes, "sig").groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    drawn = sets.filter("sketch is not null").select("doc_id", "sig", "n", "sketch")
+    by_class = drawn.join(classes, "sig").select("node", "sig", "n", "sketch")
+    own = drawn.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "sig", "n", "sketch")
+    sketches = by_class.union(own).groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = materialize(sketches.join(nodes, "node", "left_semi").select("node", "n", "sketch"))
     texts = materialize(_texts_of(named, nodes))
 
