@@ -115,14 +115,34 @@ def withheld_ends(spans: DataFrame) -> DataFrame:
 def label_leaks(texts: DataFrame, labels: DataFrame, words: int = 8) -> DataFrame:
     """Texts that hold a label verbatim, lower-cased with single spaces.
 
-    Labels are found by their first words: every run of so many words of a text that is some
-    label's start is looked up by its hash, then the whole label is checked.
+    The words of a label between its first and last stand whole in every text that holds it,
+    whatever is attached to the ends. So many of them at most are looked up by their hash,
+    then the whole label is checked. Labels of one or two words are checked against every text.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[ \\t\\r\\n\\f]+", " "))
     known = labels.select("item_id", plain("text").alias("label")).filter("label <> ''")
-    known = known.withColumn("head", F.xxhash64(F.array_join(F.slice(F.split("label", " "), 1, words), " ")))
+    known = known.withColumn("w", F.split("label", " ")).withColumn("inner", F.least(F.size("w") - 2, F.lit(words)))
     rows = texts.select("doc_id", plain("text").alias("plain"))
+    short = rows.join(known.filter("inner < 1").select("item_id", "label"), F.col("plain").contains(F.col("label")))
+    known = known.filter("inner > 0").withColumn("head", F.xxhash64(F.array_join(F.slice(F.col("w"), F.lit(2), F.col("inner")), " "))).select("item_id", "label", "head")
+    lengths = sorted(r[0] for r in labels.select(F.least(F.size(F.split(plain("text"), " ")) - 2, F.lit(words)).alias("n")).filter("n > 0").distinct().collect())  # 1 ... words
     tokens = rows.withColumn("w", F.split("plain", " "))
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    heads = F.concat(F.array().cast("array<bigint>"), *map(run, lengths))
     hits = tokens.select("doc_id", "plain", F.explode(F.array_distinct(heads)).alias("head")).join(known, "head")
-    return hits.filter(F.col("plain").contains(F.col("label"))).select("doc_id", "item_id").distinct()
+    found = hits.filter(F.col("plain").contains(F.col("label"))).select("doc_id", "item_id")
+    return found.union(short.select("doc_id", "item_id")).distinct()
+
+
+#: Marks of labels in a trajectory: keys, a labels array, paths of annotations.
+LABEL_MARKS = {
+    "key": r"""(?i)\\?["'](?:incorrect_stages|incorrect_step_ids|unuseful_step_ids|annotation_relpath|incorrect_error_stage_count)\\?["']\s*:""",
+    "array": r"""(?i)\\?["']labels\\?["']\s*:\s*\[[^\]]*\\?["'](?:incorrect|unuseful)\\?["']""",
+    "path": r"(?i)(?:agent_failure_analysis|step_annotations(?:_all)?|merged_cleaned_step\d*)[\\/]",
+}
+
+
+def label_marks(texts: DataFrame) -> DataFrame:
+    """doc_id, mark: texts that show a label's key, array or annotation path."""
+    marks = F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p in LABEL_MARKS.items()))
+    return texts.select("doc_id", F.explode(F.array_compact(marks)).alias("mark"))
