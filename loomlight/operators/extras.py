@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,24 +90,20 @@ def seeded_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def distinct_behaviours(vectors: DataFrame, n: int, block: int = 4096) -> DataFrame:
     """n rows of each label that are far from each other: the first by id, then again and again the farthest from those taken.
 
-    vectors: vec_id, label, embedding. A large label is cut to blocks of rows, each gives n
-    candidates, and the candidates give the answer, so no task holds a whole label.
+    vectors: vec_id, label, embedding. Each of n rounds takes one row a label by a distributed
+    maximum of the least distance to the rows taken before, ties to the smallest id, so no task
+    holds a whole label. block is not used any more.
     """
-
-    def farthest(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", kind="stable").reset_index(drop=True)
-        x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        taken, gap = [0], ((x - x[0]) ** 2).sum(1)
-        while len(taken) < min(n, len(x)):
-            taken.append(int(gap.argmax()))
-            gap = np.minimum(gap, ((x - x[taken[-1]]) ** 2).sum(1))
-        return frame.iloc[taken]
-
-    kinds = vectors.select("vec_id", "label", "embedding").schema
-    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = vectors.select("vec_id", "label", "embedding").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    first = dealt.groupBy("label", "block").applyInPandas(lambda f: farthest(f[["vec_id", "label", "embedding"]]), kinds)
-    return first.groupBy("label").applyInPandas(farthest, kinds).select("vec_id", "label")
+    rows = vectors.select("vec_id", "label", "embedding")
+    taken = rows.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("row")).select("label", F.array("row").alias("taken"))
+    apart = lambda x: F.aggregate(F.zip_with("embedding", x["embedding"], lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, d: s + d)
+    for _ in range(n - 1):
+        left = rows.join(taken, "label").filter(~F.exists("taken", lambda x: x["vec_id"] == F.col("vec_id")))
+        far = left.select("label", "vec_id", "embedding", F.array_min(F.transform("taken", apart)).alias("gap"))
+        best = far.groupBy("label").agg(F.max(F.struct("gap", (-F.col("vec_id")).alias("first"), "embedding")).alias("best"))
+        best = best.select("label", F.array(F.struct((-F.col("best.first")).cast(vectors.schema["vec_id"].dataType).alias("vec_id"), F.col("best.embedding").alias("embedding"))).alias("more"))
+        taken = taken.join(best, "label", "left").select("label", F.concat("taken", F.coalesce("more", F.slice("taken", 1, 0))).alias("taken"))
+    return taken.select("label", F.explode("taken").alias("row")).select("row.vec_id", "label")
 
 
 def deep_values(json_text: Column, key: str, depth: int = 6) -> Column:
