@@ -15,11 +15,11 @@ of a class.
 Bands: of each language's documents that pass the base rules, the median of a log perplexity
 less and plus SPREAD times the distance to the quartiles on that side (at least LEAST).
 Documents outside are rejected: above the band of words, or on either side of that of
-symbols. Words have no lower bound, as copies of a document in other rows make it likely,
+symbols, where a text in several languages counts by the best for each piece of it. Words have no lower bound, as copies of a document in other rows make it likely,
 and copies are no junk. A text without a word has perplexity null and fails by its words.
 
 Null text: empty. Repeated rows are counted and scored each. An empty table gives an empty
-result. Other columns pass through score(); the rules add only names of their own.
+result. Other columns are not read, and keep_good() gives them back under any name.
 """
 
 from __future__ import annotations
@@ -33,11 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import word_model
-from .common import materialize, small_batches
+from .common import small_batches
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 ORDER, BITS = 3, 6
@@ -46,6 +44,8 @@ CLASSES = 1 << BITS
 LANGUAGES = ("ar", "cs", "de", "en", "es", "fr", "hi", "it", "ja", "ko", "nl", "pl", "pt", "ru", "zh")
 GROUPS = (*LANGUAGES, "other")
 SPREAD, LEAST = 5.0, 0.02
+#: Symbols that take the language that suits them best, in texts so far (in logs) over the mean of their own.
+SEGMENT, MIXED = 128, 0.05
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\f"
@@ -157,8 +157,10 @@ class KneserNey:
             contexts, of = np.unique(level >> np.uint64(BITS), return_inverse=True)
             total = np.bincount(of, count, len(contexts))
             weight = np.bincount(of, cut, len(contexts)) / np.maximum(total, 1e-300)
-            below = self._lower((group << np.uint64(BITS * (n - 1))) | (gram & np.uint64((1 << BITS * (n - 1)) - 1)), n - 1)
+            below = self.lower((group << np.uint64(BITS * (n - 1))) | (gram & np.uint64((1 << BITS * (n - 1)) - 1)), n - 1)
             p = (count - cut) / total[of] + weight[of] * below
+            if n == ORDER:
+                self.means = {int(g): float(-(count @ (np.log(p) * (group == g))) / count[group == g].sum()) for g in np.unique(group)}
             self.found.append(SortedTable.of(self._tagged(level, n), p))
             self.weights.append(SortedTable.of(self._tagged(contexts, n), weight))
 
@@ -170,7 +172,7 @@ class KneserNey:
     def _tagged(keys: np.ndarray, n: int) -> np.ndarray:
         return (keys.astype(np.uint64) << np.uint64(4)) | np.uint64(n)
 
-    def _lower(self, keys: np.ndarray, n: int) -> np.ndarray:
+    def lower(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Probability of the last of n symbols after the others."""
         if not n:
             return np.full(len(keys), 1 / CLASSES)
@@ -179,7 +181,7 @@ class KneserNey:
         p = self.found[n - 1].get(self._tagged(keys, n), np.nan).astype(np.float64)
         new = np.isnan(p)
         if new.any():
-            p[new] = self.weights[n - 1].get(self._tagged(keys[new] >> np.uint64(BITS), n), 1.0) * self._lower(shorter[new], n - 1)
+            p[new] = self.weights[n - 1].get(self._tagged(keys[new] >> np.uint64(BITS), n), 1.0) * self.lower(shorter[new], n - 1)
         return p
 
     def log_perplexities(self, texts: list[str], groups: np.ndarray) -> np.ndarray:
@@ -191,11 +193,29 @@ class KneserNey:
         both = both[first]
         keys, of = both >> np.uint64(20), (both & np.uint64((1 << 20) - 1)).astype(int)
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        logs = np.repeat(-np.log(self._lower(keys[start], ORDER)), np.diff(np.append(start, len(keys))))
+        logs = np.repeat(-np.log(self.lower(keys[start], ORDER)), np.diff(np.append(start, len(keys))))
         total = np.bincount(of, times * logs, len(texts))
         n = np.bincount(of, times, len(texts))
         return np.divide(total, n, out=np.full(len(texts), np.nan), where=n > 0)
 
+    def mixed_log_perplexities(self, texts: list[str], group: int) -> np.ndarray:
+        """log_perplexities(), but where a text's is over MIXED beyond its group's mean, each SEGMENT symbols take the group that suits them best: texts of several languages are no junk."""
+        out = np.concatenate([self.log_perplexities(texts[s], np.full(len(texts[s]), group)) for s in _runs(texts)])
+        at = np.flatnonzero(out > self.means.get(group, np.inf) + MIXED)
+        far = [texts[i] for i in at]
+        for s in _runs(far):
+            least, sizes = None, np.array([len(t) for t in far[s]])
+            segments = -(-sizes // SEGMENT)
+            start = np.cumsum(segments) - segments
+            for g in self.means:
+                keys, owner = _grams(far[s], np.full(len(sizes), g))
+                found, of = np.unique(keys, return_inverse=True)
+                place = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[owner]
+                sums = np.bincount(start[owner] + place // SEGMENT, -np.log(self.lower(found.astype(np.uint64), ORDER))[of], segments.sum())
+                least = sums if least is None else np.minimum(least, sums)
+            out[at[s]] = np.add.reduceat(least, start) / sizes
+        return out
+
 
 def language_group(lang: Column) -> Column:
     """Place of the row's language in GROUPS."""
@@ -271,7 +291,9 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-_ADDED = StructType([StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("language_group", IntegerType()), StructField("log_perplexity", DoubleType()), StructField("symbol_perplexity", DoubleType())])
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_SCORED = ", ".join(["doc_id long", "digest_a long", "digest_b long", *(f"{c} long" for c in _COUNTS), "base_failed boolean", "language_group int", "log_perplexity double", "symbol_perplexity double"])
+_SCORED_TYPES = [*[pa.int64()] * 8, pa.bool_(), pa.int32(), pa.float64(), pa.float64()]
 
 
 @lru_cache(1)
@@ -287,44 +309,49 @@ def _class_logs() -> np.ndarray:
 def spelling(model: KneserNey, words: list[str], group: int) -> np.ndarray:
     """Log probability of each word's characters and the blank behind it."""
     out = []
-    for start in range(0, len(words), 50_000):
-        part = [w + " " for w in words[start : start + 50_000]]
-        line = [symbols(w) for w in part]
-        sizes = np.array([len(x) for x in line])
-        marks = np.bincount(np.repeat(np.arange(len(part)), sizes), _class_logs()[np.concatenate(line)], len(part))
-        out.append(-model.log_perplexities(part, np.full(len(part), group)) * sizes - marks)
+    for start in range(0, len(words), 200_000):
+        part = words[start : start + 200_000]
+        codes = symbols("".join(["  " + w + " " for w in part]))  # each begins after blanks, as a text does
+        sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        ends = np.cumsum(sizes + ORDER - 1)
+        owner = np.repeat(np.arange(len(part)), sizes)
+        at = np.arange(len(owner)) + (ORDER - 1) * (owner + 1)
+        key = codes[at].astype(np.uint32)
+        for back in range(1, ORDER):
+            key |= codes[at - back] << np.uint32(BITS * back)
+        key |= np.uint32(group << (BITS * ORDER))
+        found, of = np.unique(key, return_inverse=True)
+        logs = np.log(model.lower(found.astype(np.uint64), ORDER))[of] - _class_logs()[codes[at]]
+        assert not len(ends) or ends[-1] == len(codes)
+        out.append(np.bincount(owner, logs, len(part)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def score(docs: DataFrame, model: KneserNey, keep_text: bool = True) -> DataFrame:
-    """The columns of docs, then the counts, base_failed, language_group, log_perplexity (of words) and symbol_perplexity (its log too)."""
-    small_batches(docs.sparkSession)
+def digest(text: Column, group: Column) -> list[Column]:
+    """Two hashes of all that a verdict depends on besides the other rows."""
+    return [F.xxhash64(F.lit(seed), F.coalesce(text.cast("string"), F.lit("")), group) for seed in (1, 2)]
+
+
+def score(docs: DataFrame, model: KneserNey) -> DataFrame:
+    """doc_id, digest_a and digest_b of its text and language, the counts, base_failed, language_group, log_perplexity (of words) and symbol_perplexity (its log too) of every document, written."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if keep_text or c != "text"]
-    rows, chars = word_model.dealt(docs, language_group(F.col("lang")))
-    answers, stats = word_model.answers(rows, chars)
-    parts = word_model.parts_of(chars)
-    work = rows.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), "language_group", "run")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("__text").to_pylist()
-        if not texts:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        group = left.column("language_group")[0].as_py()
-        groups = np.full(len(texts), group)
-        counts = [base_counts(t.encode()) for t in texts]
+    group = language_group(F.col("lang"))
+    a, b = digest(F.col("text"), group)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), a.alias("digest_a"), b.alias("digest_b"), "text", "lang")
+
+    def describe(texts: list[str], words: list[str], number: int) -> tuple[list[pa.Array], np.ndarray]:
+        counts = [base_counts(t.encode("utf-8", "replace")) for t in texts]
         columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
         failed = [n < MIN_WORDS or 100 * again > MAX_REPEATED * n for n, _, _, _, again in counts]
-        of_symbols = np.concatenate([shared.value.log_perplexities(texts[s], groups[s]) for s in _runs(texts)])
-        asked = word_model.Run(texts)
-        logs = word_model.score_run(asked, right, parts[group], stats.get(group), spelling(shared.value, asked.spelled, group))
-        added = [pa.array(failed, pa.bool_()), pa.array(groups, pa.int32()), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (logs, of_symbols))]
-        return pa.Table.from_arrays([*(left.column(c) for c in kept), *columns, *added], names=names)
+        logs = shared.value.mixed_log_perplexities(texts, number)
+        return [*columns, pa.array(failed, pa.bool_()), pa.array(logs, pa.float64(), mask=np.isnan(logs))], spelling(shared.value, words, number)
+
+    def result(columns: list[pa.Array], logs: np.ndarray, number: int) -> list[pa.Array]:
+        return [*columns[:-1], pa.array(np.full(len(logs), number), pa.int32()), pa.array(logs, pa.float64(), mask=np.isnan(logs)), columns[-1]]
 
-    schema = StructType([*(docs.schema[c] for c in kept), *_ADDED.fields])
-    names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
-    keys = ("language_group", "run")
-    return work.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(run, schema)
+    runs, chars = word_model.dealt(rows, group, describe, ("doc_id", "digest_a", "digest_b"))
+    answers, stats = word_model.answers(runs, chars)
+    return word_model.scored(runs, answers, chars, stats, _SCORED, _SCORED_TYPES, result)
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -335,23 +362,27 @@ def bands(scored: DataFrame) -> DataFrame:
     return rows.select("language_group", end("w", 2, 1).alias("upper"), end("s", 0, -1).alias("symbols_lower"), end("s", 2, 1).alias("symbols_upper"))
 
 
-def judge(scored: DataFrame) -> DataFrame:
-    """Adds perplexity and kept to what score() gives. The rows are written once: bands come from all of them."""
-    rows = materialize(scored)
+def judge(rows: DataFrame) -> DataFrame:
+    """Adds perplexity and kept to what score() gives; bands come from all of the rows."""
     inside = (F.col("log_perplexity") <= F.col("upper")) & F.col("symbol_perplexity").between(F.col("symbols_lower"), F.col("symbols_upper"))
     joined = rows.join(F.broadcast(bands(rows)), "language_group", "left")  # len(GROUPS) rows at most
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).withColumn("perplexity", F.exp("log_perplexity"))
 
 
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"]
-
-
 def rule_report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and perplexity of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return judge(score(rows, train(rows), keep_text=False)).select("doc_id", *COLUMNS)
+    return judge(score(docs, train(docs))).select("doc_id", *_COUNTS, "base_failed", "kept", "perplexity")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs."""
-    return judge(score(docs, train(docs))).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of docs, whatever their names.
+
+    A verdict depends on text and language alone, so rows meet it by those (and their id, which
+    deals copies of one text to many tasks).
+    """
+    kept = judge(score(docs, train(docs))).filter("kept")
+    keys = ["digest_a", "digest_b", "id"]
+    kept = kept.select("digest_a", "digest_b", F.coalesce("doc_id", F.lit(-1)).alias("id")).distinct()
+    a, b = digest(F.col("text"), language_group(F.col("lang")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), a.alias("digest_a"), b.alias("digest_b"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
+    return rows.join(kept, keys, "left_semi").select("row.*")

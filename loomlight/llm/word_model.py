@@ -2,34 +2,48 @@
 
 Words are runs between white space in lower case, with closing marks apart; characters of
 scripts written without blanks are words of their own. A word is a hash of 32 bits, a pair
-one of 64. Documents are dealt to runs of one language by hash. Each run asks for its
-distinct pairs and words, as sorted arrays cut to parts by hash; a part merges what all runs
-ask, so it has the counts of the corpus, and answers each run in the run's order. What a
-word begins and ends (counts of its pairs, kinds of words before it) is summed from all
-parts of the pairs. Runs, parts and all tables grow with the corpus; only the counts of
-counts, eight numbers a language, come to the driver.
+one of 64. Each task deals its documents to runs of one language; runs are written once, as
+numbers of words behind a compressed list of hashes, so texts are never shuffled. Each run
+asks for its distinct pairs and words, as sorted arrays cut to parts by hash; a part merges
+what all runs ask, so it has the counts of the corpus, and answers each run in the run's
+order. What a word begins and ends (counts of its pairs, kinds of words before it) is summed
+from all parts of the pairs. Runs, parts and all tables grow with the corpus; only the counts
+of counts, eight numbers a language, come to the driver. Pairs are asked, and runs scored, in
+WAVES, each of which frees its shuffle before the next.
 
 A document is scored by what all other rows say: its own pairs are taken out of every count
 (leaving one out), else each text would have taught the model itself. Unknown words are
 spelled by the model of symbols, with the number of characters of a symbol's class.
+
+A run has a row for each part it asks: with P parts the rows are runs times P, short beyond
+some TB of one language (about 20 pairs a row at 1 TB), where PART_CHARS should be raised
+with the executors' memory.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, small_batches
 
-#: Characters of a run and of a part of the tables.
+#: Characters of a run and of a part of the tables; texts of a run.
 RUN_CHARS, PART_CHARS = 16_000_000, 32_000_000
+RUN_TEXTS = 1 << 16
+#: Shares in which pairs are asked and runs scored.
+WAVES = 3
+#: Parts of pairs for each part of words.
+WORD_SHARE = 8
 PAIRS, WORDS = 0, 1
-_SINGLE = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff])")
+_SINGLE = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff])")
 _CLOSING = re.compile(r"([.,;:!?]+)(?=\s|$)")
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -46,22 +60,49 @@ def word_hash(word: str) -> int:
 
 
 class Run:
-    """The pairs and words of some texts: distinct ones sorted, and the places of each document's."""
+    """The words of some texts by number, commonest first: the hash of each, the numbers in order, the words of each text."""
+
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> None:
+        self.hashes, self.place, self.sizes, self.texts = hashes, place, sizes, len(sizes)
 
-    def __init__(self, texts: list[str]) -> None:
+    @classmethod
+    def of(cls, texts: list[str]) -> tuple[Run, list[str]]:
+        """The run and its words by number."""
         ids: dict[str, int] = {}
         parts = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in texts]
-        self.texts, self.spelled = len(texts), list(ids)
+        place = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         hashes = np.fromiter(map(word_hash, ids), np.uint64, len(ids))
-        sizes = np.array([len(p) for p in parts], np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), sizes)
-        self.place = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        last = hashes[self.place]
+        order = np.lexsort((hashes, -np.bincount(place, minlength=len(ids))))
+        number = np.empty(len(ids), np.int64)
+        number[order] = np.arange(len(ids))
+        spelled = list(ids)
+        return cls(hashes[order], number[place], np.array([len(p) for p in parts], np.int64)), [spelled[i] for i in order]
+
+    @property
+    def words(self) -> np.ndarray:
+        """Sorted hashes, with 0 before them."""
+        return np.unique(np.concatenate([np.zeros(1, np.uint64), self.hashes]))
+
+    def index(self) -> Run:
+        """Adds first, second (places in words) and times of the distinct pairs, and pair, document and times of each pair of each document."""
+        words = self.words
+        last = np.searchsorted(words, self.hashes)[self.place].astype(np.uint64)
         before = np.concatenate([np.zeros(1, np.uint64), last[:-1]])[: len(last)]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        self.last = last
-        self.pairs, self.pair_at, self.pair_times = np.unique((before << _32) | last, return_inverse=True, return_counts=True)
-        self.words = np.unique(np.concatenate([np.zeros(1, np.uint64), hashes]))
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        w, d = np.uint64(len(words).bit_length()), np.uint64(self.texts.bit_length())
+        if 2 * int(w) + int(d) > 64:
+            raise ValueError("too many words and texts for one run")
+        every = np.sort((((before << w) | last) << d) | np.repeat(np.arange(self.texts, dtype=np.uint64), self.sizes))
+        start = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+        self.times = np.diff(np.append(start, len(every)))
+        pairs = every[start] >> d
+        self.doc = (every[start] & ((np.uint64(1) << d) - np.uint64(1))).astype(np.int64)
+        new = np.concatenate([np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]])
+        self.pair_at = np.cumsum(new) - 1
+        self.first, self.second = (pairs[new] >> w).astype(np.int64), (pairs[new] & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
+        self.pairs = (words[self.first] << _32) | words[self.second]
+        self.pair_times = np.bincount(self.pair_at, self.times, len(self.pairs)).astype(np.int64)
+        return self
 
 
 def mixed_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -69,6 +110,14 @@ def mixed_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has keys, and their places in order."""
+    part = mixed_part(keys, parts)
+    order = np.argsort(part, kind="stable")
+    found, start = np.unique(part[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, start[1:]), strict=True) if len(found) else ()
+
+
 def _shrunk(x: np.ndarray) -> bytes:
     """Numbers of 64 bits, bytes of equal weight together, compressed behind their length."""
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -136,83 +185,158 @@ def discounts_from(n: np.ndarray) -> np.ndarray:
 def log_perplexities(run: Run, pair_counts: np.ndarray, sides: np.ndarray, stats: dict, spelling: np.ndarray) -> np.ndarray:
     """Mean negative log probability of each text's words after the others' counts; nan where there are none.
 
-    pair_counts: of run.pairs; sides: columns of word_sides() for run.words, over the corpus;
-    stats: counts of counts of pairs ("pairs") and of kinds before a word ("words"), distinct
-    pairs ("kinds"), words with 1, 2, and 3 or more kinds before them ("by_kind"); spelling:
-    log probability of each of run.spelled.
+    run: after index(); pair_counts: of run.pairs; sides: columns of word_sides() for run.words,
+    over the corpus; stats: counts of counts of pairs ("pairs") and of kinds before a word
+    ("words"), distinct pairs ("kinds"), words with 1, 2, and 3 or more kinds before them
+    ("by_kind"); spelling: log probability of each word by its number.
     """
     if not len(run.place):
         return np.full(run.texts, np.nan)
     d2, d1 = discounts_from(stats["pairs"]), discounts_from(stats["words"])
-    # of each document: distinct pairs and how often it has each
-    code = run.owner.astype(np.int64) * len(run.pairs) + run.pair_at
-    own, at, times = np.unique(code, return_inverse=True, return_counts=True)
-    doc, pair = own // len(run.pairs), own % len(run.pairs)
+    doc, pair, times = run.doc, run.pair_at, run.times
     every = pair_counts[pair]
     rest = every - times  # counts in all other rows
-    first = np.searchsorted(run.words, run.pairs >> _32)[pair]
-    second = np.searchsorted(run.words, run.pairs & _LOW)[pair]
+    first, second = run.first[pair], run.second[pair]
     gone = rest == 0
+    words = run.words
 
-    def of_document(word: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def of_document(word: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
         """Sums of the weights over the document's pairs with the same word."""
-        _, group = np.unique(doc * len(run.words) + word, return_inverse=True)
-        return np.bincount(group, weights)[group]
+        group, found = pd.factorize(word * run.texts + doc)
+        return [np.bincount(group, w, len(found))[group] for w in weights]
 
-    total = sides[0][first] - of_document(first, times)
     shift = d2[np.minimum(every, 3)] - d2[np.minimum(rest, 3)]
-    kept = d2[1] * sides[1][first] + d2[2] * sides[2][first] + d2[3] * sides[3][first] - of_document(first, shift)
-    before = sides[4][second] - of_document(second, gone).astype(np.int64)
+    own, shifted = of_document(first, times, shift)
+    total = sides[0][first] - own
+    kept = (d2[1] * sides[1] + d2[2] * sides[2] + d2[3] * sides[3])[first] - shifted
+    before = sides[4][second] - of_document(second, gone)[0].astype(np.int64)
     all_kinds = stats["kinds"] - np.bincount(doc, gone, run.texts)[doc]
     mass = d1[1:] @ stats["by_kind"]
-    spelled = np.zeros(len(run.words))
-    spelled[np.searchsorted(run.words, np.fromiter(map(word_hash, run.spelled), np.uint64, len(run.spelled)))] = np.exp(spelling)
-    base = np.maximum(spelled[second], 1e-300)
+    spelled = np.zeros(len(words))
+    spelled[np.searchsorted(words, run.hashes)] = np.exp(spelling.astype(np.float64))
+    base = np.maximum(spelled, 1e-300)[second]
     share = np.clip(mass / np.maximum(stats["kinds"], 1), 1e-9, 1)
     one = np.where(all_kinds > 0, np.maximum(before - d1[np.minimum(before, 3)], 0) / np.maximum(all_kinds, 1) + share * base, base)
     p = np.where(total > 0, np.maximum(rest - d2[np.minimum(rest, 3)], 0) / np.maximum(total, 1) + np.clip(kept / np.maximum(total, 1), 0, 1) * one, one)
-    logs = -np.log(np.maximum(p, 1e-300))
-    sums, n = np.bincount(run.owner, logs[at], run.texts), np.bincount(run.owner, minlength=run.texts)
-    return np.divide(sums, n, out=np.full(run.texts, np.nan), where=n > 0)
+    sums = np.bincount(doc, -np.log(np.maximum(p, 1e-300)) * times, run.texts)
+    return np.divide(sums, run.sizes, out=np.full(run.texts, np.nan), where=run.sizes > 0)
 
 
+_RUN = "language_group int, run long, chars long, docs binary, hashes binary, places binary, sizes binary, spelling binary"
+_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 _ROW = "language_group int, run long, kind int, part int, keys binary, numbers binary"
-_NAMES = ["language_group", "run", "kind", "part", "keys", "numbers"]
+_ROW_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 #: Runs that are none: what pairs say of words, and counts of counts.
 _SIDES, _STATS = -1, -2
 
+#: Of texts of one language group and their words by number: columns for the texts, and the log probability of each word's spelling.
+Describe = Callable[[list[str], list[str], int], tuple[list[pa.Array], np.ndarray]]
+
+
+def _batch(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _frame(columns: list[pa.Array]) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def framed(raw: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(raw).read_next_batch().columns
 
-def _table(rows: list[tuple]) -> pa.Table:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_NAMES)
+
+def _nothing(texts: list[str], words: list[str], group: int) -> tuple[list[pa.Array], np.ndarray]:
+    return [], np.zeros(len(words), np.float32)
+
+
+def dealt(docs: DataFrame, group: Column, describe: Describe = _nothing, kept: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
+    """The runs, written, and the characters of each group.
+
+    docs: text and the columns to keep with it. A run's docs are those columns, then what
+    describe() gives.
+    """
+    small_batches(docs.sparkSession)
+    work = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")), group)
+
+    def made(buffer: list, number: int) -> pa.RecordBatch:
+        texts = [t for _, t in buffer]
+        run, words = Run.of(texts)
+        added, spelled = describe(texts, words, number)
+        own = [pa.concat_arrays([x[i] for x, _ in buffer]) for i in range(len(kept))]
+        count = sum(map(len, texts))
+        row = (number, uuid.uuid4().int >> 65, count, _frame([*own, *added]) if own or added else None, packed(run.hashes), numbers(run.place), numbers(run.sizes), _shrunk_floats(spelled))
+        return _batch([row], _RUN, _RUN_TYPES)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        chars: dict[int, int] = {}
+        for batch in batches:
+            texts, groups = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
+            for i, (text, g) in enumerate(zip(texts, groups, strict=True)):
+                if g in held and (len(held[g]) >= RUN_TEXTS or chars[g] + len(text) > RUN_CHARS):
+                    yield made(held.pop(g), g)
+                    chars.pop(g)
+                held.setdefault(g, []).append(([batch.column(c).slice(i, 1) for c in range(len(kept))], text))
+                chars[g] = chars.get(g, 0) + len(text)
+                if sum(chars.values()) > 2 * RUN_CHARS:
+                    longest = max(chars, key=chars.get)
+                    yield made(held.pop(longest), longest)
+                    chars.pop(longest)
+        for g in sorted(held):
+            yield made(held[g], g)
+
+    written = materialize(work.mapInArrow(runs, _RUN))
+    sums = written.groupBy("language_group").agg(F.sum("chars").alias("chars")).collect()  # a row for each group at most
+    return written, {r.language_group: r.chars for r in sums}
+
+
+def _shrunk_floats(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x, np.float32)
+    plain = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _grown_floats(raw: bytes) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(4, -1).T).view(np.float32).reshape(-1)
+
+
+def _run_of(hashes: bytes, places: bytes, sizes: bytes) -> Run:
+    return Run(unpacked(hashes), from_numbers(places), from_numbers(sizes))
 
 
 def parts_of(chars: dict[int, int]) -> dict[int, int]:
+    """Parts of the pairs of each group."""
     return {g: 1 + n // PART_CHARS for g, n in chars.items()}
 
 
-def dealt(docs: DataFrame, group: Column) -> tuple[DataFrame, dict[int, int]]:
-    """docs with language_group and run, and the characters of each group."""
-    rows = docs.withColumn("language_group", group)
-    size = F.sum(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    chars = {r[0]: r[1] for r in rows.groupBy("language_group").agg(size).collect()}  # a row for each group at most
-    runs = F.element_at(F.array(*(F.lit(1 + chars.get(g, 0) // RUN_CHARS) for g in range(max(chars, default=0) + 1))), F.col("language_group") + 1)
-    return rows.withColumn("run", F.pmod(F.xxhash64(*(c for c in docs.columns if c in ("doc_id", "text"))), runs).cast("long")), chars
+def word_parts(parts: int) -> int:
+    return 1 + parts // WORD_SHARE
 
 
-def answers(rows: DataFrame, chars: dict[int, int]) -> tuple[DataFrame, dict[int, dict]]:
+def answers(runs: DataFrame, chars: dict[int, int]) -> tuple[DataFrame, dict[int, dict]]:
     """language_group, run, kind, part, numbers: what the corpus counts for all that each run asks; and the counts of counts by group."""
     parts = parts_of(chars)
-
-    def ask(table: pa.Table) -> pa.Table:
-        run = Run([x or "" for x in table.column("text").to_pylist()])
-        group, number = table.column("language_group")[0].as_py(), table.column("run")[0].as_py()
-        out = []
-        for kind, keys, times in ((PAIRS, run.pairs, run.pair_times), (WORDS, run.words, None)):
-            place = mixed_part(keys, parts[group])
-            for part in np.unique(place):
-                out.append((group, number, kind, int(part), packed(keys[place == part]), None if times is None else numbers(times[place == part])))
-        return _table(out)
+    told = runs.select("language_group", "run", "hashes", "places", "sizes")
+
+    def ask(kind: int, wave: int = 0) -> DataFrame:
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, number, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    run = _run_of(*raw)
+                    if kind == WORDS:
+                        yield _batch([(group, number, WORDS, p, packed(run.words[at]), None) for p, at in by_part(run.words, word_parts(parts[group]))], _ROW, _ROW_TYPES)
+                        continue
+                    run.index()
+                    yield _batch([(group, number, PAIRS, p, packed(run.pairs[at]), numbers(run.pair_times[at])) for p, at in by_part(run.pairs, parts[group]) if p % WAVES == wave], _ROW, _ROW_TYPES)
+
+        small_batches(runs.sparkSession, 8)
+        return told.mapInArrow(asked, _ROW)
 
     def count(table: pa.Table) -> pa.Table:
         group, part = table.column("language_group")[0].as_py(), table.column("part")[0].as_py()
@@ -220,45 +344,64 @@ def answers(rows: DataFrame, chars: dict[int, int]) -> tuple[DataFrame, dict[int
         found, (counts,) = merged(asked, [from_numbers(x)[None] for x in table.column("numbers").to_pylist()])
         out = [(group, run, PAIRS, part, None, numbers(counts[np.searchsorted(found, keys)])) for run, keys in zip(table.column("run").to_pylist(), asked, strict=True)]
         words, sides = word_sides(found, counts)
-        place = mixed_part(words, parts[group])
-        out += [(group, _SIDES, WORDS, int(q), packed(words[place == q]), numbers(sides[:, place == q])) for q in np.unique(place)]
-        return _table([*out, (group, _STATS, PAIRS, part, None, numbers(np.append(counts_of_counts(counts), len(found))))])
+        out += [(group, _SIDES, WORDS, q, packed(words[at]), numbers(sides[:, at])) for q, at in by_part(words, word_parts(parts[group]))]
+        return pa.Table.from_batches([_batch([*out, (group, _STATS, PAIRS, part, None, numbers(np.append(counts_of_counts(counts), len(found))))], _ROW, _ROW_TYPES)])
 
     def gather(table: pa.Table) -> pa.Table:
         group, part = table.column("language_group")[0].as_py(), table.column("part")[0].as_py()
-        runs, keys = table.column("run").to_pylist(), [unpacked(x) for x in table.column("keys").to_pylist()]
-        told = [(k, from_numbers(n).reshape(5, -1)) for r, k, n in zip(runs, keys, table.column("numbers").to_pylist(), strict=True) if r == _SIDES]
-        asked = [(r, k) for r, k in zip(runs, keys, strict=True) if r != _SIDES]
+        from_runs, keys = table.column("run").to_pylist(), [unpacked(x) for x in table.column("keys").to_pylist()]
+        said = [(k, from_numbers(n).reshape(5, -1)) for r, k, n in zip(from_runs, keys, table.column("numbers").to_pylist(), strict=True) if r == _SIDES]
+        asked = [(r, k) for r, k in zip(from_runs, keys, strict=True) if r != _SIDES]
         # words of texts without a pair are in no side
-        words, sides = merged([k for k, _ in told] + [k for _, k in asked], [s for _, s in told] + [np.zeros((5, len(k)), np.int64) for _, k in asked])
+        words, sides = merged([k for k, _ in said] + [k for _, k in asked], [s for _, s in said] + [np.zeros((5, len(k)), np.int64) for _, k in asked])
         out = [(group, r, WORDS, part, None, numbers(sides[:, np.searchsorted(words, k)])) for r, k in asked]
-        return _table([*out, (group, _STATS, WORDS, part, None, numbers(np.append(counts_of_counts(sides[4]), kinds(sides[4]).sum(1))))])
-
-    asked = materialize(rows.select("language_group", "run", F.col("text").cast("string").alias("text")).groupBy("language_group", "run").applyInArrow(ask, _ROW))
-    release(rows.sparkSession)
-    pairs = materialize(asked.filter(F.col("kind") == PAIRS).groupBy("language_group", "part").applyInArrow(count, _ROW))
-    of_words = asked.filter(F.col("kind") == WORDS).union(pairs.filter(F.col("run") == _SIDES))
+        return pa.Table.from_batches([_batch([*out, (group, _STATS, WORDS, part, None, numbers(np.append(counts_of_counts(sides[4]), kinds(sides[4]).sum(1))))], _ROW, _ROW_TYPES)])
+
+    every = None
+    for wave in range(WAVES):
+        pairs = materialize(ask(PAIRS, wave).groupBy("language_group", "part").applyInArrow(count, _ROW))
+        every = pairs if every is None else every.union(pairs)
+        release(runs.sparkSession)
+    of_words = ask(WORDS).union(every.filter(F.col("run") == _SIDES))
     words = materialize(of_words.groupBy("language_group", "part").applyInArrow(gather, _ROW))
-    every = pairs.union(words)
+    every = every.filter(F.col("run") != _SIDES).union(words)
     sums: dict[tuple, np.ndarray] = {}
     for g, kind, n in every.filter(F.col("run") == _STATS).select("language_group", "kind", "numbers").collect():
         sums[g, kind] = sums.get((g, kind), 0) + from_numbers(bytes(n))
     stats = {g: {"pairs": sums[g, PAIRS][:4], "kinds": int(sums[g, PAIRS][4]), "words": sums[g, WORDS][:4], "by_kind": sums[g, WORDS][4:]} for g, kind in sums if kind == PAIRS}
-    del asked, of_words
-    release(rows.sparkSession)
+    release(runs.sparkSession)
     return every.filter(F.col("run") >= 0).select("language_group", "run", "kind", "part", "numbers"), stats
 
 
-def score_run(run: Run, table: pa.Table, parts: int, stats: dict | None, spelling: np.ndarray) -> np.ndarray:
-    """log_perplexities() of a run from its answers."""
-    if not len(run.place) or stats is None:
-        return np.full(run.texts, np.nan)
-    pair_counts, sides = np.zeros(len(run.pairs), np.int64), np.zeros((5, len(run.words)), np.int64)
-    places = {PAIRS: mixed_part(run.pairs, parts), WORDS: mixed_part(run.words, parts)}
-    for kind, part, raw in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "numbers")), strict=True):
-        at = places[kind] == part
-        if kind == PAIRS:
-            pair_counts[at] = from_numbers(raw)
-        else:
-            sides[:, at] = from_numbers(raw).reshape(5, -1)
-    return log_perplexities(run, pair_counts, sides, stats, spelling)
+def scored(runs: DataFrame, found: DataFrame, chars: dict[int, int], stats: dict[int, dict], schema: str, types: list[pa.DataType], result: Callable[[list[pa.Array], np.ndarray, int], list[pa.Array]]) -> DataFrame:
+    """Rows that result() makes of a run's docs, log_perplexities() and group, written; the runs are met with their answers in WAVES."""
+    parts = parts_of(chars)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        ((group, docs, *raw, spelled),) = zip(*(left.column(c).to_pylist() for c in ("language_group", "docs", "hashes", "places", "sizes", "spelling")), strict=True)
+        run = _run_of(*raw)
+        logs = np.full(run.texts, np.nan)
+        if len(run.place) and group in stats:
+            run.index()
+            pair_counts, sides = np.zeros(len(run.pairs), np.int64), np.zeros((5, len(run.words)), np.int64)
+            places = {PAIRS: dict(by_part(run.pairs, parts[group])), WORDS: dict(by_part(run.words, word_parts(parts[group])))}
+            for kind, part, n in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "numbers")), strict=True):
+                at = places[kind][part]
+                if kind == PAIRS:
+                    pair_counts[at] = from_numbers(n)
+                else:
+                    sides[:, at] = from_numbers(n).reshape(5, -1)
+            logs = log_perplexities(run, pair_counts, sides, stats[group], _grown_floats(spelled))
+        return pa.Table.from_arrays(result(framed(docs), logs, group), names=names)
+
+    keys = ("language_group", "run")
+    rows = None
+    for wave in range(WAVES):
+        own = F.pmod("run", F.lit(WAVES)) == wave
+        part = materialize(runs.filter(own).groupBy(*keys).cogroup(found.filter(own).groupBy(*keys)).applyInArrow(score, schema))
+        rows = part if rows is None else rows.union(part)
+        release(runs.sparkSession)
+    return rows
