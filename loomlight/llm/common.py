@@ -31,7 +31,12 @@ def materialize(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomlight-checkpoint-"))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    # a checkpoint keeps the size and the constraints that were estimated for its plan; over
+    # rounds of joins these grow to numbers of thousands of digits, so the rows get a plan of their own
+    session = df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(written._jdf.queryExecution().toRdd(), written._jdf.schema(), False)
+    return DataFrame(rows, session)
 
 
 #: Rows of a partition of small tables.

@@ -42,3 +42,13 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     release(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) after further links (u, v): only the components that these join are looked at."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    moved = components(ends.select(F.coalesce("u_part", "u").alias("u"), F.coalesce("v_part", "v").alias("v")))
+    after = moved.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    known = parts.join(after, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return compact(known.union(moved.join(parts.select("node"), "node", "left_anti")))[0]

@@ -11,8 +11,8 @@ link when 100 * overlap >= percent * union, that is when they share c(a, b) elem
   more parts than two linking sets of a size class can differ in, and a list is kept for
   each part's content. There are enough parts that linking sets of a class share at least
   ``Threshold.shared`` lists; so each set leaves all but the last of so many of its longest
-  lists, in one order for all, and linking sets still meet in a list. Lists are scanned in
-  stars: each member is checked with one leader. Lists that still hold several components are
+  lists, in one order for all, and linking sets still meet in a list. Of lists with the same
+  members one is kept. Lists are scanned in stars: each member is checked with one leader. Lists that still hold several components are
   then scanned whole, in blocks of at most BLOCK members by BLOCK, and give the pairs of
   different components that may link, in SHARES: each share is checked and joined before the
   next is taken. So no link between components is lost, and groups of near copies never turn
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import compact, materialize, release, small_batches, texts_as_bytes
-from .components import components
+from .components import components, joined
 
 #: Cost of checking a candidate (two texts fetched and cut), in rows of a list.
 CHECK_COST = 32
@@ -62,9 +62,11 @@ LAST_CLASS = (1 << CLASS_BITS) - 1
 STAR_ROUNDS = 1
 #: Whole scans take the pairs up to these shares of all, by a hash of the pair. What the first
 #: few pairs join needs no look in the next; the last share is all, so every pair is taken.
-SHARES = (1 / 64, 1 / 8, 1.0)
+SHARES = (1 / 16, 1.0)
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
+#: Lists are met, and scanned whole, in so many shares of the keys, each of which frees its shuffle before the next.
+WAVES, SCAN_WAVES = 4, 2
 BITMAP_BITS = 22
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -253,16 +255,38 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, heavy array<long>, small array<long>, large array<long>, sketch binary")
 
 
+def _live(sets: DataFrame, node_of: DataFrame) -> DataFrame:
+    """key, node, length of the heavy lists that hold two nodes at least, found in WAVES and written."""
+    rows = None
+    for wave in range(WAVES):
+        lists = sets.filter(F.col("doc_id").isNotNull()).select(F.explode("heavy").alias("key"), "doc_id")
+        together = lists.filter(F.pmod(F.xxhash64("key"), F.lit(WAVES)) == wave).repartition("key")
+        live = together.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
+        live = together.join(live, "key", "left_semi").join(node_of, "doc_id").select("key", "node").distinct()
+        lengths = live.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
+        part = materialize(live.join(lengths, "key"))
+        rows = part if rows is None else rows.union(part)
+        del together, live  # with them go the shuffles of all lists
+        release(sets.sparkSession)
+    return rows
+
+
 def _shorter(live: DataFrame, t: Threshold) -> DataFrame:
     """key, node without each node's longest lists of a class, one fewer than linking sets share."""
     own = F.col("key").bitwiseAND(F.lit(LAST_CLASS)).cast("int")
     shared = F.get(F.array(*(F.lit(t.shared(k)) for k in range(LAST_CLASS + 1))), own)
-    lengths = live.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
     longest = Window.partitionBy("node", "class").orderBy(F.desc("length"), "key")
-    ranked = live.join(lengths, "key").withColumn("class", own).withColumn("at", F.row_number().over(longest)).filter(F.col("at") >= shared)
+    ranked = live.withColumn("class", own).withColumn("at", F.row_number().over(longest)).filter(F.col("at") >= shared)
     return ranked.select("key", "node")
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """key, node of one list for each set of members (told by 128 bits), of two members at least."""
+    members = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"members_{seed}") for seed in (1, 2)]
+    same = lists.groupBy("key").agg(F.count("*").alias("length"), *members).filter("length > 1")
+    return lists.join(same.groupBy("length", "members_1", "members_2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id and text of the rows whose id may be among the nodes: all of those, and few others."""
     bits = 1 << BITMAP_BITS
@@ -280,11 +304,10 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Those of the pairs (u, v) that link, by the whole sets."""
+def _linked(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Those of the pairs (u, v) that link, by the whole sets; only texts of the pairs are fetched."""
     small_batches(pairs.sparkSession, 128)
-    first = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text"))
-    second = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text"))
+    texts = lambda c: _texts_of(docs, pairs.select(F.col(c).alias("node"))).select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, np.zeros(0, np.uint64)
@@ -298,7 +321,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Dat
                 keep.append(bool(common) and 100 * common >= percent * (len(leader) + len(other) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return pairs.join(first, "v").join(second, "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(texts("v"), "v").join(texts("u"), "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long").distinct()
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -401,26 +424,22 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     light_links = light.join(heads, "key").filter("doc_id != u").select("u", F.col("doc_id").alias("v")).distinct()
     at = lambda c: node_of.select(F.col("doc_id").alias(c), F.col("node").alias(f"{c}_node"))
     light_links = light_links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    links, _ = compact(links.union(light_links).filter("u != v").distinct())
+    parts = materialize(components(links.union(light_links).filter("u != v").distinct()))
 
     # heavy side: lists with two members at least, by node
-    together = lists("heavy").repartition("key")
-    live = together.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key")
-    live = together.join(live, "key", "left_semi").join(node_of, "doc_id").select("key", "node").distinct()
-    live = materialize(_shorter(live, threshold(percent)))
-    del together  # with it go the shuffles of all lists
+    live = materialize(_distinct_lists(_shorter(_live(sets, node_of), threshold(percent))))
     release(docs.sparkSession)
-    nodes = live.select("node").distinct()
     drawn = sets.filter("sketch is not null").select("doc_id", "sig", "n", "sketch")
     by_class = drawn.join(classes, "sig").select("node", "sig", "n", "sketch")
     own = drawn.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "sig", "n", "sketch")
-    sketches = by_class.union(own).groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = materialize(sketches.join(nodes, "node", "left_semi").select("node", "n", "sketch"))
-    texts = materialize(_texts_of(named, nodes))
+    sketches = by_class.union(own).join(live.select("node").distinct(), "node", "left_semi")
+    sketches = materialize(sketches.groupBy("node", "sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch"))
+    numbers = materialize(sets.select("doc_id", "n"))
+    del sets, ids, classes, lists, light, heads, light_links, drawn, by_class, own  # with them goes what holds the keys
+    release(docs.sparkSession)
 
     def split_lists(turn: int) -> tuple[DataFrame, DataFrame]:
         """key, node, component of all lists; length and a head of those that hold several components."""
-        parts = components(links)
         placed = live.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("u"), F.col("component").alias("u_component")))
         return placed, placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length"), head.alias("head")).filter("low != high")
@@ -428,18 +447,20 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     for turn in range(STAR_ROUNDS):
         placed, split = split_lists(turn)
         pairs = placed.join(split.select("key", "head.u", "head.u_component"), "key").filter("component != u_component").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        pairs, _ = compact(_passing(pairs, sketches, percent))
-        links, _ = compact(links.union(_linked(pairs, texts, percent, width)).distinct())
+        pairs, count = compact(_passing(pairs, sketches, percent))
+        if count:
+            parts = joined(parts, _linked(pairs, named, percent, width))
         release(docs.sparkSession)
     above = 0.0
     for upto in SHARES:
-        placed, split = split_lists(-1)
-        pairs = _across(placed, split.select("key", "length"), sketches, percent, above, upto if upto < 1 else 2.0)
-        pairs, count = compact(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if count:
-            links, _ = compact(links.union(_linked(pairs, texts, percent, width)).distinct())
+        for wave in range(SCAN_WAVES):
+            placed, split = split_lists(-1)
+            mine = F.pmod(F.xxhash64("key"), F.lit(SCAN_WAVES)) == wave
+            pairs = _across(placed.filter(mine), split.filter(mine).select("key", "length"), sketches, percent, above, upto if upto < 1 else 2.0)
+            pairs, count = compact(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+            if count:
+                parts = joined(parts, _linked(pairs, named, percent, width))
+            release(docs.sparkSession)
         above = upto
-        release(docs.sparkSession)
-    parts = components(links)
-    found = sets.select("doc_id", "n").join(node_of, "doc_id", "left").join(parts, "node", "left")
+    found = numbers.join(node_of, "doc_id", "left").join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))

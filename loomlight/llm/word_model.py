@@ -39,7 +39,7 @@ from .common import materialize, release, small_batches
 RUN_CHARS, PART_CHARS = 16_000_000, 32_000_000
 RUN_TEXTS = 1 << 16
 #: Shares in which pairs are asked and runs scored.
-WAVES = 3
+WAVES = 4
 #: Parts of pairs for each part of words.
 WORD_SHARE = 8
 PAIRS, WORDS = 0, 1
