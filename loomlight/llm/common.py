@@ -22,15 +22,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, with a cut lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where it is unset, a folder of this machine, for sessions of one machine only."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="loomlight-")
 
-    The folder is the cluster's spark.checkpoint.dir. Only where the session has none
-    (tests on one machine) a temporary folder is set.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, with a cut lineage."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomlight-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     written = df.checkpoint(eager=True)
     # a checkpoint keeps the size and the constraints that were estimated for its plan; over
     # rounds of joins these grow to numbers of thousands of digits, so the rows get a plan of their own

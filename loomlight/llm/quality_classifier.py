@@ -158,6 +158,19 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents predicted to be good, with the columns of docs, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(texts_as_bytes(batch.column(at))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), train(docs, labels))
