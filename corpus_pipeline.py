@@ -6,52 +6,51 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlight.llm import bin_packing, jaccard_join, quality_classifier, quality_rules, secret_scan
+from loomlight.llm.common import shared_folder
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
-    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts to be good; null texts count as empty, null ids and repeated rows are judged each."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts fail them, repeated rows are judged each."""
     return quality_rules.keep_good(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id (of equal ids, one row).
+    """One document of each group of near duplicates: the one with the smallest id (of equal ids with words, one row).
 
     Links as the stage's defaults have them: five words, a similarity of 0.8 or more.
     Documents without a word or an id link with nothing and stay.
     """
-    found = jaccard_join.link_components(docs, percent=80, width=5)
-    gone = found.filter("n_shingles > 0 and component_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    with_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    several = left.filter(F.col("doc_id").isNotNull() & with_text).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = left.join(several, "doc_id", "left_semi").filter(with_text).groupBy("doc_id").agg(F.min(F.struct(*[c for c in left.columns if c != "doc_id"])).alias("row"))
-    once = once.select(*("doc_id" if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns))
-    rest = left.join(several, "doc_id", "left_anti").select(*docs.columns)
-    empty = left.join(several, "doc_id", "left_semi").filter(~with_text).select(*docs.columns)
-    return rest.union(once).union(empty)
+    found = jaccard_join.link_components(docs, percent=80, width=5).filter("n_shingles > 0 and doc_id is not null")
+    by_id = found.groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("first"), F.count("*").alias("rows"))
+    told = by_id.filter("first != id or rows > 1").select("id", (F.col("first") != F.col("id")).alias("gone"))
+    row, words = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words")
+    named = docs.filter(F.col("doc_id").isNotNull()).select(row, F.col("doc_id").cast("long").alias("id"), words)
+    left = named.join(told, "id", "left").filter("gone is null or not gone or not words")
+    # told ids that stay have several rows: the first of those with words
+    turn = F.row_number().over(Window.partitionBy("id", "words").orderBy(F.xxhash64("row.text"), "row.text"))
+    kept = left.filter("gone is null").select("row.*").union(left.filter("gone is not null").withColumn("turn", turn).filter("turn = 1 or not words").select("row.*"))
+    return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets taken out of their texts."""
+    """All documents, with secrets taken out of their texts; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null texts are their end mark alone."""
     return bin_packing.pack_documents(docs)
 
 
@@ -67,16 +66,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomlight-pipeline-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's folder goes when the next one is written, the last one's with the session."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _folder(spark)
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(folder))
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            files.delete(path(f"{folder}/{before}"), True)
+        before = name
     return docs
