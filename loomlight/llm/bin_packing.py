@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import materialize, small_batches
+from .common import materialize, small_batches, worker_cache
 from .token_counts import balanced
 
 CAPACITY = 2048
@@ -42,7 +42,6 @@ CLOSED = 0.98
 
 #: Characters that both tokenizer libraries split alike (all assigned since Unicode 6.1).
 _ALIKE = re.compile("[ -~\n\t\xa1-\xac\xae-ɏ]*")
-_tables: dict[str, tuple[chunks.ChunkTable, chunks.ChunkTable]] = {}
 
 
 def same_merges(merges: list[tuple[bytes, bytes]], ranks: dict[bytes, int]) -> bool:
@@ -75,7 +74,8 @@ def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.ChunkTable, chun
     The tokenizers library defines the ids. Plain chunks go through the faster library of the
     same vocabulary; tests hold same_merges() for the pair of files.
     """
-    if json_path not in _tables:
+    tables = worker_cache("bin_packing")
+    if json_path not in tables:
         import base64
 
         import public_tokenizers
@@ -91,8 +91,8 @@ def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.ChunkTable, chun
             other = iter(model.encode_batch_fast([x for x, p in zip(xs, plain, strict=True) if p is None], add_special_tokens=False))
             return [_packed(next(other).ids if p is None else fast.encode_ordinary(p)) for p in plain]
 
-        _tables[json_path] = chunks.ChunkTable(encode, 400_000), chunks.ChunkTable(lambda xs: encode([" " + x for x in xs]), 400_000)
-    return _tables[json_path]
+        tables[json_path] = chunks.ChunkTable(encode, 400_000), chunks.ChunkTable(lambda xs: encode([" " + x for x in xs]), 400_000)
+    return tables[json_path]
 
 
 def encode_ids(texts: list[str], json_path: str, ranks_path: str) -> list[bytes]:

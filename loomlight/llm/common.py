@@ -67,6 +67,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; what others kept there goes."""
+    for other in [x for x in _caches if x != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import small_batches
+from .common import small_batches, worker_cache
 from .token_counts import balanced
 
-_codecs: dict[str, PieceCodec] = {}
 
 
 class PieceCodec:
@@ -39,9 +38,10 @@ class PieceCodec:
 
     @classmethod
     def of(cls, path: str) -> PieceCodec:
-        if path not in _codecs:
-            _codecs[path] = cls(path)
-        return _codecs[path]
+        codecs = worker_cache("piece_codec")
+        if path not in codecs:
+            codecs[path] = cls(path)
+        return codecs[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""

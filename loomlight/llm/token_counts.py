@@ -18,27 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 BATCH_BYTES = 1 << 20
-_tables: dict[str, tuple[chunks.ChunkTable, chunks.ChunkTable]] = {}
 
 
 def _lengths(path: str) -> tuple[chunks.ChunkTable, chunks.ChunkTable]:
     """Of chunks at the start of a text, and of chunks after a space; kept in the worker."""
-    if path not in _tables:
+    tables = worker_cache("token_counts")
+    if path not in tables:
         model = chunks.byte_tokenizer(path)
         count = lambda xs: [len(e) for e in model.encode_batch_fast(xs, add_special_tokens=False)]
-        _tables[path] = chunks.ChunkTable(count), chunks.ChunkTable(lambda xs: count([" " + x for x in xs]))
-    return _tables[path]
+        tables[path] = chunks.ChunkTable(count), chunks.ChunkTable(lambda xs: count([" " + x for x in xs]))
+    return tables[path]
 
 
 def balanced(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of texts of about ``limit`` bytes (characters, where that is the cheaper count); one long text is a run."""
+    """Runs of texts of about ``limit`` bytes; one long text is a run."""
     run, size = [], 0
     for x in texts:
         run.append(x)
-        size += len(x)
+        size += len(x) if x.isascii() else len(x.encode("utf-8", "replace"))
         if size >= limit:
             yield run
             run, size = [], 0

@@ -33,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches
+from .common import materialize, release, small_batches, worker_cache
 
 #: Characters of a run and of a part of the tables; texts of a run.
 RUN_CHARS, PART_CHARS = 16_000_000, 32_000_000
 RUN_TEXTS = 1 << 16
+#: Words of a run that are scored at a time.
+SLICE_WORDS = 500_000
 #: Shares in which pairs are asked and runs scored.
 WAVES = 4
 #: Parts of pairs for each part of words.
@@ -89,17 +91,27 @@ class Run:
         last = np.searchsorted(words, self.hashes)[self.place].astype(np.uint64)
         before = np.concatenate([np.zeros(1, np.uint64), last[:-1]])[: len(last)]
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        if not len(last):
+            self.times = self.doc = self.pair_at = self.first = self.second = np.zeros(0, np.int32)
+            self.pairs, self.pair_times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return self
         w, d = np.uint64(len(words).bit_length()), np.uint64(self.texts.bit_length())
         if 2 * int(w) + int(d) > 64:
             raise ValueError("too many words and texts for one run")
-        every = np.sort((((before << w) | last) << d) | np.repeat(np.arange(self.texts, dtype=np.uint64), self.sizes))
-        start = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
-        self.times = np.diff(np.append(start, len(every)))
-        pairs = every[start] >> d
-        self.doc = (every[start] & ((np.uint64(1) << d) - np.uint64(1))).astype(np.int64)
-        new = np.concatenate([np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]])
-        self.pair_at = np.cumsum(new) - 1
-        self.first, self.second = (pairs[new] >> w).astype(np.int64), (pairs[new] & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int64)
+        before <<= w
+        before |= last
+        before <<= d
+        before |= np.repeat(np.arange(self.texts, dtype=np.uint64), self.sizes)
+        before.sort()
+        start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        self.times = np.diff(np.append(start, len(before))).astype(np.int32)
+        before = before[start]
+        self.doc = (before & ((np.uint64(1) << d) - np.uint64(1))).astype(np.int32)
+        before >>= d
+        new = np.concatenate([[True], before[1:] != before[:-1]])
+        self.pair_at = (np.cumsum(new) - 1).astype(np.int32)
+        pairs = before[new]
+        self.first, self.second = (pairs >> w).astype(np.int32), (pairs & ((np.uint64(1) << w) - np.uint64(1))).astype(np.int32)
         self.pairs = (words[self.first] << _32) | words[self.second]
         self.pair_times = np.bincount(self.pair_at, self.times, len(self.pairs)).astype(np.int64)
         return self
@@ -192,34 +204,45 @@ def log_perplexities(run: Run, pair_counts: np.ndarray, sides: np.ndarray, stats
     """
     if not len(run.place):
         return np.full(run.texts, np.nan)
+    words = run.words
+    spelled = np.zeros(len(words))
+    spelled[np.searchsorted(words, run.hashes)] = np.exp(spelling.astype(np.float64))
+    base = np.maximum(spelled, 1e-300)
+    out = np.full(run.texts, np.nan)
+    # so many texts at a time that a share of the run's words is worked on
+    ends = np.cumsum(run.sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(SLICE_WORDS, ends[-1], SLICE_WORDS)), [run.texts]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = np.flatnonzero((run.doc >= a) & (run.doc < b))
+        out[a:b] = _slice_perplexities(run, own, a, b, pair_counts, sides, stats, base)
+    return out
+
+
+def _slice_perplexities(run: Run, own: np.ndarray, a: int, b: int, pair_counts: np.ndarray, sides: np.ndarray, stats: dict, base: np.ndarray) -> np.ndarray:
+    """log_perplexities() of the texts a ... b, whose pairs are at the places own."""
     d2, d1 = discounts_from(stats["pairs"]), discounts_from(stats["words"])
-    doc, pair, times = run.doc, run.pair_at, run.times
+    doc, pair, times, texts = run.doc[own].astype(np.int64) - a, run.pair_at[own], run.times[own], b - a
     every = pair_counts[pair]
     rest = every - times  # counts in all other rows
-    first, second = run.first[pair], run.second[pair]
+    first, second = run.first[pair].astype(np.int64), run.second[pair].astype(np.int64)
     gone = rest == 0
-    words = run.words
 
     def of_document(word: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
         """Sums of the weights over the document's pairs with the same word."""
-        group, found = pd.factorize(word * run.texts + doc)
+        group, found = pd.factorize(word * texts + doc)
         return [np.bincount(group, w, len(found))[group] for w in weights]
 
     shift = d2[np.minimum(every, 3)] - d2[np.minimum(rest, 3)]
-    own, shifted = of_document(first, times, shift)
-    total = sides[0][first] - own
+    taken, shifted = of_document(first, times, shift)
+    total = sides[0][first] - taken
     kept = (d2[1] * sides[1] + d2[2] * sides[2] + d2[3] * sides[3])[first] - shifted
     before = sides[4][second] - of_document(second, gone)[0].astype(np.int64)
-    all_kinds = stats["kinds"] - np.bincount(doc, gone, run.texts)[doc]
-    mass = d1[1:] @ stats["by_kind"]
-    spelled = np.zeros(len(words))
-    spelled[np.searchsorted(words, run.hashes)] = np.exp(spelling.astype(np.float64))
-    base = np.maximum(spelled, 1e-300)[second]
-    share = np.clip(mass / np.maximum(stats["kinds"], 1), 1e-9, 1)
-    one = np.where(all_kinds > 0, np.maximum(before - d1[np.minimum(before, 3)], 0) / np.maximum(all_kinds, 1) + share * base, base)
+    all_kinds = stats["kinds"] - np.bincount(doc, gone, texts)[doc]
+    share = np.clip(d1[1:] @ stats["by_kind"] / np.maximum(stats["kinds"], 1), 1e-9, 1)
+    one = np.where(all_kinds > 0, np.maximum(before - d1[np.minimum(before, 3)], 0) / np.maximum(all_kinds, 1) + share * base[second], base[second])
     p = np.where(total > 0, np.maximum(rest - d2[np.minimum(rest, 3)], 0) / np.maximum(total, 1) + np.clip(kept / np.maximum(total, 1), 0, 1) * one, one)
-    sums = np.bincount(doc, -np.log(np.maximum(p, 1e-300)) * times, run.texts)
-    return np.divide(sums, run.sizes, out=np.full(run.texts, np.nan), where=run.sizes > 0)
+    sums, sizes = np.bincount(doc, -np.log(np.maximum(p, 1e-300)) * times, texts), run.sizes[a:b]
+    return np.divide(sums, sizes, out=np.full(texts, np.nan), where=sizes > 0)
 
 
 _RUN = "language_group int, run long, chars long, docs binary, hashes binary, places binary, sizes binary, spelling binary"
@@ -273,6 +296,7 @@ def dealt(docs: DataFrame, group: Column, describe: Describe = _nothing, kept: t
         return _batch([row], _RUN, _RUN_TYPES)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("word_model")
         held: dict[int, list] = {}
         chars: dict[int, int] = {}
         for batch in batches:
@@ -379,6 +403,7 @@ def scored(runs: DataFrame, found: DataFrame, chars: dict[int, int], stats: dict
     names = [x.split()[0] for x in schema.split(", ")]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_cache("word_model")
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
         ((group, docs, *raw, spelled),) = zip(*(left.column(c).to_pylist() for c in ("language_group", "docs", "hashes", "places", "sizes", "spelling")), strict=True)
