@@ -38,6 +38,9 @@ POPULATION, GENERATIONS, ELITES = 4, 6, 2
 #: Bins filled to this share are not pooled again.
 CLOSED = 0.98
 
+#: Chunks of each generation of a worker's table.
+IDS_KEPT = 300_000
+
 # --- encoding -------------------------------------------------------------------------
 
 #: Characters that both tokenizer libraries split alike (all assigned since Unicode 6.1).
@@ -91,7 +94,7 @@ def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.ChunkTable, chun
             other = iter(model.encode_batch_fast([x for x, p in zip(xs, plain, strict=True) if p is None], add_special_tokens=False))
             return [_packed(next(other).ids if p is None else fast.encode_ordinary(p)) for p in plain]
 
-        tables[json_path] = chunks.ChunkTable(encode, 400_000), chunks.ChunkTable(lambda xs: encode([" " + x for x in xs]), 400_000)
+        tables[json_path] = chunks.ChunkTable(encode, IDS_KEPT), chunks.ChunkTable(lambda xs: encode([" " + x for x in xs]), IDS_KEPT)
     return tables[json_path]
 
 
@@ -120,6 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 0) -> Data
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("bin_packing")
         import public_tokenizers
 
         json_path, ranks_path = public_tokenizers.path(tokenizer), public_tokenizers.path(ranks)
@@ -254,6 +258,7 @@ def _epoch(islands: DataFrame, items: str, capacity: int, salt: int) -> DataFram
     """shard, island, items, elites after an epoch; elites in the input are migrants and survivors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("bin_packing")
         for batch in batches:
             made = []
             for shard, island, rows, before in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: role: (before, after, whether the text carries loss)
 TEMPLATE = {
@@ -104,6 +104,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("chat_format")
         now, state = object(), "start"
         kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
         for batch in batches:
@@ -151,6 +152,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return [self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid and self.role in FINAL]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("chat_format")
         now: Totals | None = None
         for batch in batches:
             done = []

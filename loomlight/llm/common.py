@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -71,9 +73,15 @@ _caches: dict[str, dict] = {}
 
 
 def worker_cache(owner: str) -> dict:
-    """What an operator keeps in a Python worker from task to task; what others kept there goes."""
-    for other in [x for x in _caches if x != owner]:
+    """What an operator keeps in a Python worker from task to task; each task asks first, and what others kept there goes back to the system."""
+    others = [x for x in _caches if x != owner]
+    for other in others:
         del _caches[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     return _caches.setdefault(owner, {})
 
 

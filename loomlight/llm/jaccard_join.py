@@ -11,8 +11,8 @@ link when 100 * overlap >= percent * union, that is when they share c(a, b) elem
   more parts than two linking sets of a size class can differ in, and a list is kept for
   each part's content. There are enough parts that linking sets of a class share at least
   ``Threshold.shared`` lists; so each set leaves all but the last of so many of its longest
-  lists, in one order for all, and linking sets still meet in a list. Of lists with the same
-  members one is kept. Lists are scanned in stars: each member is checked with one leader. Lists that still hold several components are
+  lists, in one order for all, and linking sets still meet in a list. Lists with
+  the same member at their head become one. Lists are scanned in stars: each member is checked with one leader. Lists that still hold several components are
   then scanned whole, in blocks of at most BLOCK members by BLOCK, and give the pairs of
   different components that may link, in SHARES: each share is checked and joined before the
   next is taken. So no link between components is lost, and groups of near copies never turn
@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import compact, materialize, release, small_batches, texts_as_bytes
+from .common import compact, materialize, release, small_batches, texts_as_bytes, worker_cache
 from .components import components, joined
 
 #: Cost of checking a candidate (two texts fetched and cut), in rows of a list.
@@ -234,6 +234,7 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         t, seen = threshold(percent), set()
         for batch in batches:
             n, sigs, heavy, small, large, sketches = [], [], [], [], [], []
@@ -280,11 +281,10 @@ def _shorter(live: DataFrame, t: Threshold) -> DataFrame:
     return ranked.select("key", "node")
 
 
-def _distinct_lists(lists: DataFrame) -> DataFrame:
-    """key, node of one list for each set of members (told by 128 bits), of two members at least."""
-    members = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"members_{seed}") for seed in (1, 2)]
-    same = lists.groupBy("key").agg(F.count("*").alias("length"), *members).filter("length > 1")
-    return lists.join(same.groupBy("length", "members_1", "members_2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+def _by_head(lists: DataFrame) -> DataFrame:
+    """key, node of lists with the same head (the member of the least hash) as one list; those of one member go."""
+    heads = lists.groupBy("key").agg(F.min(F.xxhash64("node")).alias("head"), F.count("*").alias("length")).filter("length > 1").select("key", "head")
+    return lists.join(heads, "key").select(F.col("head").alias("key"), "node").distinct()
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -296,6 +296,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             if batch.num_rows:
@@ -310,6 +311,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     texts = lambda c: _texts_of(docs, pairs.select(F.col(c).alias("node"))).select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         last, leader = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
@@ -330,6 +332,7 @@ def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     of = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         t = threshold(percent)
         for batch in batches:
             keep = [
@@ -380,6 +383,7 @@ def _across(placed: DataFrame, lists: DataFrame, sketches: DataFrame, percent: i
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         t, group = threshold(percent), []
 
         def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -427,7 +431,7 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     parts = materialize(components(links.union(light_links).filter("u != v").distinct()))
 
     # heavy side: lists with two members at least, by node
-    live = materialize(_distinct_lists(_shorter(_live(sets, node_of), threshold(percent))))
+    live = materialize(_by_head(_shorter(_live(sets, node_of), threshold(percent))))
     release(docs.sparkSession)
     drawn = sets.filter("sketch is not null").select("doc_id", "sig", "n", "sketch")
     by_class = drawn.join(classes, "sig").select("node", "sig", "n", "sketch")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_as_bytes
+from .common import small_batches, texts_as_bytes, worker_cache
 
 DIMENSIONS, RANK, PER_CLASS, K = 4096, 48, 1500, 8
 THRESHOLD = 0.3
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_classifier")
         for batch in batches:
             x = [features(t).astype(np.float16).tobytes() for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
@@ -148,6 +149,7 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_classifier")
         for batch in batches:
             s = shared.value.scores(texts_as_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
@@ -165,6 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_classifier")
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(texts_as_bytes(batch.column(at))) >= THRESHOLD))
 

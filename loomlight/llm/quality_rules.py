@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_model
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 ORDER, BITS = 3, 6
@@ -157,7 +157,7 @@ class KneserNey:
             contexts, of = np.unique(level >> np.uint64(BITS), return_inverse=True)
             total = np.bincount(of, count, len(contexts))
             weight = np.bincount(of, cut, len(contexts)) / np.maximum(total, 1e-300)
-            below = self.lower((group << np.uint64(BITS * (n - 1))) | (gram & np.uint64((1 << BITS * (n - 1)) - 1)), n - 1)
+            below = self._lower((group << np.uint64(BITS * (n - 1))) | (gram & np.uint64((1 << BITS * (n - 1)) - 1)), n - 1)
             p = (count - cut) / total[of] + weight[of] * below
             if n == ORDER:
                 self.means = {int(g): float(-(count @ (np.log(p) * (group == g))) / count[group == g].sum()) for g in np.unique(group)}
@@ -172,7 +172,7 @@ class KneserNey:
     def _tagged(keys: np.ndarray, n: int) -> np.ndarray:
         return (keys.astype(np.uint64) << np.uint64(4)) | np.uint64(n)
 
-    def lower(self, keys: np.ndarray, n: int) -> np.ndarray:
+    def _lower(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Probability of the last of n symbols after the others."""
         if not n:
             return np.full(len(keys), 1 / CLASSES)
@@ -181,7 +181,7 @@ class KneserNey:
         p = self.found[n - 1].get(self._tagged(keys, n), np.nan).astype(np.float64)
         new = np.isnan(p)
         if new.any():
-            p[new] = self.weights[n - 1].get(self._tagged(keys[new] >> np.uint64(BITS), n), 1.0) * self.lower(shorter[new], n - 1)
+            p[new] = self.weights[n - 1].get(self._tagged(keys[new] >> np.uint64(BITS), n), 1.0) * self._lower(shorter[new], n - 1)
         return p
 
     def log_perplexities(self, texts: list[str], groups: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ class KneserNey:
         both = both[first]
         keys, of = both >> np.uint64(20), (both & np.uint64((1 << 20) - 1)).astype(int)
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        logs = np.repeat(-np.log(self.lower(keys[start], ORDER)), np.diff(np.append(start, len(keys))))
+        logs = np.repeat(-np.log(self._lower(keys[start], ORDER)), np.diff(np.append(start, len(keys))))
         total = np.bincount(of, times * logs, len(texts))
         n = np.bincount(of, times, len(texts))
         return np.divide(total, n, out=np.full(len(texts), np.nan), where=n > 0)
@@ -211,7 +211,7 @@ class KneserNey:
                 keys, owner = _grams(far[s], np.full(len(sizes), g))
                 found, of = np.unique(keys, return_inverse=True)
                 place = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[owner]
-                sums = np.bincount(start[owner] + place // SEGMENT, -np.log(self.lower(found.astype(np.uint64), ORDER))[of], segments.sum())
+                sums = np.bincount(start[owner] + place // SEGMENT, -np.log(self._lower(found.astype(np.uint64), ORDER))[of], segments.sum())
                 least = sums if least is None else np.minimum(least, sums)
             out[at[s]] = np.add.reduceat(least, start) / sizes
         return out
@@ -244,6 +244,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     size = len(GROUPS) << (BITS * ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_rules")
         counts = np.zeros(size, np.int64)
         for batch in batches:
             texts, groups = [x or "" for x in batch.column(0).to_pylist()], batch.column(1).to_numpy()
@@ -321,7 +322,7 @@ def spelling(model: KneserNey, words: list[str], group: int) -> np.ndarray:
             key |= codes[at - back] << np.uint32(BITS * back)
         key |= np.uint32(group << (BITS * ORDER))
         found, of = np.unique(key, return_inverse=True)
-        logs = np.log(model.lower(found.astype(np.uint64), ORDER))[of] - _class_logs()[codes[at]]
+        logs = np.log(model._lower(found.astype(np.uint64), ORDER))[of] - _class_logs()[codes[at]]
         assert not len(ends) or ends[-1] == len(codes)
         out.append(np.bincount(owner, logs, len(part)))
     return np.concatenate(out) if out else np.zeros(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 # The base patterns, with the least length that counts (of group 2 or of the match).
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -248,6 +248,7 @@ def scan(docs: DataFrame) -> DataFrame:
     models = automata()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secret_scan")
         for batch in batches:
             counts, digests, spans = [], [], []
             for text in batch.column(1).to_pylist():
@@ -278,6 +279,7 @@ def redact(docs: DataFrame) -> DataFrame:
     models, at = automata(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secret_scan")
         for batch in batches:
             clean = [t and without(t, all_spans(t, models)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
