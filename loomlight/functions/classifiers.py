@@ -5,79 +5,181 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words by which texts are classified, written with their own boundaries since
-# engines differ on what a word character is.
-WORD_START, WORD_END = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
-VERIFY = "(test|tests|pytest|vitest|jest|tsc|lint|typecheck|check|build)"
-EDIT = "(edit|write|patch|apply_patch|multiedit|create|str_replace)"
-READ = "(read|view|open|cat|grep|glob|ls|search|find)"
-CLAIM = "(done|fixed|completed|complete|passes|passing|resolved|finished|works)"
+# What commands verify, change or read, and texts that claim to be done.
+VERIFY = r"(?i)\b(test|tests|vitest|jest|pytest|go test|cargo test|tsc|typecheck|lint|biome|eslint|build|check:invariants|preflight)\b"
+CHANGE = r"(?i)\b(apply_patch|edit|write|create|delete|rename|replace|update|git apply|sed -i|perl -pi|tee\s|cat\s+>)"
+READ = r"(?i)\b(read|cat|less|grep|rg|sed -n|nl|ls|find|git show|git diff)\b"
+CLAIM = r"(?i)\b(done|fixed|complete|completed|implemented|merged|verified|all green|tests pass|ready|works now)\b"
+# Reactions of people, matched against lower-case text.
 REACTIONS = {
-    "correction": "(no|wrong|incorrect|not what|undo|revert|actually)",
-    "frustration": "(still|again|why|broken|ugh)",
-    "praise": "(great|perfect|thanks|thank you|nice|good job)",
-    "question": "(what|how|where|which|can you)",
-    "stop": "(stop|cancel|wait|abort)",
+    "jargon": r"\b(jargon|plain english|plain language|eli5|explain like|in plain|what does that mean|what does .* mean|i don'?t (understand|get)|gibberish|english please|too technical|speak (plainly|english)|dumb(ed)? it down|simpler|simplify your|no buzzwords?)\b",
+    "structure": r"\b(too long|tl;?dr|get to the point|bluf|lead with|bullet|bulletpoint|wall of text|too verbose|shorter|be concise|stop (yapping|rambling)|less words?|fewer words?|just (the|tell me)|cut the)\b",
+    "correction": r"(\bno[,. ]|^no\b|\bstop\b|\bdon'?t\b|you keep|i (said|told you|asked)|that'?s not (what|right|it)|not what i|didn'?t ask|incorrect|that'?s wrong|you'?re wrong|why are you|why did you|that'?s not the|missed the|not the point|ur wrong|thats not)",
+    "frustration": r"(ugh|wtf|wth|come on|seriously|again\?|for the (last|nth) time|are you kidding|jesus|christ|frustrat|annoying|wasting|waste of)",
+    "praise": r"\b(perfect|exactly|nailed it|love (it|this)|beautiful|great work|ship it|clean|nice work|excellent|that'?s it|yes!+|amazing|chef'?s kiss|brilliant)\b",
 }
-# Redaction rules that need no look-around, by name.
+# Marks of turns that a program put in.
+COMMAND_MARKS = ["<command-name>", "<local-command-caveat>", "<command-message>", "<command-args>", "<command-stdout>"]
+INJECTED_MARKS = [
+    "<system-reminder>",
+    "Caveat: The messages below",
+    "<user-memory-input>",
+    "<task-notification>",
+    "<task-prompt>",
+    "<codex_internal_context",
+    "<subagent_notification>",
+    "# AGENTS.md instructions",
+    "<local-command-stdout>",
+    "This session is being continued from a previous conversation",
+    "Base directory for this skill:",
+]
+SYNTHETIC_MARKS = [
+    "You are in a development environment with full file system access",
+    "## What the user asked for",
+    "Build the project described below",
+    "Filesystem sandboxing defines",
+    "<permissions instructions>",
+    "You are an autonomous",
+    "You are a coding agent",
+    "Your task is to build",
+    "## Deliverable",
+    "## Acceptance criteria",
+    "Return ONLY",
+    "respond with JSON",
+    "<environment_details>",
+    "<task>",
+    "Review this change before it is pushed",
+    "Complete a security review",
+    "Focus on correctness, regressions, security issues",
+    "Read-only critical audit",
+    "Staff-engineer code review",
+]
+SYNTHETIC_HEAD, BRIEF_LENGTH = 600, 1500
+BRIEF = r"(?i)^(you are\b|you're\b|read[- ]only\b|stop now\b|your task\b|your job\b|review the\b|audit\b|analyze the\b|return (only|a |the )|here is the\b|context:|task:|do not (revert|edit|touch)|work only in\b|you have been\b|act as\b|operate the\b|goal:|objective:)"
+# Turns that start no task.
+NO_TASK_MARKS = [
+    "<task-notification>",
+    "<subagent_notification>",
+    "<command-stdout>",
+    "<local-command-stdout>",
+    "<user-memory-input>",
+    "This session is being continued from a previous conversation",
+    "[Your previous response had no visible output.",
+]
+NO_TASK_COMMAND = r"<command-name>/(?:clear|copy|effort|exit|login|mcp|model|plugin)</command-name>"
+# Redaction rules by name, in the order in which they apply. Loops over
+# values are unrolled and give nothing back, which matches the same and needs no stack.
+_SECRET_WORD = r"(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)"
 REDACTIONS = {
-    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}",
-    "ipv4": "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}",
-    "bearer": "[Bb]earer [A-Za-z0-9._~+/-]{8,}=*",
-    "aws-key": "AKIA[0-9A-Z]{16}",
-    "github": "gh[pousr]_[A-Za-z0-9]{20,}",
-    "long-hex": "[0-9a-f]{40}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "github-token": r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,})\b",
+    "aws-akid": r"\bAKIA[0-9A-Z]{16}\b",
+    "slack-token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
+    "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._-]{16,}",
+    "private-key": r"-----BEGIN(?:[A-Z ]+)?PRIVATE KEY-----[\s\S]*?-----END(?:[A-Z ]+)?PRIVATE KEY-----",
+    "assigned-secret": r"(?i)(?<![A-Za-z0-9_-])(?:[A-Za-z_][A-Za-z0-9_-]*)?"
+    + _SECRET_WORD
+    + r"""(?![A-Za-z0-9_-])\+?=(?:\$\([^)\\\r\n]*(?:\\.[^)\\\r\n]*)*+\)|\$\{[^}\\\r\n]*(?:\\.[^}\\\r\n]*)*+\}|`[^`\\\r\n]*(?:\\.[^`\\\r\n]*)*+`|\$?'[^'\\\r\n]*(?:\\.[^'\\\r\n]*)*+'|\$?"[^"\\\r\n]*(?:\\.[^"\\\r\n]*)*+"|\\[^\r\n]|[^\s;&|<>()"'`\\\r\n$]+|\$)++""",
+    "config-secret": r"""(?im)(?:^[ \t]*["']?(?:[A-Za-z_][A-Za-z0-9_-]*)?"""
+    + _SECRET_WORD
+    + r"""(?![A-Za-z0-9_-])["']?[ \t]*[:=][ \t]*|["'](?:[A-Za-z_][A-Za-z0-9_-]*)?"""
+    + _SECRET_WORD
+    + r"""["']\s*:\s*)["']?[A-Za-z0-9._\-]{12,}["']?""",
+    "url-userinfo": r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@",
+    "url-secret-param": r"""(?i)[?&](?:access[_-]?token|api[_-]?key|apikey|auth|token|secret|password|sig|signature)=[^&\s"'#)]+""",
 }
+# Verification commands, and reads of a URL that change nothing.
+VERIFY_COMMAND = "(^|[;&| ])(pytest|npm test|pnpm test|cargo test|go test|make check|tsc|eslint)( |$)"
 
+_START, _END = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", "(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
-def has_word(x: Column, words: str) -> Column:
-    return F.lower(x).rlike(WORD_START + words + WORD_END)
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with \b between ASCII words, as other engines have it; Java's takes any letter for a word's."""
+    return pattern.replace(r"\b", f"(?:{_START}|{_END})")
+
+
+def matches(x: Column, pattern: str) -> Column:
+    return F.coalesce(x.rlike(ascii_bounds(pattern)), F.lit(False))
 
 
 def is_tool(kind: Column, tool: Column, name: Column) -> Column:
-    return (F.upper(kind) == "TOOL") | F.coalesce(tool, F.lit("")).startswith("tool") & tool.isNotNull() | name.startswith("tool.")
+    return (F.coalesce(F.upper(kind), F.lit("")) == "TOOL") | tool.isNotNull() | name.startswith("tool.")
 
 
-def action_kind(tool: Column, command: Column, is_tool_: Column, text: Column) -> Column:
-    """verify, edit, read, tool, claim or other, the first that holds."""
-    name = F.coalesce(tool, F.lit(""))
+def action_kind(tool: Column, name: Column, is_tool_: Column, content: Column) -> Column:
+    """verify, edit, read, tool, claim or other, the first that holds; words are looked for in a tool's name, the span's name and the content."""
+    said = F.concat_ws(" ", F.coalesce(tool, F.regexp_replace(name, "^tool[.]", "")), name, F.coalesce(content, F.lit("")))
     return (
-        F.when(is_tool_ & (has_word(F.coalesce(command, F.lit("")), VERIFY) | has_word(name, VERIFY)), "verify")
-        .when(is_tool_ & has_word(name, EDIT), "edit")
-        .when(is_tool_ & has_word(name, READ), "read")
+        F.when(is_tool_ & matches(said, VERIFY), "verify")
+        .when(is_tool_ & matches(said, CHANGE), "edit")
+        .when(is_tool_ & matches(said, READ), "read")
         .when(is_tool_, "tool")
-        .when(F.trim(F.coalesce(text, F.lit(""))) != "", F.when(has_word(text, CLAIM), "claim").otherwise("other"))
+        .when(matches(content, CLAIM), "claim")
         .otherwise("other")
     )
 
 
 def reaction_labels(text: Column) -> Column:
     """All labels that hold, in the order listed."""
-    return F.array_compact(F.array(*(F.when(has_word(text, words), F.lit(label)) for label, words in REACTIONS.items())))
+    return F.array_compact(F.array(*(F.when(matches(F.lower(text), pattern), F.lit(label)) for label, pattern in REACTIONS.items())))
 
 
-def actor(role: Column, text: Column) -> Column:
-    """human, or injected by what the text starts or holds."""
-    marks = ["<system-reminder>", "[Request interrupted", "<command-name>", "Caveat:", "<task-notification>"]
-    held = F.lit(False)
+def _holds(text: Column, marks: list[str]) -> Column:
+    found = F.lit(False)
     for m in marks:
-        held = held | text.contains(m)
-    return F.when(role != "user", "agent").when(held, "injected").when(F.length(text) > 1500, "agent_prompt").otherwise("human")
+        found = found | F.coalesce(text.contains(m), F.lit(False))
+    return found
+
+
+def injected(text: Column) -> Column:
+    """Whether a program put the text in: marks anywhere, or of a made-up prompt at its head."""
+    return _holds(text, COMMAND_MARKS + INJECTED_MARKS) | _holds(F.substring(text, 1, SYNTHETIC_HEAD), SYNTHETIC_MARKS)
+
+
+def is_brief(text: Column) -> Column:
+    """Whether a first turn reads like the brief of a spawned agent."""
+    t = F.trim(text)
+    return F.coalesce((F.length(t) > BRIEF_LENGTH) | matches(t, BRIEF), F.lit(False))
+
+
+def actor(role: Column, text: Column, first: Column | None = None, sidechain: Column | None = None, meta: Column | None = None, user_type: Column | None = None) -> Column:
+    """human, injected or subagent-spawn for a user's turn, else agent. first: whether it is the session's first user turn."""
+    no = F.lit(False)
+    of = lambda c: F.coalesce(c, no) if c is not None else no
+    found = F.when(F.coalesce(role != "user", F.lit(True)), "agent").when(of(sidechain), "subagent-spawn").when(of(meta), "injected")
+    if user_type is not None:
+        found = found.when(user_type != "external", "injected")
+    return found.when(injected(text), "injected").when(of(first) & is_brief(text), "subagent-spawn").otherwise("human")
+
+
+def starts_task(text: Column, sidechain: Column | None = None, user_type: Column | None = None) -> Column:
+    """Whether a user's turn starts a task that can be chosen; prompts that a program wrote may."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    out = (t == "") | _holds(t, NO_TASK_MARKS) | t.startswith("[Request interrupted by user") | t.rlike(NO_TASK_COMMAND) | t.startswith("Base directory for this skill:")
+    out = out | (t.startswith("# AGENTS.md instructions") & ~t.contains("</INSTRUCTIONS>"))
+    if sidechain is not None:
+        out = out | F.coalesce(sidechain, F.lit(False))
+    if user_type is not None:
+        out = out | F.coalesce(user_type != "external", F.lit(False))
+    return ~out
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, rules: dict[str, str] = REDACTIONS) -> Column:
     """The text with each rule's matches replaced by the rule's name."""
-    for name, pattern in REDACTIONS.items():
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+    for name, pattern in rules.items():
+        text = F.regexp_replace(text, ascii_bounds(pattern), f"[{name}]")
     return text
 
 
-def redaction_counts(text: Column) -> dict[str, Column]:
+def redaction_counts(text: Column, rules: dict[str, str] = REDACTIONS) -> dict[str, Column]:
     """Matches of each rule, each in what the rules before it left."""
     out = {}
-    for name, pattern in REDACTIONS.items():
-        out[name] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+    for name, pattern in rules.items():
+        out[name] = F.regexp_count(text, F.lit(ascii_bounds(pattern)))
+        text = F.regexp_replace(text, ascii_bounds(pattern), f"[{name}]")
     return out
 
 
@@ -108,4 +210,4 @@ def is_expected_blocking(tool: Column, args: Column) -> Column:
 
 
 def is_verification(command: Column) -> Column:
-    return command.rlike("(^|[;&| ])(pytest|npm test|pnpm test|cargo test|go test|make check|tsc|eslint)( |$)")
+    return command.rlike(VERIFY_COMMAND)

@@ -180,7 +180,7 @@ def link_kinds(edges: DataFrame) -> DataFrame:
 
 
 def span_structure(spans: DataFrame) -> DataFrame:
-    """Roots, traces without or with more than one root, and spans whose parent is absent."""
+    """Roots, runs without or with more than one root, and spans whose parent is absent."""
     ids = spans.select(F.col("span_id").alias("parent_span_id")).distinct()
     orphans = spans.filter("parent_span_id is not null").join(ids, "parent_span_id", "left_anti").agg(F.count("*").alias("orphans"))
     per = spans.groupBy("trace_id").agg(F.count_if(is_root()).alias("roots"), F.count("*").alias("n"))

@@ -1,24 +1,45 @@
-"""Trees and graphs of spans by recursive SQL, bounded in depth, with the path as guard against cycles."""
+"""Trees and graphs of spans, of any depth and size, by rounds of joins whose rows are written in between.
+
+Ancestors come by doubling: pairs up to twice the distance from pairs up to one, so a chain
+of n nodes takes log n rounds. What depends on each step from the root (boundaries, paths)
+goes down level by level, and each level joins its own nodes only. A null parent or one that
+isn't among the nodes ends the walk up; cycles end it where a node would come again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import tempfile
 
-#: Levels of a tree; deeper nodes are reported by check_depth().
-DEPTH = 60
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """ancestor, node, depth: every node under itself and each ancestor."""
-    sql = f"""
-    WITH RECURSIVE up(ancestor, node, depth, path) MAX RECURSION LEVEL {depth} AS (
-      SELECT node, node, 0, array(node) FROM {{nodes}}
-      UNION ALL
-      SELECT n.parent, u.node, u.depth + 1, array_append(u.path, n.parent) FROM up u JOIN {{nodes}} n ON n.node = u.ancestor
-      WHERE n.parent IS NOT NULL AND NOT array_contains(u.path, n.parent)
-    ) SELECT ancestor, node, depth FROM up"""
-    return nodes.sparkSession.sql(sql, nodes=nodes)
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the session's spark.checkpoint.dir (a folder of this machine only in local sessions without one), with a plan of their own."""
+    session, context = df.sparkSession, df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlight-"))
+    rows = df.checkpoint(eager=True)
+    # a checkpoint keeps its plan's estimates, which grow without bound over rounds of joins
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False), session)
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """ancestor, node, depth: every node under itself and each ancestor (the least depth of each, so cycles end)."""
+    own = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    found = written(nodes.filter("parent is not null and parent != node").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")).distinct())
+    count, reach = found.count(), 1
+    while True:
+        far = found.filter(F.col("depth") == reach).select(F.col("ancestor").alias("via"), "node")
+        above = found.select("ancestor", F.col("node").alias("via"), (F.col("depth") + reach).alias("depth"))
+        longer = far.join(above, "via").filter("ancestor != node").select("ancestor", "node", "depth")
+        found = written(found.union(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
+        before, count, reach = count, found.count(), 2 * reach
+        if count == before:
+            return own.union(found)
 
 
 def subtree_totals(nodes: DataFrame) -> DataFrame:
@@ -28,23 +49,40 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
     return below.join(there, "ancestor", "left_semi").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("records"), F.round(F.sum("usd"), 2).alias("usd"), F.count_if(F.col("usd").isNull()).alias("usd_unknown"))
 
 
+def _down(nodes: DataFrame, first: list[Column], step: list[Column]) -> DataFrame:
+    """Rows from the roots down: first of a root's columns, step of a node's and its parent's (``up``) columns. Nodes of a cycle have no root and no row."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("has_parent")).distinct()
+    marked = written(nodes.join(known, "parent", "left"))
+    level = written(marked.filter("has_parent is null").select(*first))
+    under = marked.filter("has_parent")
+    found = level
+    while not level.isEmpty():
+        up = level.select(F.col("node").alias("parent"), F.struct("*").alias("up"))
+        level = written(under.join(up, "parent").select(*step))
+        found = found.union(level)
+    return found
+
+
+# Operations that start an agent's run.
+AGENT_OPERATIONS = ("invoke_agent", "invoke_workflow")
+
+
 def run_tree(nodes: DataFrame) -> DataFrame:
-    """Nodes dealt to the boundary that encloses them: a root, a node without a known parent, or one whose own agent differs from the enclosing one's.
+    """Nodes dealt to the boundary that encloses them: node, enclosing, agent (of the boundary), depth (of boundaries).
 
-    node, enclosing, agent, depth (of boundaries).
+    A boundary is a root, a node without a known parent, one of kind AGENT or of an agent's
+    operation (where nodes have such columns), or one whose agent differs from the enclosing
+    boundary's, if both are known.
     """
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("has_parent"))
-    marked = nodes.join(known, "parent", "left").withColumn("root", F.col("has_parent").isNull())
-    sql = f"""
-    WITH RECURSIVE down(node, enclosing, agent, depth) MAX RECURSION LEVEL {DEPTH} AS (
-      SELECT node, node, agent, 0 FROM {{marked}} WHERE root
-      UNION ALL
-      SELECT n.node, CASE WHEN n.agent IS NOT NULL AND d.agent IS NOT NULL AND n.agent <> d.agent OR n.agent IS NOT NULL AND d.agent IS NULL THEN n.node ELSE d.enclosing END,
-        CASE WHEN n.agent IS NOT NULL THEN n.agent ELSE d.agent END,
-        CASE WHEN n.agent IS NOT NULL AND d.agent IS NOT NULL AND n.agent <> d.agent OR n.agent IS NOT NULL AND d.agent IS NULL THEN d.depth + 1 ELSE d.depth END
-      FROM down d JOIN {{marked}} n ON n.parent = d.node WHERE NOT n.root
-    ) SELECT node, enclosing, agent, depth FROM down"""
-    return nodes.sparkSession.sql(sql, marked=marked)
+    new = F.coalesce(F.col("agent") != F.col("up.agent"), F.lit(False))
+    if "kind" in nodes.columns:
+        new = new | F.coalesce(F.upper("kind") == "AGENT", F.lit(False))
+    if "operation" in nodes.columns:
+        new = new | F.coalesce(F.col("operation").isin(*AGENT_OPERATIONS), F.lit(False))
+    first = [F.col("node"), F.col("node").alias("enclosing"), F.col("agent"), F.lit(0).alias("depth")]
+    either = lambda a, b: F.when(new, a).otherwise(b)
+    step = [F.col("node"), either(F.col("node"), F.col("up.enclosing")).alias("enclosing"), either(F.col("agent"), F.col("up.agent")).alias("agent"), either(F.col("up.depth") + 1, F.col("up.depth")).alias("depth")]
+    return _down(nodes, first, step)
 
 
 def spend_split(nodes: DataFrame) -> DataFrame:
@@ -80,27 +118,32 @@ def reach(edges: DataFrame, start: DataFrame, bound: int = 5) -> DataFrame:
     return found
 
 
-def cycles(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes that are their own ancestor, with the smallest node of their cycle."""
-    sql = f"""
-    WITH RECURSIVE walk(start, node, least, depth) MAX RECURSION LEVEL {depth} AS (
-      SELECT node, parent, least(node, parent), 1 FROM {{nodes}} WHERE parent IS NOT NULL
-      UNION ALL
-      SELECT w.start, n.parent, least(w.least, n.parent), w.depth + 1 FROM walk w JOIN {{nodes}} n ON n.node = w.node
-      WHERE n.parent IS NOT NULL AND w.node <> w.start AND w.depth < {depth - 1}
-    ) SELECT start AS node, least AS cycle, depth AS size FROM walk WHERE node = start"""
-    return nodes.sparkSession.sql(sql, nodes=nodes)
+def cycles(nodes: DataFrame) -> DataFrame:
+    """Nodes that are their own ancestor, with the smallest node of their cycle and its size.
+
+    Each node has one parent, so after as many steps up as there are nodes only nodes of
+    cycles are left, each reached by itself; steps are doubled, with the least node on the way.
+    """
+    now = written(nodes.filter("parent is not null").select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("least")))
+    steps, most = 1, now.count()
+    while steps < most:
+        on = now.select(F.col("node").alias("at"), F.col("at").alias("then"), F.col("least").alias("next"))
+        now = written(now.join(on, "at").select("node", F.col("then").alias("at"), F.least("least", "next").alias("least")))
+        steps *= 2
+        if now.isEmpty():
+            break
+    reached = now.select(F.col("at").alias("node")).distinct()
+    ring = now.join(reached, "node", "left_semi").select("node", F.col("least").alias("cycle"))
+    sizes = ring.groupBy("cycle").agg(F.count("*").cast("int").alias("size"))
+    return ring.join(sizes, "cycle").select("node", "cycle", "size")
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
-    """Nodes with their path from the root, the order of a walk in depth first."""
-    sql = f"""
-    WITH RECURSIVE down(node, path, depth) MAX RECURSION LEVEL {DEPTH} AS (
-      SELECT node, node, 0 FROM {{nodes}} WHERE parent IS NULL
-      UNION ALL
-      SELECT n.node, concat(d.path, '/', n.node), d.depth + 1 FROM down d JOIN {{nodes}} n ON n.parent = d.node
-    ) SELECT node, path, depth FROM down"""
-    return nodes.sparkSession.sql(sql, nodes=nodes)
+    """Nodes with their path from the root, the order of a walk in depth first; a node whose parent is unknown is a root, and so is the smallest node of a cycle."""
+    heads = cycles(nodes.select("node", "parent")).filter("node = cycle").select("node", F.lit(True).alias("head"))
+    cut = nodes.select("node", "parent").join(heads, "node", "left").select("node", F.when(F.col("head").isNull(), F.col("parent")).alias("parent"))
+    first = [F.col("node"), F.col("node").cast("string").alias("path"), F.lit(0).alias("depth")]
+    return _down(cut, first, [F.col("node"), F.concat("up.path", F.lit("/"), F.col("node").cast("string")).alias("path"), (F.col("up.depth") + 1).alias("depth")])
 
 
 def round_verdicts(nodes: DataFrame) -> DataFrame:
@@ -108,10 +151,9 @@ def round_verdicts(nodes: DataFrame) -> DataFrame:
 
     nodes: node, parent, is_round, verdict, ord.
     """
-    sql = f"""
-    WITH RECURSIVE below(round, node, verdict, is_round, depth, ord) MAX RECURSION LEVEL {DEPTH} AS (
-      SELECT node, node, verdict, false, 0, ord FROM {{nodes}} WHERE is_round
-      UNION ALL
-      SELECT b.round, n.node, n.verdict, n.is_round, b.depth + 1, n.ord FROM below b JOIN {{nodes}} n ON n.parent = b.node WHERE NOT b.is_round
-    ) SELECT round, min_by(verdict, CASE WHEN verdict IS NOT NULL THEN struct(depth, ord) END) AS verdict FROM below GROUP BY round"""
-    return nodes.sparkSession.sql(sql, nodes=nodes)
+    rounds = nodes.filter("is_round").select("node", "verdict", "ord")
+    above = closure(nodes.select("node", "parent")).filter("depth > 0").join(rounds.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    owner = above.groupBy("node").agg(F.min_by("ancestor", "depth").alias("round"), F.min("depth").alias("depth"))
+    below = owner.join(nodes.select("node", "verdict", "ord"), "node").select("round", "verdict", "depth", "ord")
+    every = below.union(rounds.select(F.col("node").alias("round"), "verdict", F.lit(0).alias("depth"), "ord"))
+    return every.groupBy("round").agg(F.min_by("verdict", F.when(F.col("verdict").isNotNull(), F.struct("depth", "ord"))).alias("verdict"))

@@ -55,12 +55,12 @@ def row_findings(spans: DataFrame) -> DataFrame:
 
 
 def structure_findings(spans: DataFrame) -> DataFrame:
-    """code, spans for defects between rows: parents, traces, repeats, links."""
-    ids = spans.groupBy("span_id").agg(F.countDistinct("trace_id").alias("traces"), F.count("*").alias("n"), F.min("trace_id").alias("a_trace"))
-    parents = ids.select(F.col("span_id").alias("parent_span_id"), "traces", "a_trace")
+    """code, spans for defects between rows: parents, runs, repeats, links."""
+    ids = spans.groupBy("span_id").agg(F.countDistinct("trace_id").alias("in_runs"), F.count("*").alias("n"), F.min("trace_id").alias("a_trace"))
+    parents = ids.select(F.col("span_id").alias("parent_span_id"), "in_runs", "a_trace")
     children = spans.filter("parent_span_id is not null").select("trace_id", "parent_span_id").join(parents, "parent_span_id", "left")
-    by_parent = children.agg(F.count_if(F.col("traces").isNull()).alias("orphan-parent"), F.count_if((F.col("traces") == 1) & (F.col("a_trace") != F.col("trace_id"))).alias("cross-trace-parent"))
-    repeats = ids.agg(F.count_if(F.col("traces") > 1).alias("duplicate-span-id"), F.count_if((F.col("traces") == 1) & (F.col("n") > 1)).alias("redeclared-span"))
+    by_parent = children.agg(F.count_if(F.col("in_runs").isNull()).alias("orphan-parent"), F.count_if((F.col("in_runs") == 1) & (F.col("a_trace") != F.col("trace_id"))).alias("cross-trace-parent"))
+    repeats = ids.agg(F.count_if(F.col("in_runs") > 1).alias("duplicate-span-id"), F.count_if((F.col("in_runs") == 1) & (F.col("n") > 1)).alias("redeclared-span"))
     flat = spans.groupBy("trace_id").agg(F.count("*").alias("n"), F.count("parent_span_id").alias("edges")).agg(F.count_if((F.col("n") > 1) & (F.col("edges") == 0)).alias("flat-hierarchy"))
     links = spans.filter("link_span_id is not null").select(F.col("link_span_id").alias("span_id")).join(ids.select("span_id", "n"), "span_id", "left").agg(F.count_if(F.col("n").isNull()).alias("dangling-link"))
     one = [by_parent, repeats, flat, links]

@@ -63,7 +63,7 @@ def verifications_since_edit(actions: DataFrame) -> DataFrame:
 
 
 def monotone_usage(turns: DataFrame, least: int = 3) -> DataFrame:
-    """Traces whose input tokens only grow, or whose output tokens only shrink, over the turns that have both."""
+    """Runs whose input tokens only grow, or whose output tokens only shrink, over the turns that have both."""
     paired = turns.filter("input_tokens is not null and output_tokens is not null")
     order = Window.partitionBy("trace_id").orderBy("start_us", "ord")
     steps = paired.withColumn("grew", F.col("input_tokens") > F.lag("input_tokens").over(order)).withColumn("shrank", F.col("output_tokens") < F.lag("output_tokens").over(order))

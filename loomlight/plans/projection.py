@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classifiers as C
 
 # One trace for each user: the first event is the root, others hang under it.
 EVENT_SPANS = """
@@ -67,15 +70,23 @@ UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nati
 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 11 = 0 THEN 's999999' ELSE concat('s', CAST(c_custkey % 90 AS STRING)) END, c_name, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END, CASE WHEN c_custkey % 5 = 0 THEN 'worker' END FROM customer
 """
 
-# What each event span does, for the rules of live sessions.
-ACTIONS = """
-SELECT trace_id, ord, start_us, tool, args AS content, status_code, kind = 'TOOL' AS is_tool,
-  CASE WHEN kind = 'TOOL' AND k % 6 = 0 THEN 'verify' WHEN kind = 'TOOL' AND k % 6 = 1 THEN 'edit' WHEN kind = 'TOOL' AND k % 6 = 2 THEN 'read'
-    WHEN kind = 'TOOL' THEN 'tool' WHEN kind = 'LLM' AND k % 2 = 0 THEN 'claim' ELSE 'other' END AS action
+# What each event span says; stand-ins for commands and answers, which the tables don't have.
+SAID = """
+SELECT trace_id, ord, start_us, tool, name, status_code, kind = 'TOOL' AS is_tool,
+  CASE WHEN kind = 'TOOL' THEN CASE k % 6 WHEN 0 THEN 'pytest -q' WHEN 1 THEN 'apply_patch main.py' WHEN 2 THEN 'cat notes.txt' ELSE args END
+    WHEN kind = 'LLM' THEN CASE k % 2 WHEN 0 THEN 'All green, ready.' ELSE 'Looking further.' END END AS content
 FROM ev
 """
 
-PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (ACTIONS, ["ev"])}
+
+def _actions() -> str:
+    """What each event span does, by the words of its tool, name and content; the twin of action_kind()."""
+    said = "concat_ws(' ', coalesce(tool, regexp_replace(name, '^tool[.]', '')), name, coalesce(content, ''))"
+    kinds = " ".join(f"WHEN is_tool AND regexp_matches({said}, '{pattern}') THEN '{action}'" for action, pattern in (("verify", C.VERIFY), ("edit", C.CHANGE), ("read", C.READ)))
+    return f"SELECT trace_id, ord, start_us, tool, content, status_code, is_tool, CASE {kinds} WHEN is_tool THEN 'tool' WHEN regexp_matches(content, '{C.CLAIM}') THEN 'claim' ELSE 'other' END AS action FROM ({SAID})"
+
+
+PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"])}
 
 
 def for_spark(sql: str) -> str:
@@ -89,6 +100,9 @@ def for_duckdb(sql: str) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projection as a DataFrame."""
     sql, tables = PROJECTIONS[name]
+    if name == "act":
+        rows = spark.sql(SAID.replace("FROM ev", "FROM {ev}"), ev=load(spark, sf_dir, "ev"))
+        return rows.withColumn("action", C.action_kind(F.col("tool"), F.col("name"), F.col("is_tool"), F.col("content"))).drop("name")
     frames = {t: load(spark, sf_dir, t) if t in PROJECTIONS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     text = for_spark(sql)
     for t in tables:

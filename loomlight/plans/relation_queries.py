@@ -155,10 +155,10 @@ def g03(spark, sf):
     return G.subtree_totals(load(spark, sf, "tree"))
 
 
-_NEW = "n.agent IS NOT NULL AND (d.agent IS NULL OR n.agent <> d.agent)"
+_NEW = "coalesce(n.agent <> d.agent, false)"
 
 
-@query("g02_run_tree", f"WITH RECURSIVE mk AS (SELECT t.*, p.node IS NULL AS root FROM tree t LEFT JOIN tree p ON p.node = t.parent), dn AS (SELECT node, node AS enclosing, agent, 0 AS depth FROM mk WHERE root UNION ALL SELECT n.node, CASE WHEN {_NEW} THEN n.node ELSE d.enclosing END, coalesce(n.agent, d.agent), CASE WHEN {_NEW} THEN d.depth + 1 ELSE d.depth END FROM dn d JOIN mk n ON n.parent = d.node WHERE NOT n.root) SELECT node, enclosing, agent, depth FROM dn")
+@query("g02_run_tree", f"WITH RECURSIVE mk AS (SELECT t.*, p.node IS NULL AS root FROM tree t LEFT JOIN tree p ON p.node = t.parent), dn AS (SELECT node, node AS enclosing, agent, 0 AS depth FROM mk WHERE root UNION ALL SELECT n.node, CASE WHEN {_NEW} THEN n.node ELSE d.enclosing END, CASE WHEN {_NEW} THEN n.agent ELSE d.agent END, CASE WHEN {_NEW} THEN d.depth + 1 ELSE d.depth END FROM dn d JOIN mk n ON n.parent = d.node WHERE NOT n.root) SELECT node, enclosing, agent, depth FROM dn")
 def g02(spark, sf):
     return G.run_tree(load(spark, sf, "tree"))
 
@@ -187,7 +187,7 @@ def g09(spark, sf):
     return G.cycles(parquet(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.expr(_RING).alias("parent")))
 
 
-@query("g10_preorder", "WITH RECURSIVE dn AS (SELECT node, node AS path, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT n.node, concat(d.path, '/', n.node), d.depth + 1 FROM dn d JOIN tree n ON n.parent = d.node) SELECT * FROM dn")
+@query("g10_preorder", "WITH RECURSIVE dn AS (SELECT node, node AS path, 0 AS depth FROM tree WHERE parent IS NULL OR parent NOT IN (SELECT node FROM tree) UNION ALL SELECT n.node, concat(d.path, '/', n.node), d.depth + 1 FROM dn d JOIN tree n ON n.parent = d.node) SELECT * FROM dn")
 def g10(spark, sf):
     return G.preorder(load(spark, sf, "tree"))
 
@@ -206,14 +206,14 @@ def g01(spark, sf):
 
 
 _CODES = ", ".join(f"('{c}', '{s}', '{','.join(b)}')" for c, (s, b) in V.CODES.items())
-_FIND = f"""codes(code, severity, blocks) AS (VALUES {_CODES}), ids AS (SELECT span_id, count(DISTINCT trace_id) AS traces, count(*) AS n, min(trace_id) AS t FROM ev GROUP BY span_id),
+_FIND = f"""codes(code, severity, blocks) AS (VALUES {_CODES}), ids AS (SELECT span_id, count(DISTINCT trace_id) AS in_runs, count(*) AS n, min(trace_id) AS t FROM ev GROUP BY span_id),
 raw AS (SELECT 'non-hex-id' AS code, count(*) AS spans FROM ev WHERE NOT (regexp_full_match(trace_id, '[0-9a-f]{{32}}') AND regexp_full_match(span_id, '[0-9a-f]{{16}}'))
 UNION ALL SELECT 'missing-trace-id', count(*) FROM ev WHERE coalesce(trim(trace_id), '') = '' UNION ALL SELECT 'invalid-timestamp', count(*) FROM ev WHERE start_us IS NULL OR end_us IS NULL
 UNION ALL SELECT 'negative-duration', count(*) FROM ev WHERE end_us < start_us UNION ALL SELECT 'missing-model', count(*) FROM ev WHERE kind = 'LLM' AND model IS NULL
 UNION ALL SELECT 'no-usage', count(*) FROM ev WHERE kind = 'LLM' AND input_tokens IS NULL AND output_tokens IS NULL UNION ALL SELECT 'missing-tool-name', count(*) FROM ev WHERE kind = 'TOOL' AND tool IS NULL
 UNION ALL SELECT 'orphan-parent', count(*) FROM ev LEFT JOIN ids ON ids.span_id = parent_span_id WHERE parent_span_id IS NOT NULL AND ids.span_id IS NULL
-UNION ALL SELECT 'cross-trace-parent', count(*) FROM ev JOIN ids ON ids.span_id = parent_span_id WHERE traces = 1 AND t <> trace_id
-UNION ALL SELECT 'duplicate-span-id', count(*) FROM ids WHERE traces > 1 UNION ALL SELECT 'redeclared-span', count(*) FROM ids WHERE traces = 1 AND n > 1
+UNION ALL SELECT 'cross-trace-parent', count(*) FROM ev JOIN ids ON ids.span_id = parent_span_id WHERE in_runs = 1 AND t <> trace_id
+UNION ALL SELECT 'duplicate-span-id', count(*) FROM ids WHERE in_runs > 1 UNION ALL SELECT 'redeclared-span', count(*) FROM ids WHERE in_runs = 1 AND n > 1
 UNION ALL SELECT 'flat-hierarchy', count(*) FROM (SELECT trace_id FROM ev GROUP BY trace_id HAVING count(*) > 1 AND count(parent_span_id) = 0)
 UNION ALL SELECT 'dangling-link', count(*) FROM ev LEFT JOIN ids ON ids.span_id = link_span_id WHERE link_span_id IS NOT NULL AND ids.span_id IS NULL),
 fnd AS (SELECT code, spans, severity, blocks FROM raw JOIN codes USING (code) WHERE spans > 0)"""
@@ -304,10 +304,12 @@ def a21(spark, sf):
 
 
 def _redaction_sql() -> str:
+    """The rules without look-around: a character before an identifier is taken along and put back; what follows one is never a part of it."""
     text, parts = "text", []
-    for name, pattern in C.REDACTIONS.items():
+    for name, rule in C.REDACTIONS.items():
+        pattern = rule.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])").replace("(?![A-Za-z0-9_-])", "").replace(")*+", ")*").replace(")++", ")+").replace("'", "''")
         parts.append(f"sum(len(regexp_extract_all({text}, '{pattern}')))::BIGINT AS \"{name}\"")
-        text = f"regexp_replace({text}, '{pattern}', '[{name}]', 'g')"
+        text = f"regexp_replace({text}, '{pattern}', '{chr(92) + '1' if '(?<!' in rule else ''}[{name}]', 'g')"
     return f"SELECT {', '.join(parts)} FROM documents"
 
 
@@ -377,14 +379,36 @@ def f07(spark, sf):
     return parquet(spark, sf, "conversations").select("conv_id", "turn", S.capped("text", 800).alias("capped"))
 
 
-@query("f12_reaction_labels", "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{C.WORD_START}{w}{C.WORD_END}') THEN '{n}' END" for n, w in C.REACTIONS.items()) + ") AS labels FROM conversations")
+_REACTED = ", ".join("CASE WHEN regexp_matches(lower(text), '" + p.replace("'", "''") + f"') THEN '{n}' END" for n, p in C.REACTIONS.items())
+
+
+@query("f12_reaction_labels", f"SELECT conv_id, turn, concat_ws(',', {_REACTED}) AS labels FROM conversations")
 def f12(spark, sf):
     return parquet(spark, sf, "conversations").select("conv_id", "turn", F.array_join(C.reaction_labels(F.col("text")), ",").alias("labels"))
 
 
-@query("f13_actors", "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'agent' WHEN contains(text, '<system-reminder>') OR contains(text, '<command-name>') THEN 'injected' WHEN length(text) > 1500 THEN 'agent_prompt' ELSE 'human' END AS actor FROM conversations")
+def _any_of(text: str, marks: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{m}')" for m in marks) + ")"
+
+
+_BRIEF = C.BRIEF.replace("'", "''")
+
+
+@query(
+    "f13_actors",
+    f"""SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'agent' WHEN {_any_of("text", C.COMMAND_MARKS + C.INJECTED_MARKS)} OR {_any_of(f"substr(text, 1, {C.SYNTHETIC_HEAD})", C.SYNTHETIC_MARKS)} THEN 'injected'
+    WHEN turn = min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AND (length(trim(text)) > {C.BRIEF_LENGTH} OR regexp_matches(trim(text), '{_BRIEF}')) THEN 'subagent-spawn' ELSE 'human' END AS actor FROM conversations""",
+)
 def f13(spark, sf):
-    return parquet(spark, sf, "conversations").select("conv_id", "turn", C.actor(F.col("role"), F.col("text")).alias("actor"))
+    turns = parquet(spark, sf, "conversations")
+    first = turns.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    return turns.join(first, "conv_id", "left").select("conv_id", "turn", C.actor(F.col("role"), F.col("text"), F.col("turn") == F.col("first")).alias("actor"))
+
+
+@query("f14_task_starts", f"""SELECT conv_id, turn FROM conversations WHERE role = 'user' AND trim(text) <> '' AND NOT {_any_of("text", C.NO_TASK_MARKS)} AND NOT starts_with(trim(text), '[Request interrupted by user') AND NOT regexp_matches(text, '{C.NO_TASK_COMMAND}')
+AND NOT starts_with(trim(text), 'Base directory for this skill:') AND NOT (starts_with(trim(text), '# AGENTS.md instructions') AND NOT contains(text, '</INSTRUCTIONS>'))""")
+def f14(spark, sf):
+    return parquet(spark, sf, "conversations").filter((F.col("role") == "user") & C.starts_task(F.col("text"))).select("conv_id", "turn")
 
 
 @query("f16_url_hosts", "SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z+]+://([^@/]*@)?', ''), '(\\.git)?/*$', '')) AS remote FROM pages")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classifiers as C
 from ..operators import aggregates as A
 from ..operators import windows as W
 from .projection import load
@@ -175,9 +176,9 @@ def a35(spark, sf):
     return A.top_loop_tools(A.stuck_loops(ev(spark, sf), DAY_US))
 
 
-@query("a30_trace_stats", "SELECT harness, count(*) AS spans, count(DISTINCT trace_id) AS traces, count(DISTINCT span_id) AS ids FROM ev GROUP BY harness")
+@query("a30_trace_stats", "SELECT harness, count(*) AS spans, count(DISTINCT trace_id) AS runs, count(DISTINCT span_id) AS ids FROM ev GROUP BY harness")
 def a30(spark, sf):
-    return ev(spark, sf).groupBy("harness").agg(F.count("*").alias("spans"), F.countDistinct("trace_id").alias("traces"), F.countDistinct("span_id").alias("ids"))
+    return ev(spark, sf).groupBy("harness").agg(F.count("*").alias("spans"), F.countDistinct("trace_id").alias("runs"), F.countDistinct("span_id").alias("ids"))
 
 
 _FRESH = """f AS (SELECT *, name = 'user.prompt' AND actor = 'human' AS human, (kind = 'LLM' OR name LIKE 'message.assistant%') AND name <> 'user.prompt' AND trim(content) <> '' AS fresh FROM chat),
@@ -190,20 +191,23 @@ def w03(spark, sf):
     return W.reactions(load(spark, sf, "chat")).select("trace_id", "step", "last_assistant")
 
 
-@query("a20_reaction_counts", f"WITH {_FRESH} SELECT trace_id, count(*) AS turns, count(*) FILTER (regexp_matches(lower(content), '(^|[^A-Za-z0-9_])(no|wrong|incorrect|not what|undo|revert|actually)([^A-Za-z0-9_]|$)')) AS corrections, count(*) FILTER (regexp_matches(lower(content), '(^|[^A-Za-z0-9_])(great|perfect|thanks|thank you|nice|good job)([^A-Za-z0-9_]|$)')) AS praise FROM re GROUP BY trace_id")
-def a20(spark, sf):
-    from ..functions.classifiers import REACTIONS, has_word
+def _reacted(label: str) -> str:
+    return "regexp_matches(lower(content), '" + C.REACTIONS[label].replace("'", "''") + "')"
 
-    text = F.col("content")
-    return W.reactions(load(spark, sf, "chat")).groupBy("trace_id").agg(F.count("*").alias("turns"), F.count_if(has_word(text, REACTIONS["correction"])).alias("corrections"), F.count_if(has_word(text, REACTIONS["praise"])).alias("praise"))
 
+_SIGNALS = ", ".join(f"count(*) FILTER ({_reacted(n)}) AS {n}" for n in C.REACTIONS)
+
+
+@query("a20_reaction_counts", f"WITH {_FRESH} SELECT trace_id, count(*) AS turns, {_SIGNALS} FROM re GROUP BY trace_id")
+def a20(spark, sf):
+    text = F.lower("content")
+    return W.reactions(load(spark, sf, "chat")).groupBy("trace_id").agg(F.count("*").alias("turns"), *(F.count_if(C.matches(text, p)).alias(n) for n, p in C.REACTIONS.items()))
 
-@query("o02_trigger_pairs", f"WITH {_FRESH}, s AS (SELECT trace_id, step, 2 * regexp_matches(lower(content), '(^|[^A-Za-z0-9_])(no|wrong|incorrect|not what|undo|revert|actually)([^A-Za-z0-9_]|$)')::INT + regexp_matches(lower(content), '(^|[^A-Za-z0-9_])(great|perfect|thanks|thank you|nice|good job)([^A-Za-z0-9_]|$)')::INT AS strength FROM re) SELECT * FROM s ORDER BY strength DESC, trace_id, step LIMIT 10")
-def o02(spark, sf):
-    from ..functions.classifiers import REACTIONS, has_word
 
-    text = F.col("content")
-    strength = 2 * has_word(text, REACTIONS["correction"]).cast("int") + has_word(text, REACTIONS["praise"]).cast("int")
+@query("o02_trigger_pairs", f"WITH {_FRESH}, s AS (SELECT trace_id, step, 2 * {_reacted('correction')}::INT + {_reacted('praise')}::INT AS strength FROM re) SELECT * FROM s ORDER BY strength DESC, trace_id, step LIMIT 10")
+def o02(spark, sf):
+    text = F.lower("content")
+    strength = 2 * C.matches(text, C.REACTIONS["correction"]).cast("int") + C.matches(text, C.REACTIONS["praise"]).cast("int")
     return W.reactions(load(spark, sf, "chat")).select("trace_id", "step", strength.alias("strength")).orderBy(F.desc("strength"), "trace_id", "step").limit(10)
 
 

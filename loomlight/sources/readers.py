@@ -34,7 +34,7 @@ ALIASES = {
     "loop_id": ['$["agent.loop.id"]'],
     "outcome": ['$["agent.outcome"]'],
     "agent": ['$["agent.name"]', '$["inference.agent_name"]', '$["gen_ai.agent.name"]'],
-    "session_id": ['$["tangle.sessionId"]', '$["session.id"]', '$["traces.session.id"]'],
+    "session_id": ['$["session.id"]'],
     "content": ["$.content", '$["input.value"]', '$["output.value"]'],
 }
 
