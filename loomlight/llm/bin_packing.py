@@ -5,9 +5,9 @@ that all pieces but the first are full; full pieces are sequences of their own.
 pieces are dealt by row to shards of about SHARD pieces. On each of ISLANDS islands of a
 shard a population evolves: crossover injects a random half of one parent's well-filled
 bins into the other, removes the bins that hold duplicates and best-fits the displaced
-pieces; mutation empties the least filled bins. Then each island's elite migrates to the
-next island of the shard and evolution goes on; the best packing of all islands stands.
-Islands stop at the lower bound. What is left open in the shards' last bins is pooled and
+pieces; mutation empties the least filled bins. After each of EPOCHS but the last, each
+island's elite migrates to the next island of the shard; the best packing of all islands
+stands. Islands stop at the lower bound. What is left open in the shards' last bins is pooled and
 packed once more in the same way.
 
 A shard holds a bounded number of pieces whatever the corpus, so no task gathers more.
@@ -34,7 +34,7 @@ from .token_counts import balanced
 
 CAPACITY = 2048
 SHARD, ISLANDS = 2048, 2
-POPULATION, GENERATIONS, ELITES = 4, 6, 2
+POPULATION, GENERATIONS, ELITES, EPOCHS = 4, 4, 2, 3
 #: Bins filled to this share are not pooled again.
 CLOSED = 0.98
 
@@ -281,13 +281,15 @@ def _evolved(rows: DataFrame, count: int, level: int, capacity: int) -> DataFram
     gathered = dealt.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias("items"))  # about SHARD rows each
     items = f"array<{item}>"
     islands = gathered.withColumn("elites", F.lit(None).cast("array<array<int>>")).withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
-    first = materialize(_epoch(islands, items, capacity, 1))
-    # migration: each island keeps its elite and takes the best of the one before
-    together = first.groupBy("shard").agg(F.first("items").alias("items"), F.map_from_entries(F.collect_list(F.struct("island", "elites"))).alias("by_island"))
-    settled = together.withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
     own, before = (F.element_at("by_island", x) for x in (F.col("island"), F.pmod(F.col("island") + F.lit(ISLANDS - 1), F.lit(ISLANDS))))
-    second = _epoch(settled.withColumn("elites", F.concat(own, F.slice(before, 1, 1))), items, capacity, 2)
-    last = second.groupBy("shard").agg(F.first("items").alias("items"), F.flatten(F.collect_list("elites")).alias("elites"))
+    for epoch in range(1, EPOCHS):
+        settled = materialize(_epoch(islands, items, capacity, epoch))
+        # migration: each island keeps its elite and takes the best of the one before
+        together = settled.groupBy("shard").agg(F.first("items").alias("items"), F.map_from_entries(F.collect_list(F.struct("island", "elites"))).alias("by_island"))
+        spread = together.withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
+        islands = spread.withColumn("elites", F.concat(own, F.slice(before, 1, 1)))
+    ended = _epoch(islands, items, capacity, EPOCHS)
+    last = ended.groupBy("shard").agg(F.first("items").alias("items"), F.flatten(F.collect_list("elites")).alias("elites"))
     names = [*columns, "sequence_id", "offset", "fill"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

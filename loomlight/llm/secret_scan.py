@@ -7,8 +7,8 @@ candidate of a text (a run of credential characters, and each stretch of its dot
 scored under every automaton; it is a secret if one accepts it with a mean log likelihood per
 character of at least the least that its labelled strings have (less MARGIN). Where a format
 fixes the length, that is the length; else there is a least one only. The labelled strings are made from
-the public formats of FORMATS, PER_FORMAT each with a fixed seed: a bounded sample and the
-only thing that is bounded. Automata are small and go along with the function.
+the public formats of FORMATS, PER_FORMAT each with a fixed seed, or come from a table of
+labelled credentials (models_of): a bounded sample and the only thing that is bounded. Automata are small and go along with the function.
 
 Base spans stay as they are; a learned span is added where no base span holds it. Spans are
 those of whole matches in code points, end exclusive.
@@ -27,7 +27,7 @@ from functools import lru_cache
 from math import inf, log, sqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, worker_cache
@@ -55,7 +55,7 @@ FORMATS: dict[str, list] = {
     "sendgrid_key": ["SG.", (_ALNUM + "-_", 22, 22), ".", (_ALNUM + "-_", 43, 43)],
     "json_web_token": ["eyJ", (_ALNUM + "-_", 15, 160), ".eyJ", (_ALNUM + "-_", 10, 400), ".", (_ALNUM + "-_", 43, 342)],
 }
-PER_FORMAT, ALPHA, SEED = 120, 0.05, 7
+PER_FORMAT, ALPHA, SEED, KINDS = 120, 0.05, 7, 64
 #: A state with so many different characters reads a random part of a format.
 VARIED = 20
 #: How far below the least likely labelled string another of its kind may be.
@@ -191,6 +191,22 @@ def automata() -> dict[str, Automaton]:
     return {kind: Automaton(strings, size(kind, 1), size(kind, 2)) for kind, strings in by_kind.items()}
 
 
+def models_of(credentials: DataFrame, per_kind: int = PER_FORMAT) -> dict[str, Automaton]:
+    """Automata of labelled credentials (kind, credential): of each kind at most per_kind distinct ones, those of the least hash.
+
+    Lengths are those of the strings taken: one length if they all have it, else the shortest
+    is the least. Rows with a null are left out; over KINDS kinds are an error.
+    """
+    rows = credentials.select(F.col("kind").cast("string"), F.col("credential").cast("string")).filter("kind is not null and credential != ''").distinct()
+    at = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("credential"), "credential"))
+    by_kind: dict[str, list[str]] = {}
+    for kind, s in rows.withColumn("at", at).filter(F.col("at") <= per_kind).select("kind", "credential").orderBy("kind", "at").limit(KINDS * per_kind + 1).toLocalIterator():
+        by_kind.setdefault(kind, []).append(s)
+    if len(by_kind) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of credentials")
+    return {kind: Automaton(strings, min(map(len, strings)), max(map(len, strings))) for kind, strings in by_kind.items()}
+
+
 Span = tuple[int, int, str]
 
 
@@ -209,7 +225,7 @@ def base_spans(text: str) -> list[Span]:
 def learned_spans(text: str, models: dict[str, Automaton]) -> list[Span]:
     """Candidates that an automaton accepts, with the kind of the likeliest; of stretches that overlap, the first and longest."""
     found = []
-    most = 1 + max(a.dots for a in models.values())
+    most = 1 + max((a.dots for a in models.values()), default=0)
     for m in _CANDIDATE.finditer(text):
         parts = m[0].split(".")
         starts = [m.start()]
@@ -242,10 +258,10 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+def scan(docs: DataFrame, models: dict[str, Automaton] | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document; models: of models_of(), or those of the public formats."""
     small_batches(docs.sparkSession)
-    models = automata()
+    models = automata() if models is None else models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("secret_scan")
@@ -273,10 +289,10 @@ def without(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, models: dict[str, Automaton] | None = None) -> DataFrame:
     """The rows of docs without the secrets in their texts; n_chars, where there is one, follows the text."""
     small_batches(docs.sparkSession)
-    models, at = automata(), docs.columns.index("text")
+    models, at = automata() if models is None else models, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("secret_scan")
