@@ -63,9 +63,17 @@ def compact(df: DataFrame) -> tuple[DataFrame, int]:
     return found.coalesce(max(1, -(-count // PART_ROWS))), count
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle and checkpoint files of what nothing refers to any more."""
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of what nothing refers to any more, and frees the driver's own memory."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -78,10 +86,7 @@ def worker_cache(owner: str) -> dict:
     for other in others:
         del _caches[other]
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
     return _caches.setdefault(owner, {})
 
 

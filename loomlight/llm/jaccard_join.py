@@ -65,8 +65,8 @@ STAR_ROUNDS = 1
 SHARES = (1 / 16, 1.0)
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
-#: Lists are met, and scanned whole, in so many shares of the keys, each of which frees its shuffle before the next.
-WAVES, SCAN_WAVES = 4, 2
+#: Lists are met in so many shares of the keys, each of which frees its shuffle before the next.
+WAVES = 4
 BITMAP_BITS = 22
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -457,14 +457,12 @@ def link_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
         release(docs.sparkSession)
     above = 0.0
     for upto in SHARES:
-        for wave in range(SCAN_WAVES):
-            placed, split = split_lists(-1)
-            mine = F.pmod(F.xxhash64("key"), F.lit(SCAN_WAVES)) == wave
-            pairs = _across(placed.filter(mine), split.filter(mine).select("key", "length"), sketches, percent, above, upto if upto < 1 else 2.0)
-            pairs, count = compact(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-            if count:
-                parts = joined(parts, _linked(pairs, named, percent, width))
-            release(docs.sparkSession)
+        placed, split = split_lists(-1)
+        pairs = _across(placed, split.select("key", "length"), sketches, percent, above, upto if upto < 1 else 2.0)
+        pairs, count = compact(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if count:
+            parts = joined(parts, _linked(pairs, named, percent, width))
+        release(docs.sparkSession)
         above = upto
     found = numbers.join(node_of, "doc_id", "left").join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
