@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from .common import materialize, release, small_batches, worker_cache
 
 #: Characters of a run and of a part of the tables; texts of a run.
-RUN_CHARS, PART_CHARS = 16_000_000, 32_000_000
+RUN_CHARS, PART_CHARS = 16_000_000, 16_000_000
 RUN_TEXTS = 1 << 16
 #: Words of a run that are scored at a time.
 SLICE_WORDS = 500_000
 #: Shares in which pairs are asked and runs scored.
 WAVES = 4
 #: Parts of pairs for each part of words.
-WORD_SHARE = 8
+WORD_SHARE = 2
 PAIRS, WORDS = 0, 1
 _SINGLE = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff])")
 _CLOSING = re.compile(r"([.,;:!?]+)(?=\s|$)")
@@ -71,14 +71,16 @@ class Run:
     def of(cls, texts: list[str]) -> tuple[Run, list[str]]:
         """The run and its words by number."""
         ids: dict[str, int] = {}
-        parts = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int64) for t in texts]
-        place = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts = [np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int32) for t in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        place = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
         hashes = np.fromiter(map(word_hash, ids), np.uint64, len(ids))
         order = np.lexsort((hashes, -np.bincount(place, minlength=len(ids))))
-        number = np.empty(len(ids), np.int64)
+        number = np.empty(len(ids), np.int32)
         number[order] = np.arange(len(ids))
         spelled = list(ids)
-        return cls(hashes[order], number[place], np.array([len(p) for p in parts], np.int64)), [spelled[i] for i in order]
+        return cls(hashes[order], number[place], sizes), [spelled[i] for i in order]
 
     @property
     def words(self) -> np.ndarray:
@@ -88,8 +90,9 @@ class Run:
     def index(self) -> Run:
         """Adds first, second (places in words) and times of the distinct pairs, and pair, document and times of each pair of each document."""
         words = self.words
-        last = np.searchsorted(words, self.hashes)[self.place].astype(np.uint64)
-        before = np.concatenate([np.zeros(1, np.uint64), last[:-1]])[: len(last)]
+        last = np.searchsorted(words, self.hashes).astype(np.uint64)[self.place]
+        before = np.empty_like(last)
+        before[1:], before[:1] = last[:-1], 0
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
         if not len(last):
             self.times = self.doc = self.pair_at = self.first = self.second = np.zeros(0, np.int32)
@@ -100,8 +103,9 @@ class Run:
             raise ValueError("too many words and texts for one run")
         before <<= w
         before |= last
+        del last
         before <<= d
-        before |= np.repeat(np.arange(self.texts, dtype=np.uint64), self.sizes)
+        before |= np.repeat(np.arange(self.texts, dtype=np.uint32), self.sizes)
         before.sort()
         start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.times = np.diff(np.append(start, len(before))).astype(np.int32)
@@ -131,15 +135,15 @@ def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _shrunk(x: np.ndarray) -> bytes:
-    """Numbers of 64 bits, bytes of equal weight together, compressed behind their length."""
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers, bytes of equal weight together, compressed behind their length."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(raw), codec="zstd", asbytes=True)
 
 
-def _grown(raw: bytes) -> np.ndarray:
-    size = int.from_bytes(raw[:8], "little")
-    plain = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(plain.reshape(8, -1).T).view(np.uint64).reshape(-1)
+def _grown(raw: bytes, width: int = 8) -> np.ndarray:
+    """Rows of so many bytes."""
+    plain = np.frombuffer(pa.decompress(pa.py_buffer(raw).slice(8), int.from_bytes(raw[:8], "little"), codec="zstd"), np.uint8)
+    return np.ascontiguousarray(plain.reshape(width, -1).T)
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -148,7 +152,7 @@ def packed(keys: np.ndarray) -> bytes:
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(_grown(raw), dtype=np.uint64)
+    return np.cumsum(_grown(raw).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def numbers(x: np.ndarray) -> bytes:
@@ -156,7 +160,15 @@ def numbers(x: np.ndarray) -> bytes:
 
 
 def from_numbers(raw: bytes) -> np.ndarray:
-    return _grown(raw).view(np.int64)
+    return _grown(raw).view(np.int64).reshape(-1)
+
+
+def small_numbers(x: np.ndarray) -> bytes:
+    return _shrunk(np.ascontiguousarray(x, np.int32))
+
+
+def from_small_numbers(raw: bytes) -> np.ndarray:
+    return _grown(raw, 4).view(np.int32).reshape(-1)
 
 
 def kinds(counts: np.ndarray) -> np.ndarray:
@@ -167,9 +179,11 @@ def kinds(counts: np.ndarray) -> np.ndarray:
 def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and, by column, the sums of their values."""
     every = np.concatenate(keys)
-    found, of = np.unique(every, return_inverse=True)
+    order = np.argsort(every)
+    every = every[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
     rows = np.concatenate(values, axis=1)
-    return found, np.stack([np.bincount(of, r, len(found)).astype(np.int64) for r in rows])
+    return every[start], np.stack([np.add.reduceat(r[order], start) if len(start) else np.zeros(0, np.int64) for r in rows])
 
 
 def word_sides(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +306,7 @@ def dealt(docs: DataFrame, group: Column, describe: Describe = _nothing, kept: t
         added, spelled = describe(texts, words, number)
         own = [pa.concat_arrays([x[i] for x, _ in buffer]) for i in range(len(kept))]
         count = sum(map(len, texts))
-        row = (number, uuid.uuid4().int >> 65, count, _frame([*own, *added]) if own or added else None, packed(run.hashes), numbers(run.place), numbers(run.sizes), _shrunk_floats(spelled))
+        row = (number, uuid.uuid4().int >> 65, count, _frame([*own, *added]) if own or added else None, packed(run.hashes), small_numbers(run.place), numbers(run.sizes), _shrunk_floats(spelled))
         return _batch([row], _RUN, _RUN_TYPES)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,18 +334,15 @@ def dealt(docs: DataFrame, group: Column, describe: Describe = _nothing, kept: t
 
 
 def _shrunk_floats(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x, np.float32)
-    plain = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+    return _shrunk(np.ascontiguousarray(x, np.float32))
 
 
 def _grown_floats(raw: bytes) -> np.ndarray:
-    plain = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(plain.reshape(4, -1).T).view(np.float32).reshape(-1)
+    return _grown(raw, 4).view(np.float32).reshape(-1)
 
 
 def _run_of(hashes: bytes, places: bytes, sizes: bytes) -> Run:
-    return Run(unpacked(hashes), from_numbers(places), from_numbers(sizes))
+    return Run(unpacked(hashes), from_small_numbers(places), from_numbers(sizes))
 
 
 def parts_of(chars: dict[int, int]) -> dict[int, int]:
