@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from . import chunks
 from .common import materialize, small_batches, worker_cache
-from .token_counts import balanced
 
 CAPACITY = 2048
 SHARD, ISLANDS = 2048, 2
@@ -71,7 +70,7 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.ChunkTable, chunks.ChunkTable]:
+def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.LookupTable, chunks.LookupTable]:
     """chunk -> ids, for chunks at the start of a text and after a space.
 
     The tokenizers library defines the ids. Plain chunks go through the faster library of the
@@ -89,12 +88,12 @@ def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.ChunkTable, chun
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(xs: list[str]) -> list[bytes]:
-            plain = [x if _ALIKE.fullmatch(x) and "<|" not in x else None for x in xs]
-            other = iter(model.encode_batch_fast([x for x, p in zip(xs, plain, strict=True) if p is None], add_special_tokens=False))
-            return [_packed(next(other).ids if p is None else fast.encode_ordinary(p)) for p in plain]
+        def encode(x: str) -> bytes:
+            if _ALIKE.fullmatch(x) and "<|" not in x:
+                return _packed(fast.encode_ordinary(x))
+            return _packed(model.encode(x, add_special_tokens=False).ids)
 
-        tables[json_path] = chunks.ChunkTable(encode, IDS_KEPT), chunks.ChunkTable(lambda xs: encode([" " + x for x in xs]), IDS_KEPT)
+        tables[json_path] = chunks.LookupTable(encode, IDS_KEPT), chunks.LookupTable(lambda x: encode(" " + x), IDS_KEPT)
     return tables[json_path]
 
 
@@ -102,11 +101,9 @@ def encode_ids(texts: list[str], json_path: str, ranks_path: str) -> list[bytes]
     """Ids of each text, little-endian unsigned 32-bit."""
     first_table, rest_table = _id_tables(json_path, ranks_path)
     out: list[bytes] = []
-    for run in balanced(texts):
-        parts = [chunks.space_chunks(x) for x in run]
-        firsts = first_table.fill([[first for first, _ in parts]])
-        rests = rest_table.fill([rest for _, rest in parts])
-        out += [firsts[first] + b"".join(map(rests.__getitem__, rest)) for first, rest in parts]
+    for text in texts:
+        first, rest = chunks.space_chunks(text)
+        out.append(first_table[first] + b"".join(map(rest_table.__getitem__, rest)))
     return out
 
 
