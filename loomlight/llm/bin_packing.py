@@ -21,6 +21,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
 
 import numpy as np
@@ -37,9 +38,6 @@ POPULATION, GENERATIONS, ELITES, EPOCHS = 4, 4, 2, 3
 #: Bins filled to this share are not pooled again.
 CLOSED = 0.98
 
-#: Chunks of each generation of a worker's table.
-IDS_KEPT = 300_000
-
 # --- encoding -------------------------------------------------------------------------
 
 #: Characters that both tokenizer libraries split alike (all assigned since Unicode 6.1).
@@ -70,41 +68,52 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def _id_tables(json_path: str, ranks_path: str) -> tuple[chunks.LookupTable, chunks.LookupTable]:
-    """chunk -> ids, for chunks at the start of a text and after a space.
+class Encoder:
+    """Ids of texts, little-endian unsigned 32-bit.
 
-    The tokenizers library defines the ids. Plain chunks go through the faster library of the
-    same vocabulary; tests hold same_merges() for the pair of files.
+    The tokenizers library defines them. Stretches of characters that both libraries split
+    alike go through the faster one of the same vocabulary, whole, with no table of chunks
+    beside it; tests hold same_merges() for the pair of files.
     """
-    tables = worker_cache("bin_packing")
-    if json_path not in tables:
+
+    def __init__(self, json_path: str, ranks_path: str) -> None:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        model = chunks.byte_tokenizer(json_path)
+        self.model = chunks.byte_tokenizer(json_path)
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _alike(self, text: str) -> bool:
+        return _ALIKE.fullmatch(text) is not None and "<|" not in text
 
-        def encode(x: str) -> bytes:
-            if _ALIKE.fullmatch(x) and "<|" not in x:
-                return _packed(fast.encode_ordinary(x))
-            return _packed(model.encode(x, add_special_tokens=False).ids)
+    def _part(self, text: str, alike: bool) -> bytes:
+        if alike:
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        return _packed(self.model.encode(text, add_special_tokens=False).ids)
 
-        tables[json_path] = chunks.LookupTable(encode, IDS_KEPT), chunks.LookupTable(lambda x: encode(" " + x), IDS_KEPT)
-    return tables[json_path]
+    def encode(self, text: str) -> bytes:
+        if self._alike(text):
+            return self._part(text, True)
+        first, rest = chunks.space_chunks(text)  # tokens never cross a boundary of these
+        parts = [first, *(" " + x for x in rest)]
+        return b"".join(self._part("".join(run), alike) for alike, run in groupby(parts, self._alike))
 
 
-def encode_ids(texts: list[str], json_path: str, ranks_path: str) -> list[bytes]:
+def encoder_of(json_path: str, ranks_path: str) -> Encoder:
+    """The worker's encoder of these files."""
+    kept = worker_cache("bin_packing")
+    if json_path not in kept:
+        kept[json_path] = Encoder(json_path, ranks_path)
+    return kept[json_path]
+
+
+def encode_ids(texts: list[str], json_path: str, ranks_path: str) -> Iterator[bytes]:
     """Ids of each text, little-endian unsigned 32-bit."""
-    first_table, rest_table = _id_tables(json_path, ranks_path)
-    out: list[bytes] = []
-    for text in texts:
-        first, rest = chunks.space_chunks(text)
-        out.append(first_table[first] + b"".join(map(rest_table.__getitem__, rest)))
-    return out
+    return map(encoder_of(json_path, ranks_path).encode, texts)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

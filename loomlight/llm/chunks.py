@@ -60,25 +60,6 @@ class ChunkTable:
         return found
 
 
-class LookupTable(dict):
-    """chunk -> what encode() gives for it, found or made by one lookup; two generations as in ChunkTable."""
-
-    def __init__(self, encode: Callable[[str], object], limit: int = LIMIT) -> None:
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
-
-    def __missing__(self, chunk: str) -> object:
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.encode(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
-
 def space_chunks(text: str) -> tuple[str, list[str]]:
     """The first chunk as it stands and the others without the one space before each."""
     if _PAIR.search(text) or text[:1].isspace() or text[-1:].isspace():
