@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def link_edges(spans: DataFrame) -> DataFrame:
-    """Each link with its cause (the first span of that id), or with none."""
+    """Each link with its cause (the first span of that id), or with none; spans may have an array of links or one."""
     causes = spans.groupBy("span_id").agg(F.min_by(F.struct("trace_id", "iteration"), "ord").alias("cause")).select(F.col("span_id").alias("link_span_id"), F.col("link_span_id").alias("cause_id"), F.col("cause.trace_id").alias("cause_trace"))
-    links = spans.filter("link_span_id is not null").select("span_id", "trace_id", "link_span_id", "link_kind")
+    if "links" in spans.columns:
+        links = spans.select("span_id", "trace_id", F.explode("links").alias("l")).select("span_id", "trace_id", F.col("l.span_id").alias("link_span_id"), F.col("l.kind").alias("link_kind"))
+    else:
+        links = spans.filter("link_span_id is not null").select("span_id", "trace_id", "link_span_id", "link_kind")
     return links.join(causes, "link_span_id", "left")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classifiers import is_expected_blocking
 from ..operators import aggregates as A
 from ..operators import validation as V
 from ..sources import readers, writers
@@ -23,7 +24,15 @@ def table(df: DataFrame, most: int = SHOWN) -> str:
 
 def span_columns(spans: DataFrame) -> DataFrame:
     """What read_spans() gives, with the columns that operators ask for."""
-    return spans.withColumn("start_us", F.col("start_ms") * 1000).withColumn("end_us", F.col("end_ms") * 1000).withColumn("ord", F.monotonically_increasing_id()).withColumn("args", F.col("content")).withColumn("expected_blocking", F.lit(False)).withColumn("link_span_id", F.lit(None).cast("string"))
+    link = F.get("links", F.lit(0))
+    return spans.withColumns({
+        "start_us": F.col("start_ms") * 1000,
+        "end_us": F.col("end_ms") * 1000,
+        "ord": F.monotonically_increasing_id(),
+        "expected_blocking": F.coalesce(is_expected_blocking(F.col("tool"), F.col("args")), F.lit(False)),
+        "link_span_id": link["span_id"],
+        "link_kind": link["kind"],
+    })
 
 
 def validation_report(spark: SparkSession, path: str) -> tuple[str, bool]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classifiers import inferred_kind, status_code
 from ..functions.scalars import iso_to_epoch_ms
+from ..operators.collection import completed_links
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +36,18 @@ ALIASES = {
     "outcome": ['$["agent.outcome"]'],
     "agent": ['$["agent.name"]', '$["inference.agent_name"]', '$["gen_ai.agent.name"]'],
     "session_id": ['$["session.id"]'],
+    # fixed values, in order
+    "args": ['$["input.value"]', '$["tool.input"]', "$.tool_input", '$["tool.arguments"]', "$.tool_arguments", "$.arguments", "$.args", "$.full_command"],
+    # fixed values, in order
+    "args": ['$["input.value"]', '$["tool.input"]', "$.tool_input", '$["tool.arguments"]', "$.tool_arguments", "$.arguments", "$.args", "$.full_command"],
     "content": ["$.content", '$["input.value"]', '$["output.value"]'],
 }
 
 
+def _link(x: Column) -> Column:
+    return F.struct(_text(x, "$.trace_id").alias("trace_id"), _text(x, "$.span_id").alias("span_id"), _text(x, '$.attributes["agent.link.kind"]').alias("kind"))
+
+
 def read_spans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Spans of JSON lines, and the lines that aren't spans with a reason. Foreign rows never fail the read."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -54,8 +63,9 @@ def read_spans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     declared = _text(a, '$["openinference.span.kind"]')
     tool, model = _text(a, *ALIASES["tool"]), _text(a, *ALIASES["model"])
     name = F.coalesce(_text(v, "$.name"), F.lit(""))
+    trace = F.coalesce(_text(v, "$.trace_id"), F.concat(F.lit("file:"), F.sha2("file", 256)))
     spans = good.select(
-        F.coalesce(_text(v, "$.trace_id"), F.concat(F.lit("file:"), F.sha2("file", 256))).alias("trace_id"),
+        trace.alias("trace_id"),
         _text(v, "$.span_id").alias("span_id"),
         F.nullif(F.trim(F.coalesce(_text(v, "$.parent_span_id"), F.lit(""))), F.lit("")).alias("parent_span_id"),
         name.alias("name"),
@@ -72,6 +82,8 @@ def read_spans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         *(_text(a, *ALIASES[c]).alias(c) for c in ("loop_id", "outcome", "agent", "session_id", "content")),
         _number(a, "double", '$["agent.loop.iteration"]').alias("iteration"),
         _number(a, "double", '$["agent.outcome.score"]').alias("score"),
+        F.when(F.coalesce(_text(a, '$["tool.args_captured"]'), F.lit("true")) != "false", _text(a, *ALIASES["args"])).alias("args"),
+        completed_links(F.transform(F.try_variant_get(v, "$.links", "array<variant>"), _link), trace).alias("links"),
         F.to_json("v").alias("canonical"),
         "file",
         "line",

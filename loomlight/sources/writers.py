@@ -27,12 +27,14 @@ def span_lines(spans: DataFrame) -> DataFrame:
         F.lit("agent.outcome.score"), F.col("score").cast("string"),
         F.lit("agent.name"), F.col("agent"),
         F.lit("session.id"), F.col("session_id"),
+        F.lit("input.value"), F.col("args"),
         F.lit("content"), F.col("content"),
     )
+    link = lambda x: F.struct(x["trace_id"].alias("trace_id"), x["span_id"].alias("span_id"), F.struct(x["kind"].alias("agent.link.kind")).alias("attributes"))
     row = F.struct(
         "trace_id", "span_id", "parent_span_id", "name", iso("start_ms").alias("start_time"), iso("end_ms").alias("end_time"),
         F.struct(F.concat(F.lit("STATUS_CODE_"), F.col("status_code")).alias("code"), F.col("status_message").alias("message")).alias("status"),
-        F.map_filter(attributes, lambda k, v: v.isNotNull()).alias("attributes"),
+        F.map_filter(attributes, lambda k, v: v.isNotNull()).alias("attributes"), F.transform("links", link).alias("links"),
     )
     return spans.select(F.to_json(row).alias("value"))
 
@@ -43,10 +45,10 @@ def write_spans(spans: DataFrame, path: str) -> None:
 
 def metadata_only(spans: DataFrame) -> DataFrame:
     """Without contents and messages."""
-    return spans.drop("content", "status_message", "canonical")
+    return spans.drop("content", "args", "status_message", "canonical")
 
 
-def redact_spans(spans: DataFrame, columns: tuple[str, ...] = ("content", "status_message")) -> DataFrame:
+def redact_spans(spans: DataFrame, columns: tuple[str, ...] = ("content", "args", "status_message")) -> DataFrame:
     return spans.withColumns({c: redacted(F.col(c)) for c in columns if c in spans.columns})
 
 
