@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_as_bytes, worker_cache
+from .common import release, small_batches, texts_as_bytes, trim, worker_cache
 
 DIMENSIONS, RANK, PER_CLASS, K = 4096, 48, 1500, 8
 THRESHOLD = 0.3
@@ -99,13 +99,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, labels: np.ndarray, rows_of_class: dict[int, int]) -> Neighbours:
-    """x: a row of features() for each labelled text; rows_of_class: labelled rows of each label in all."""
+    """x: a row of features() for each labelled text, weighted in place; rows_of_class: labelled rows of each label in all."""
     total = sum(rows_of_class.values())
     share = rows_of_class.get(1, 0) / total if total else 0.5
     if not len(x):
         return Neighbours(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, np.zeros(0), share)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    weighted = x * idf
+    weighted = np.multiply(x, idf, out=x)
     # leading right singular vectors by subspace iteration from a fixed start
     rank = min(RANK, *weighted.shape)
     basis = np.random.default_rng(0).standard_normal((WIDTH, rank + 8)).astype(np.float32)
@@ -137,9 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
             x = [features(t).astype(np.float16).tobytes() for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
+    release(docs.sparkSession)
     made = found.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id").toArrow()
-    x = np.frombuffer(b"".join(made["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return fit(x, np.array(made["quality"].to_pylist(), np.int64), rows)
+    x = np.empty((made.num_rows, WIDTH), np.float32)
+    for row, sent in zip(x, made["x"], strict=True):
+        row[:] = np.frombuffer(sent.as_buffer(), np.float16)
+    quality = np.array(made["quality"].to_pylist(), np.int64)
+    del made
+    trim()
+    model = fit(x, quality, rows)
+    del x
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
