@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, secret_scan, token_counts, winnow
+from . import bin_packing, chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, secret_scan, token_counts, vector_codes, winnow
 from .common import table
 
 
@@ -54,10 +54,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    found = [op1_license_scan, op2_piece_codec, op3_winnow, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op9_bin_packing, op10_chat_format]
+    found = [op1_license_scan, op2_piece_codec, op3_winnow, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op9_bin_packing, op10_chat_format, op11_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.scan_sql()}
+    return {"op1_license_scan": license_scan.scan_sql(), "op11_vector_codes": vector_codes.compress_sql()}
