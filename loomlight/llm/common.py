@@ -8,6 +8,7 @@ import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -108,3 +109,10 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
                 yield each(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases (64 bits) from those of their words but the last, and of the last words."""
+    x = (before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(27))

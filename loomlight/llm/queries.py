@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, chat_format, jaccard_join, license_scan, piece_codec, quality_classifier, quality_rules, secret_scan, token_counts, vector_codes, winnow
+from . import bin_packing, chat_format, collocations, jaccard_join, license_scan, lm_scoring, piece_codec, quality_classifier, quality_rules, secret_scan, token_counts, vector_codes, winnow
 from .common import table
 
 
@@ -58,10 +58,18 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_license_scan, op2_piece_codec, op3_winnow, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op9_bin_packing, op10_chat_format, op11_vector_codes]
+    found = [op1_license_scan, op2_piece_codec, op3_winnow, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_jaccard_join, op8_token_counts, op9_bin_packing, op10_chat_format, op11_vector_codes, op12_collocations, op13_lm_scoring]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.scan_sql(), "op11_vector_codes": vector_codes.compress_sql()}
+    return {"op1_license_scan": license_scan.scan_sql(), "op11_vector_codes": vector_codes.compress_sql(), "op12_collocations": collocations.best_phrases_sql()}
