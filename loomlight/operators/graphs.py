@@ -8,23 +8,10 @@ isn't among the nodes ends the walk up; cycles end it where a node would come ag
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's spark.checkpoint.dir (a folder of this machine only in local sessions without one), with a plan of their own."""
-    session, context = df.sparkSession, df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlight-"))
-    rows = df.checkpoint(eager=True)
-    # a checkpoint keeps its plan's estimates, which grow without bound over rounds of joins
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows._jdf.queryExecution().toRdd(), rows._jdf.schema(), False), session)
+from ..tables import written
 
 
 def closure(nodes: DataFrame) -> DataFrame:

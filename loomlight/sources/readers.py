@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classifiers import inferred_kind, status_code
 from ..functions.scalars import iso_to_epoch_ms
 from ..operators.collection import completed_links
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, value of every line that isn't blank; physical line numbers, from whole files (a file must fit a task)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return lines.filter(F.trim("value") != "").withColumn("line", F.col("line") + 1)
+from .lines import numbered_lines, physical_lines, text_of
 
 
 def _text(v: Column, *paths: str) -> Column:
@@ -38,8 +32,6 @@ ALIASES = {
     "session_id": ['$["session.id"]'],
     # fixed values, in order
     "args": ['$["input.value"]', '$["tool.input"]', "$.tool_input", '$["tool.arguments"]', "$.tool_arguments", "$.arguments", "$.args", "$.full_command"],
-    # fixed values, in order
-    "args": ['$["input.value"]', '$["tool.input"]', "$.tool_input", '$["tool.arguments"]', "$.tool_arguments", "$.arguments", "$.args", "$.full_command"],
     "content": ["$.content", '$["input.value"]', '$["output.value"]'],
 }
 
@@ -140,12 +132,10 @@ def tool_calls_with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def journal_events(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a journal; an unterminated last line is dropped, other unreadable lines are counted as invalid."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    complete = F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(F.regexp_replace("value", "[^\n]*$", ""))
-    lines = whole.select("file", F.posexplode(F.split(complete, "\n")).alias("line", "value")).filter(F.trim("value") != "")
+    lines = physical_lines(spark, path).filter("terminated").select("file", "line", text_of(F.col("raw")).alias("value")).filter(F.trim("value") != "")
     v = F.try_parse_json("value")
     kind = F.try_variant_get(v, "$.kind", "string")
-    return lines.select("file", (F.col("line") + 1).alias("line"), kind.alias("kind"), F.coalesce(kind.isin("begin", "event"), F.lit(False)).alias("valid"), F.try_variant_get(v, "$.event.kind", "string").alias("event"), F.try_variant_get(v, "$.event.id", "string").alias("id"), F.try_variant_get(v, "$.event.parent", "string").alias("parent"))
+    return lines.select("file", "line", kind.alias("kind"), F.coalesce(kind.isin("begin", "event"), F.lit(False)).alias("valid"), F.try_variant_get(v, "$.event.kind", "string").alias("event"), F.try_variant_get(v, "$.event.id", "string").alias("id"), F.try_variant_get(v, "$.event.parent", "string").alias("parent"))
 
 
 def detect_format(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from loomlight.__main__ import main
 from loomlight.operators import extras as E
+from loomlight.sources import lines as L
 from loomlight.plans.analysts import Registry, load_config
 
 SPAN = {"trace_id": "t" * 32, "span_id": "a" * 16, "name": "x", "kind": "TOOL", "start_time": "2024-01-01T00:00:00Z", "end_time": "2024-01-01T00:00:01Z", "status": {"code": "STATUS_CODE_OK"}, "attributes": {"tool.name": "bash"}}
@@ -15,12 +16,12 @@ SPAN = {"trace_id": "t" * 32, "span_id": "a" * 16, "name": "x", "kind": "TOOL",
 def test_receipts_name_lines_but_not_contents(spark, tmp_path):
     f = tmp_path / "a.jsonl"
     f.write_bytes(b'{}\nsecret-value\r\n{}\n\xff\xfe\n')
-    rows = E.corruption_receipts(spark, str(f)).orderBy("line").collect()
+    rows = L.corruption_receipts(spark, str(f)).orderBy("line").collect()
     assert [(r.line, r.byte_offset, r.byte_length) for r in rows] == [(2, 3, 12), (4, 20, 2)]
-    assert "secret" not in str(rows) and len({r.digest for r in E.integrity_spans(E.corruption_receipts(spark, str(f))).collect()}) == 1
-    before = E.source_binding(spark, str(f)).collect()
+    assert "secret" not in str(rows) and len({r.digest for r in E.integrity_spans(L.corruption_receipts(spark, str(f))).collect()}) == 1
+    before = L.source_binding(spark, str(f)).collect()
     f.write_bytes(b"{}\n")
-    assert E.changed_sources(spark.createDataFrame(before), E.source_binding(spark, str(f))).count() == 1
+    assert E.changed_sources(spark.createDataFrame(before), L.source_binding(spark, str(f))).count() == 1
 
 
 def test_truncation_between_characters(spark):
