@@ -13,7 +13,7 @@ one each state's probabilities add up to 1. Where there is nothing that comes on
 Nothing holds the model whole. Each task deals its texts to runs of RUN_WORDS words,
 written once as numbers of words (a longer text goes on in the next run, from the state it
 was in). A run asks for its distinct pairs, as sorted hashes with its own counts, cut to parts
-by hash; a part adds up what all runs ask and answers each in its order, and gives each pair
+by ranges of the hash; a part adds up what all runs ask and answers each in its order, and gives each pair
 to one run, the first that trains it, so that the runs together count each word's followers once. Words
 are asked likewise. Then each run has the arcs that its own texts can take, and walks them. A
 run has a row for each part in which it has a key, so rows never exceed distinct pairs; a
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mixed, release, small_batches, texts_as_bytes
-from .word_model import by_part, from_numbers, from_small_numbers, numbers, packed, small_numbers, unpacked
+from .word_model import from_numbers, from_small_numbers, numbers, packed, small_numbers, unpacked
 
 #: Words and texts of a run, words for each part of the pairs.
-RUN_WORDS, RUN_TEXTS, PART_WORDS = 1_000_000, 1 << 16, 3_000_000
+RUN_WORDS, RUN_TEXTS, PART_WORDS = 1_500_000, 1 << 16, 3_000_000
 #: Parts of pairs for each part of words.
 WORD_SHARE = 4
 #: Of ten remainders, the one that is held out.
@@ -208,9 +208,11 @@ def _ask_pairs(runs: DataFrame, parts: int) -> DataFrame:
 
 
 def _order(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each part, and the places of its keys by size."""
-    for part, at in by_part(keys, parts):
-        yield part, at[np.argsort(keys[at], kind="stable")]
+    """Each part that has keys, and the places of its keys by size; parts are equal ranges, so differences of keys stay small."""
+    order = np.argsort(keys, kind="stable")
+    part = ((keys[order] >> np.uint64(_32)) * np.uint64(parts)) >> np.uint64(_32)
+    found, start = np.unique(part, return_index=True)
+    yield from zip(found.tolist(), np.split(order, start[1:]), strict=True) if len(found) else ()
 
 
 def _asked(number: int, keys: np.ndarray, counts: np.ndarray, followers: np.ndarray | None, parts: int) -> Iterator[pa.RecordBatch]:
