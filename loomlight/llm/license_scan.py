@@ -8,7 +8,9 @@ a capital) are joined again: neighbours of one paragraph whose words together ar
 sentence count as that one, the longest first. scan_sql() looks at single pieces only, so the
 two agree on notices that stand on one line. Ordered
 rules are then matched against the identifier sequence: the first that matches names the
-licence, all that match are listed.
+licence, all that match are listed. All rules are followed at once in one pass over the
+identifiers: a bit for each place of each rule tells whether the rule is met up to there, so
+the work and the memory of a text grow with its sentences, however many they are.
 
 Everything happens within a row: no shuffle, no join. Known sentences are a fixed list.
 A null or empty text has no identifiers and no licence. Repeated rows give repeated
@@ -95,8 +97,36 @@ _CUTS = [(r"[.!?;:]+([ \t\r\n]+|$)", _CUT), (r"\n[ \t\r]*\n", _CUT), (r"([^,\n])
 _KNOWN = {s: name for name, all_of in SENTENCES.items() for s in all_of}
 
 
+class Places:
+    """Bits for the places of rules: where rules begin, which bits stay once set, the last bit of each rule, and the bits that each identifier may set."""
+
+    def __init__(self, rules: list[tuple[str, list[str]]]) -> None:
+        self.starts = self.staying = 0
+        self.last: list[int] = []
+        self.of: dict[str, int] = {}
+        bit = 1
+        for _, sequence in rules:
+            self.starts |= bit
+            for i, x in enumerate(sequence):
+                if x == "*":
+                    continue
+                self.of[x] = self.of.get(x, 0) | bit
+                if i + 1 == len(sequence) or sequence[i + 1] == "*":
+                    self.staying |= bit
+                bit <<= 1
+            self.last.append(bit >> 1)
+        if bit >> 63:
+            raise ValueError("too many places of rules for one pass")
+
+    def met(self, names: Column) -> Column:
+        """The bits after all identifiers."""
+        masks = F.create_map(*(F.lit(x) for name, mask in self.of.items() for x in (name, mask)))
+        step = lambda d, x: F.shiftleft(d, 1).bitwiseOR(F.lit(self.starts)).bitwiseAND(F.coalesce(F.try_element_at(masks, x), F.lit(0))).bitwiseOR(d.bitwiseAND(F.lit(self.staying)))
+        return F.aggregate(names, F.lit(0).cast("long"), lambda d, x: step(d, x).cast("long"))
+
+
 def _rule_pattern(sequence: list[str]) -> str:
-    """Over identifiers that are each followed by a blank, with a blank before the first."""
+    """For SQL, over identifiers that are each followed by a blank, with a blank before the first."""
     out = " "
     for x in sequence:
         out += "([A-Za-z0-9]+ )*" if x == "*" else f"{x} "
@@ -124,14 +154,14 @@ def identifiers(text: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (blank-joined), license (of the first rule that matches, or null), licenses (of all, in rule order, comma-joined)."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(identifiers(F.col("text").cast("string")), " ").alias("sentence_ids"))
-    sequence = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
-    matched = F.array_compact(F.array(*(F.when(sequence.rlike(_rule_pattern(rule)), F.lit(name)) for name, rule in RULES)))
-    found = found.withColumn("matched", F.when(F.col("sentence_ids") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(matched)))
-    return found.select(
+    places = Places(RULES)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identifiers(F.col("text").cast("string")).alias("names"))
+    found = found.withColumn("met", places.met(F.col("names")))
+    hits = F.array(*(F.when(F.col("met").bitwiseAND(F.lit(last)) != 0, F.lit(name)) for (name, _), last in zip(RULES, places.last, strict=True)))
+    return found.withColumn("matched", F.array_distinct(F.array_compact(hits))).select(
         "doc_id",
-        F.when(F.col("sentence_ids") == "", F.lit(0)).otherwise(F.size(F.split("sentence_ids", " "))).cast("long").alias("n_sentences"),
-        "sentence_ids",
+        F.size("names").cast("long").alias("n_sentences"),
+        F.array_join("names", " ").alias("sentence_ids"),
         F.get("matched", F.lit(0)).alias("license"),
         F.array_join("matched", ",").alias("licenses"),
     )
