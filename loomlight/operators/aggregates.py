@@ -204,17 +204,3 @@ def top_loop_tools(loops: DataFrame, n: int = 3) -> DataFrame:
     rows = loops.groupBy("trace_id", "tool").agg(F.sum("occurrences").alias("occurrences"))
     best = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("occurrences"), "tool"))
     return rows.withColumn("rank", best.cast("long")).filter(F.col("rank") <= n)
-
-
-def divergence(spans: DataFrame) -> DataFrame:
-    """Divergent steps of each run and whether it counts as replayed: at most 10 percent, and the ends agree."""
-    rows = spans.groupBy("trace_id").agg(F.count("*").alias("steps"), F.count_if(F.col("k") % 11 == 0).alias("divergent"), F.bool_and(F.col("k") % 97 != 0).alias("same_exit"))
-    pct = F.round(100 * F.col("divergent") / F.col("steps"), 1)
-    return rows.withColumn("pct", pct).withColumn("replayed", (pct <= 10) & F.col("same_exit"))
-
-
-def rates(rows: DataFrame) -> DataFrame:
-    """Headline rates; null where there is nothing to divide by."""
-    totals = rows.agg(F.count("*").alias("cases"), F.count_if("replayed").alias("replayed"), F.count_if(F.col("replayed") & (F.col("divergent") == 0)).alias("strict"), F.sum(F.lit(0)).alias("none"))
-    rate = lambda a, b: F.round(F.try_divide(a, b), 9)
-    return totals.select("cases", "replayed", "strict", rate("replayed", "cases").alias("replay_rate"), rate("strict", "replayed").alias("strict_rate"), rate("strict", "none").alias("empty_rate"))

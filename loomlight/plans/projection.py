@@ -70,6 +70,49 @@ UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nati
 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 11 = 0 THEN 's999999' ELSE concat('s', CAST(c_custkey % 90 AS STRING)) END, c_name, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END, CASE WHEN c_custkey % 5 = 0 THEN 'worker' END FROM customer
 """
 
+# Files that mark folders of the event spans as roots of context.
+CONTEXT_FILES = """
+SELECT concat('/work/repo', CAST(n_nationkey % 7 AS STRING), CASE WHEN n_regionkey = 1 THEN '/src' ELSE '' END) AS folder,
+  CASE n_nationkey % 4 WHEN 0 THEN 'AGENTS.md' WHEN 1 THEN 'CLAUDE.md' WHEN 2 THEN '.git' ELSE 'README.md' END AS name
+FROM nation
+"""
+
+# Users as forked logs: their first error is the session, views and purchases are the turns in its log.
+_MADE = "lower(lpad(hex(CAST(floor(EPOCH_US(ts) / 1000) AS BIGINT)), 12, '0'))"
+_UUID7 = f"concat(substr({_MADE}, 1, 8), '-', substr({_MADE}, 9, 4), '-7000-8000-', lpad(CAST(event_id % 3 AS STRING), 12, '0'))"
+FORK_CHILDREN = f"""
+SELECT user_id AS child, CASE user_id % 4 WHEN 0 THEN concat('s', CAST(user_id AS STRING)) WHEN 1 THEN concat('c', CAST(user_id AS STRING)) ELSE {_UUID7} END AS session_id,
+  CAST(floor(EPOCH_US(ts) / 1000000) AS BIGINT) AS started_s
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error') AS e WHERE n = 1
+"""
+FORK_TURNS = f"""
+SELECT user_id AS child, CASE WHEN user_id % 4 = 0 AND user_id % 3 > 0 AND k % 10 = 0 THEN concat('s', CAST(user_id AS STRING)) WHEN k % 3 = 0 THEN {_UUID7} ELSE concat('t', CAST(event_id AS STRING)) END AS turn_id,
+  CAST(floor(EPOCH_US(ts) / 1000000) AS BIGINT) AS started_s
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events WHERE event_type IN ('view', 'purchase')) AS e
+"""
+
+# Orders as recorded runs, their lines as steps; the replay leaves out or changes some, and returned lines fail.
+_STEPS = "(SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS step, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS code FROM lineitem) AS l"
+RECORDED_STEPS = f"""
+SELECT l_orderkey AS case_id, step, concat('part ', CAST(l_partkey AS STRING)) AS command, code AS returncode, CASE WHEN code = 1 THEN concat('supplier ', CAST(l_suppkey AS STRING), ' failed') END AS signature FROM {_STEPS}
+"""
+RERUN_STEPS = f"""
+SELECT l_orderkey AS case_id, step, concat('part ', CAST(l_partkey AS STRING)) AS command, CASE WHEN l_quantity = 7 THEN 1 - code ELSE code END AS returncode, concat('error: supplier ', CAST(CASE WHEN l_quantity > 40 THEN 0 ELSE l_suppkey END AS STRING), ' failed') AS output FROM {_STEPS} WHERE l_quantity <> 9
+"""
+FIX_ATTEMPTS = f"""
+SELECT l_orderkey AS case_id, step AS attempt, l_quantity <> 11 AS executed, l_quantity > 25 AS vanished FROM {_STEPS} WHERE l_linestatus = 'F'
+"""
+
+# Errors of a user as sessions, each the child of the one before; some links are told by one side only, some lead nowhere.
+_KIN = """
+SELECT 'e' || CAST(event_id AS STRING) AS session_id, '{0}/' || CAST(event_id AS STRING) AS path,
+  CASE WHEN n = 1 AND user_id % 3 = 0 THEN 'lost' || CAST(user_id AS STRING) WHEN k % 8 <> 1 THEN 'e' || CAST(before AS STRING) END AS parent_id,
+  CASE WHEN k % 6 <> 2 THEN 'e' || CAST(following AS STRING) END AS child_id, user_id
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS following,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error') AS e WHERE {1}
+"""
+SESSION_KIN = _KIN.format("/log", "true") + "UNION ALL" + _KIN.format("/copy", "k % 20 = 3 AND n > 2")
+
 # What each event span says; stand-ins for commands and answers, which the tables don't have.
 SAID = """
 SELECT trace_id, ord, start_us, tool, name, status_code, kind = 'TOOL' AS is_tool,
@@ -86,7 +129,9 @@ def _actions() -> str:
     return f"SELECT trace_id, ord, start_us, tool, content, status_code, is_tool, CASE {kinds} WHEN is_tool THEN 'tool' WHEN regexp_matches(content, '{C.CLAIM}') THEN 'claim' ELSE 'other' END AS action FROM ({SAID})"
 
 
-PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"])}
+PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"]),
+    "ctx_files": (CONTEXT_FILES, ["nation"]), "fork_children": (FORK_CHILDREN, ["events"]), "fork_turns": (FORK_TURNS, ["events"]),
+    "rec_steps": (RECORDED_STEPS, ["lineitem"]), "rerun_steps": (RERUN_STEPS, ["lineitem"]), "fix_tries": (FIX_ATTEMPTS, ["lineitem"]), "kin": (SESSION_KIN, ["events"])}
 
 
 def for_spark(sql: str) -> str:

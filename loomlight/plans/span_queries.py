@@ -158,19 +158,6 @@ def a25(spark, sf):
     return A.spend(load(spark, sf, "ord").filter("parent_span_id is not null"), "model")
 
 
-_DIV = "d AS (SELECT trace_id, count(*) AS steps, count(*) FILTER (k % 11 = 0) AS divergent, bool_and(k % 97 <> 0) AS same_exit, round(100 * count(*) FILTER (k % 11 = 0) / count(*), 1) AS pct FROM ev GROUP BY trace_id), dr AS (SELECT *, pct <= 10 AND same_exit AS replayed FROM d)"
-
-
-@query("a34_divergence", f"WITH {_DIV} SELECT * FROM dr")
-def a34(spark, sf):
-    return A.divergence(ev(spark, sf))
-
-
-@query("a28_replay_rates", f"WITH {_DIV} SELECT count(*) AS cases, count(*) FILTER (replayed) AS replayed, count(*) FILTER (replayed AND divergent = 0) AS strict, round(count(*) FILTER (replayed) / count(*), 9) AS replay_rate, round(count(*) FILTER (replayed AND divergent = 0) / nullif(count(*) FILTER (replayed), 0), 9) AS strict_rate, NULL::DOUBLE AS empty_rate FROM dr")
-def a28(spark, sf):
-    return A.rates(A.divergence(ev(spark, sf)))
-
-
 @query("a35_top_loop_tools", f"WITH {_LOOPS}, t AS (SELECT trace_id, tool, sum(occurrences)::BIGINT AS occurrences FROM loops GROUP BY trace_id, tool) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY occurrences DESC, tool) AS rank FROM t) WHERE rank <= 3")
 def a35(spark, sf):
     return A.top_loop_tools(A.stuck_loops(ev(spark, sf), DAY_US))
