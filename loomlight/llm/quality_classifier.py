@@ -18,6 +18,7 @@ and null ids in labels are ignored. Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -137,18 +138,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Nei
             x = [features(t).astype(np.float16).tobytes() for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_classifier")
+        made = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary())])).sort_by("doc_id")
+        x = np.empty((made.num_rows, WIDTH), np.float32)
+        for row, sent in zip(x, made["x"], strict=True):
+            row[:] = np.frombuffer(sent.as_buffer(), np.float16)
+        model = fit(x, np.array(made["quality"].to_pylist(), np.int64), rows)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        del x, made, model
+        trim()
+
+    # the bounded sample meets in one task, so that the driver holds the model alone
+    made = found.mapInArrow(run, "doc_id long, quality int, x binary").repartition(1).mapInArrow(learned, "model binary")
+    sent = made.collect()
     release(docs.sparkSession)
-    made = found.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id").toArrow()
-    x = np.empty((made.num_rows, WIDTH), np.float32)
-    for row, sent in zip(x, made["x"], strict=True):
-        row[:] = np.frombuffer(sent.as_buffer(), np.float16)
-    quality = np.array(made["quality"].to_pylist(), np.int64)
-    del made
-    trim()
-    model = fit(x, quality, rows)
-    del x
-    release(docs.sparkSession)
-    return model
+    return pickle.loads(bytes(sent[0].model)) if sent else fit(np.empty((0, WIDTH), np.float32), np.zeros(0, np.int64), rows)
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
