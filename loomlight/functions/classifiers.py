@@ -67,9 +67,9 @@ NO_TASK_MARKS = [
     "[Your previous response had no visible output.",
 ]
 NO_TASK_COMMAND = r"<command-name>/(?:clear|copy|effort|exit|login|mcp|model|plugin)</command-name>"
-# Redaction rules by name, in the order in which they apply. Loops over
-# values are unrolled and give nothing back, which matches the same and needs no stack.
-_SECRET_WORD = r"(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)"
+# Redaction rules by name, in the order in which they apply. Loops over groups
+# give nothing back (*+, ++), so that they need no stack; the one over what stands in $( ) is
+# told as parts up to each closing bracket for that, and ends at the last one of the line all the same.
 REDACTIONS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
@@ -79,19 +79,19 @@ REDACTIONS = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
     "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._-]{16,}",
     "private-key": r"-----BEGIN(?:[A-Z ]+)?PRIVATE KEY-----[\s\S]*?-----END(?:[A-Z ]+)?PRIVATE KEY-----",
-    "assigned-secret": r"(?i)(?<![A-Za-z0-9_-])(?:[A-Za-z_][A-Za-z0-9_-]*)?"
-    + _SECRET_WORD
-    + r"""(?![A-Za-z0-9_-])\+?=(?:\$\([^)\\\r\n]*(?:\\.[^)\\\r\n]*)*+\)|\$\{[^}\\\r\n]*(?:\\.[^}\\\r\n]*)*+\}|`[^`\\\r\n]*(?:\\.[^`\\\r\n]*)*+`|\$?'[^'\\\r\n]*(?:\\.[^'\\\r\n]*)*+'|\$?"[^"\\\r\n]*(?:\\.[^"\\\r\n]*)*+"|\\[^\r\n]|[^\s;&|<>()"'`\\\r\n$]+|\$)++""",
-    "config-secret": r"""(?im)(?:^[ \t]*["']?(?:[A-Za-z_][A-Za-z0-9_-]*)?"""
-    + _SECRET_WORD
-    + r"""(?![A-Za-z0-9_-])["']?[ \t]*[:=][ \t]*|["'](?:[A-Za-z_][A-Za-z0-9_-]*)?"""
-    + _SECRET_WORD
-    + r"""["']\s*:\s*)["']?[A-Za-z0-9._\-]{12,}["']?""",
+    "assigned-secret": r"""(?i)(?<![A-Za-z0-9_-])(?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)(?![A-Za-z0-9_-])\+?=(?:\$\((?:\\.|[^)\\\r\n])*+\)(?:(?:\\.|[^)\\\r\n])*+\))*+|\$\{(?:\\.|[^}\\\r\n])*+\}|`(?:\\.|[^`\\\r\n])*+`|\$?'(?:\\.|[^'\\\r\n])*+'|\$?"(?:\\.|[^"\\\r\n])*+"|\\[^\r\n]|[^\s;&|<>()"'`\\\r\n])++""",
+    "config-secret": r"""(?im)(?:^[ \t]*["']?(?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)(?![A-Za-z0-9_-])["']?[ \t]*[:=][ \t]*|["'](?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)["']\s*:\s*)["']?[A-Za-z0-9._\-]{12,}["']?""",
     "url-userinfo": r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@",
     "url-secret-param": r"""(?i)[?&](?:access[_-]?token|api[_-]?key|apikey|auth|token|secret|password|sig|signature)=[^&\s"'#)]+""",
 }
-# Verification commands, and reads of a URL that change nothing.
-VERIFY_COMMAND = "(^|[;&| ])(pytest|npm test|pnpm test|cargo test|go test|make check|tsc|eslint)( |$)"
+# Commands that verify, calls of curl and how they send something, tools that wait by design.
+VERIFY_COMMAND = r"(?i)\b(?:pnpm|npm|yarn|bun)\s+(?:run\s+)?(?:test|typecheck|lint|build|check)(?::[A-Za-z0-9:_-]+)?\b|\b(?:vitest|jest|pytest|tsc|biome|eslint|sha256sum|pdfinfo|pdftotext)\b|\bgo\s+test\b|\bcargo\s+(?:test|check|clippy|build)\b|\bgit\s+(?:status|diff|show|merge-tree)\b|\bgh-drew\s+pr\s+(?:view|checks)\b"
+CURL = r"(?i)\bcurl\b"
+CURL_METHOD = [r"(?:^|\s)-X(?:=|\s*)([A-Za-z]+)\b", r"(?i)(?:^|\s)--request(?:=|\s+)([A-Za-z]+)\b"]
+CURL_READS = r"(?i)^(?:GET|HEAD)$"
+CURL_SENDS = r"(?i)(?:^|\s)-(?:d|F|T)(?:\S*|\s+\S+)|(?:^|\s)--(?:data(?:-ascii|-binary|-raw|-urlencode)?|form(?:-string)?|json|upload-file)(?:=|\s)"
+WAITS = {"wait": r"\bcell_id\b[\"']?\s*:", "write_stdin": r"\bsession_id\b[\"']?\s*:"}
+WAIT_AGENT, SHELL_TOOL = "wait_agent", "exec_command"
 
 _START, _END = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", "(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
@@ -205,9 +205,24 @@ def status_code(raw: Column) -> Column:
 
 
 def is_expected_blocking(tool: Column, args: Column) -> Column:
-    """Tools that wait by design."""
-    return (tool == "wait_agent") | ((tool == "wait") & args.contains("cell_id")) | ((tool == "write_stdin") & args.contains("session_id"))
+    """Tools that wait by design: for an agent, or for a cell or session that the arguments name as a key."""
+    found = tool == WAIT_AGENT
+    for name, key in WAITS.items():
+        found = found | ((tool == name) & matches(args, key))
+    return F.coalesce(found, F.lit(False))
+
+
+def reads_by_curl(command: Column) -> Column:
+    """Whether a command calls curl and only reads: no other method than GET or HEAD, and nothing sent."""
+    said = [F.nullif(F.regexp_extract(command, ascii_bounds(p), 1), F.lit("")) for p in CURL_METHOD]
+    return matches(command, CURL) & F.coalesce(F.coalesce(*said).rlike(CURL_READS), F.lit(True)) & ~matches(command, CURL_SENDS)
 
 
 def is_verification(command: Column) -> Column:
-    return command.rlike(VERIFY_COMMAND)
+    """Whether a shell command verifies something, or reads a URL."""
+    return matches(command, VERIFY_COMMAND) | reads_by_curl(command)
+
+
+def nested_tool(tool: Column, command: Column) -> Column:
+    """The tool's name; a shell command that verifies is a tool of its own."""
+    return F.when((tool == SHELL_TOOL) & is_verification(command), F.lit(f"{SHELL_TOOL}.verify")).otherwise(tool)

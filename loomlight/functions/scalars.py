@@ -60,9 +60,37 @@ def git_remote(x: Column | str) -> Column:
     return F.lower(F.regexp_replace(c, "^([^/:]+):(/*)", "$1/"))
 
 
-def absolute_paths(x: Column | str, most: int = 64) -> Column:
-    """Distinct absolute paths in a text."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(either(x), F.lit("(/[A-Za-z0-9._-]+){2,}"), F.lit(0))), 1, most)
+# Folders at which paths in texts begin, and how many paths and characters of them count.
+PATHS = r"/(?:home|tmp|private/tmp|Users|work|workspace|workspaces|mnt|srv|var|opt|repo|app)/[^\s\"'`<>|;]+"
+MOST_PATHS, MOST_PATH_CHARS = 64, 200_000
+
+
+def normal_path(x: Column) -> Column:
+    """A path without empty, . and .. segments."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"(?:/\.)++(?=/|$)", ""), "/{2,}", "/")
+    empty = F.array().cast("array<string>")
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, s))
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(F.filter(F.split(plain, "/"), lambda s: s != ""), empty, step), "/"))
+    return F.when(plain.rlike(r"/\.\.(?:/|$)"), walked).otherwise(plain)
+
+
+def cleaned_path(x: Column) -> Column:
+    """A path as text gives it, without what follows it there: brackets, marks, line and column."""
+    c = F.regexp_replace(F.regexp_replace(F.trim(x), r"\\n", ""), r"[),\].}]+$", "")
+    return normal_path(F.regexp_replace(c, r":[0-9]+(?::[0-9]+)?$", ""))
+
+
+def absolute_paths(x: Column | str, most: int = MOST_PATHS, chars: int = MOST_PATH_CHARS) -> Column:
+    """Distinct absolute paths in a text, in order; it ends with so many of them, or characters in all that were found."""
+    found = F.filter(F.transform(F.regexp_extract_all(either(x), F.lit(PATHS), F.lit(0)), cleaned_path), lambda p: p.startswith("/"))
+    start = F.struct(F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc: Column, p: Column) -> Column:
+        seen = acc["chars"] + F.length(p)
+        full = (seen > chars) | (F.size(acc["paths"]) >= most)
+        return F.struct(seen.alias("chars"), F.when(full, acc["paths"]).otherwise(F.array_union(acc["paths"], F.array(p))).alias("paths"))
+
+    return F.aggregate(found, start, step, lambda acc: acc["paths"])
 
 
 def return_code(x: Column | str) -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+from .graphs import cycles
+
 # Finding codes with severity and the capabilities that each blocks.
 CODES = {
     "no-spans": ("error", ["all"]),
@@ -68,6 +71,29 @@ def structure_findings(spans: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, long).filter("spans > 0")
 
 
+def window(spans: DataFrame, order: list[str], bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+    """The first entries in input order, as many as one validation looks at, and truncated-input with the number of the others."""
+    rest = spans.agg(F.greatest(F.count("*") - bound, F.lit(0)).alias("spans")).filter("spans > 0")
+    return spans.orderBy(*order).limit(bound), rest.select(F.lit("truncated-input").alias("code"), "spans")
+
+
+def cyclic_parents(spans: DataFrame) -> DataFrame:
+    """code, spans: how many spans are their own ancestors within their run."""
+    node = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\0", "trace_id", c))
+    ring = cycles(spans.select(node("span_id").alias("node"), node("parent_span_id").alias("parent")).filter("node is not null").distinct())
+    return ring.agg(F.countDistinct("node").alias("spans")).filter("spans > 0").select(F.lit("cyclic-parent").alias("code"), "spans")
+
+
+def input_findings(entries: DataFrame) -> DataFrame:
+    """code, spans of an input's entries (is_object, span_id): none at all, none that can be read, no spans among them, or some that are none."""
+    span = F.col("is_object") & (F.coalesce(F.trim("span_id"), F.lit("")) != "")
+    n = entries.agg(F.count("*").alias("n"), F.count_if("is_object").alias("objects"), F.count_if(span).alias("spans"))
+    one = lambda code, holds, size: F.when(holds, F.struct(F.lit(code).alias("code"), size.alias("spans")))
+    none = F.lit(0).cast("long")
+    rows = F.array_compact(F.array(one("invalid-input", (F.col("n") > 0) & (F.col("objects") == 0), F.col("n")), one("no-spans", F.col("spans") == 0, none), one("invalid-span", F.col("n") > F.col("spans"), F.col("n") - F.col("spans"))))
+    return n.select(F.inline(rows))
+
+
 def described(found: DataFrame) -> DataFrame:
     """Adds severity and what each code blocks."""
     table = [(c, s, ",".join(b)) for c, (s, b) in CODES.items()]
@@ -75,16 +101,53 @@ def described(found: DataFrame) -> DataFrame:
 
 
 def findings(spans: DataFrame) -> DataFrame:
+    """code, severity, blocks, spans of all that the spans themselves show, over every one of them."""
     return described(row_findings(spans).union(structure_findings(spans)))
 
 
+def validated(entries: DataFrame, order: list[str], bound: int = BOUND) -> DataFrame:
+    """All codes over the first entries of an input: those of its shape, of rows, of structure, of cycles, and what was cut off.
+
+    An entry that is no span blocks nothing while others are spans.
+    """
+    seen, cut = window(entries, order, bound)
+    seen = written(seen)
+    spans = seen.filter(F.col("is_object") & (F.coalesce(F.trim("span_id"), F.lit("")) != ""))
+    shape = written(input_findings(seen))
+    found = described(shape.union(row_findings(spans)).union(structure_findings(spans)).union(cyclic_parents(spans)).union(cut))
+    some = (F.col("code") == "invalid-span") & ~F.col("nothing")
+    nothing = shape.agg(F.coalesce(F.bool_or(F.col("code") == "no-spans"), F.lit(False)).alias("nothing"))
+    marked = found.join(nothing, F.lit(True))  # one row
+    return marked.select("code", "spans", F.when(some, "warn").otherwise(F.col("severity")).alias("severity"), F.when(some, "").otherwise(F.col("blocks")).alias("blocks"))
+
+
 def capabilities(found: DataFrame, evidence: DataFrame) -> DataFrame:
     """capability, available: there is evidence (capability, there) and no finding blocks it."""
-    blocked = found.select(F.explode(F.split("blocks", ",")).alias("capability")).filter("capability <> ''").distinct().withColumn("blocked", F.lit(True))
+    blocked = found.select(F.explode(F.when(F.col("blocks") == "all", F.array(*map(F.lit, CAPABILITIES))).otherwise(F.split("blocks", ","))).alias("capability")).filter("capability <> ''").distinct().withColumn("blocked", F.lit(True))
     rows = evidence.join(blocked, "capability", "left")
     return rows.select("capability", (F.col("there") & F.col("blocked").isNull()).alias("available"), F.when(F.col("blocked"), "blocked").when(~F.col("there"), "no evidence").alias("reason"))
 
 
+# What each capability feeds, and whether a report has it.
+ANALYSES = {
+    "token-accounting": ("execution facts → Direct model usage (input/output/reasoning/cache token totals)", True),
+    "cost-attribution": ("execution facts → Cost coverage (observed vs estimated USD)", True),
+    "tool-usage": ("tool-usage table + per-tool duplicate/retry/error rates + stuck-loop detection", True),
+    "loop-convergence": ("round-over-round convergence (did round N+1 improve on N)", True),
+    "tree-comparison": ("arm-vs-arm comparison across branches of one run — NOT YET IMPLEMENTED in this package", False),
+    "steering-chain": ("steering chain (which verdict caused which retry)", True),
+    "latency-analysis": ("latency + critical-path timing distributions", True),
+}
+
+
+def gated(found: DataFrame) -> DataFrame:
+    """capability, analysis, state and reason of each capability (capability, available, reason): available, unbuilt, or skipped for its reason."""
+    table = found.sparkSession.createDataFrame([(c, a, b) for c, (a, b) in ANALYSES.items()], "capability string, analysis string, built boolean")
+    rows = found.join(F.broadcast(table), "capability")  # the fixed table of capabilities
+    state = F.when(~F.col("available"), "skipped").when(~F.col("built"), "unbuilt").otherwise("available")
+    return rows.select("capability", "analysis", state.alias("state"), F.when(~F.col("available"), F.coalesce("reason", F.lit("no reason recorded"))).alias("reason"))
+
+
 def evidence(spans: DataFrame) -> DataFrame:
     """capability, there: whether the spans hold anything to answer with."""
     tests = {

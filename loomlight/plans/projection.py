@@ -113,6 +113,24 @@ FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k, lag(event_
 """
 SESSION_KIN = _KIN.format("/log", "true") + "UNION ALL" + _KIN.format("/copy", "k % 20 = 3 AND n > 2")
 
+# Entries of an input as they may come: some are no objects, some have no id, and some runs go round in circles.
+INPUT_ENTRIES = EVENT_SPANS.replace("SELECT CAST(user_id AS STRING) AS trace_id, CAST(event_id AS STRING) AS span_id,", "SELECT k % 40 <> 2 AS is_object, CAST(user_id AS STRING) AS trace_id, CASE WHEN k % 40 <> 3 THEN CAST(event_id AS STRING) END AS span_id,").replace("WHEN event_id = root THEN NULL ELSE", "WHEN event_id = root THEN CASE WHEN user_id % 7 = 0 THEN CAST(last AS STRING) END ELSE").replace("min(event_id) OVER (PARTITION BY user_id) AS root", "min(event_id) OVER (PARTITION BY user_id) AS root, max(event_id) OVER (PARTITION BY user_id) AS last")
+
+# Shell commands of tools, and arguments of tools that wait.
+COMMANDS = """
+SELECT event_id, CASE k % 5 WHEN 0 THEN 'wait' WHEN 1 THEN 'write_stdin' WHEN 2 THEN 'wait_agent' ELSE 'exec_command' END AS tool,
+  CASE k % 11 WHEN 0 THEN 'pnpm run test:unit' WHEN 1 THEN 'curl https://a/b' WHEN 2 THEN 'curl -X POST https://a/b' WHEN 3 THEN 'curl --request get https://a' WHEN 4 THEN 'curl -d @f https://a' WHEN 5 THEN '"cell_id": "1"'
+    WHEN 6 THEN '"session_id" : 2' WHEN 7 THEN 'see cell_id and session_id' WHEN 8 THEN 'git  diff HEAD' WHEN 9 THEN 'make latest' ELSE CASE WHEN event_type = 'error' THEN NULL ELSE event_type END END AS args
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) AS e
+"""
+
+# Where spans show paths: the folder of the session, of a tool, and in messages.
+PATH_TEXTS = """
+SELECT trace_id, ord, 'ref-cwd' AS source, cwd AS text FROM (EVENTS) AS a WHERE parent_span_id IS NULL
+UNION ALL SELECT trace_id, ord, 'span-workdir', cwd FROM (EVENTS) AS b WHERE kind = 'TOOL' AND k % 30 = 0
+UNION ALL SELECT trace_id, ord, 'span-path', concat('failed at ', cwd, '//main.py:', CAST(k AS STRING), ':2), see (/tmp/', name, '.log) and /etc/x, ', cwd, '/./lib].') FROM (EVENTS) AS c WHERE status_code = 'ERROR'
+""".replace("EVENTS", EVENT_SPANS)
+
 # What each event span says; stand-ins for commands and answers, which the tables don't have.
 SAID = """
 SELECT trace_id, ord, start_us, tool, name, status_code, kind = 'TOOL' AS is_tool,
@@ -131,7 +149,8 @@ def _actions() -> str:
 
 PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"]),
     "ctx_files": (CONTEXT_FILES, ["nation"]), "fork_children": (FORK_CHILDREN, ["events"]), "fork_turns": (FORK_TURNS, ["events"]),
-    "rec_steps": (RECORDED_STEPS, ["lineitem"]), "rerun_steps": (RERUN_STEPS, ["lineitem"]), "fix_tries": (FIX_ATTEMPTS, ["lineitem"]), "kin": (SESSION_KIN, ["events"])}
+    "rec_steps": (RECORDED_STEPS, ["lineitem"]), "rerun_steps": (RERUN_STEPS, ["lineitem"]), "fix_tries": (FIX_ATTEMPTS, ["lineitem"]), "kin": (SESSION_KIN, ["events"]),
+    "entries": (INPUT_ENTRIES, ["events"]), "commands": (COMMANDS, ["events"]), "path_texts": (PATH_TEXTS, ["events"])}
 
 
 def for_spark(sql: str) -> str:

@@ -11,6 +11,7 @@ from ..operators import findings as R
 from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import validation as V
+from ..operators.context import best_repos, repo_paths
 from .projection import load
 from .registry import query
 from .span_queries import _LOOPS, DAY_US, ev
@@ -224,6 +225,26 @@ def v01(spark, sf):
     return V.findings(ev(spark, sf))
 
 
+#: Entries that this query looks at, fewer than the default so that some are cut off.
+_WINDOW = 400
+_ALL_CODES = f"""codes(code, severity, blocks) AS (VALUES {_CODES}), win AS (SELECT * FROM entries ORDER BY ord LIMIT {_WINDOW}), ok AS (SELECT * FROM win WHERE is_object AND coalesce(trim(span_id), '') <> ''),
+ids AS (SELECT span_id, count(DISTINCT trace_id) AS in_runs, count(*) AS n, min(trace_id) AS t FROM ok GROUP BY span_id),
+up AS (SELECT trace_id, span_id AS start, parent_span_id AS node, 1 AS d FROM ok WHERE parent_span_id IS NOT NULL UNION ALL SELECT up.trace_id, start, o.parent_span_id, d + 1 FROM up JOIN ok o ON o.trace_id = up.trace_id AND o.span_id = node WHERE o.parent_span_id IS NOT NULL AND node <> start AND d < 9),
+raw AS (SELECT 'truncated-input' AS code, count(*) - {_WINDOW} AS spans FROM entries UNION ALL SELECT 'invalid-span', count(*) - (SELECT count(*) FROM ok) FROM win UNION ALL SELECT 'cyclic-parent', count(DISTINCT (trace_id, start)) FROM up WHERE node = start
+UNION ALL SELECT 'non-hex-id', count(*) FROM ok WHERE NOT (regexp_full_match(trace_id, '[0-9a-f]{{32}}') AND regexp_full_match(span_id, '[0-9a-f]{{16}}'))
+UNION ALL SELECT 'negative-duration', count(*) FROM ok WHERE end_us < start_us UNION ALL SELECT 'missing-model', count(*) FROM ok WHERE kind = 'LLM' AND model IS NULL
+UNION ALL SELECT 'no-usage', count(*) FROM ok WHERE kind = 'LLM' AND input_tokens IS NULL AND output_tokens IS NULL UNION ALL SELECT 'missing-tool-name', count(*) FROM ok WHERE kind = 'TOOL' AND tool IS NULL
+UNION ALL SELECT 'orphan-parent', count(*) FROM ok LEFT JOIN ids ON ids.span_id = parent_span_id WHERE parent_span_id IS NOT NULL AND ids.span_id IS NULL
+UNION ALL SELECT 'flat-hierarchy', count(*) FROM (SELECT trace_id FROM ok GROUP BY trace_id HAVING count(*) > 1 AND count(parent_span_id) = 0)
+UNION ALL SELECT 'dangling-link', count(*) FROM ok LEFT JOIN ids ON ids.span_id = link_span_id WHERE link_span_id IS NOT NULL AND ids.span_id IS NULL),
+fnd AS (SELECT code, spans, CASE code WHEN 'invalid-span' THEN 'warn' ELSE severity END AS severity, CASE code WHEN 'invalid-span' THEN '' ELSE blocks END AS blocks FROM raw JOIN codes USING (code) WHERE spans > 0)"""
+
+
+@query("v01_input_codes", f"WITH RECURSIVE {_ALL_CODES} SELECT * FROM fnd")
+def v01_input(spark, sf):
+    return V.validated(load(spark, sf, "entries"), ["ord"], _WINDOW)
+
+
 _THERE = "th(capability, there) AS (SELECT unnest(['token-accounting', 'cost-attribution', 'tool-usage', 'loop-convergence', 'tree-comparison', 'steering-chain', 'latency-analysis']), unnest([bool_or(input_tokens IS NOT NULL), bool_or(cost_usd IS NOT NULL), bool_or(tool IS NOT NULL), count(DISTINCT iteration) > 1, count(DISTINCT trace_id) > 1, bool_or(link_span_id IS NOT NULL), bool_or(end_us > start_us)]) FROM ev)"
 
 
@@ -233,6 +254,14 @@ def v02(spark, sf):
     return V.capabilities(V.findings(s), V.evidence(s))
 
 
+_STATES = ", ".join("('{}', '{}', {})".format(c, a.replace("'", "''"), b) for c, (a, b) in V.ANALYSES.items())
+
+
+@query("v03_gated_sections", f"WITH {_FIND}, {_THERE}, bl AS (SELECT DISTINCT unnest(string_split(blocks, ',')) AS capability FROM fnd), an(capability, analysis, built) AS (VALUES {_STATES}) SELECT an.capability, analysis, CASE WHEN NOT there OR bl.capability IS NOT NULL THEN 'skipped' WHEN NOT built THEN 'unbuilt' ELSE 'available' END AS state, CASE WHEN bl.capability IS NOT NULL THEN 'blocked' WHEN NOT there THEN 'no evidence' END AS reason FROM th JOIN an USING (capability) LEFT JOIN bl USING (capability)")
+def v03(spark, sf):
+    return V.gated(v02(spark, sf))
+
+
 @query("v07_minted_ids", "SELECT count(DISTINCT trace_id) AS minted, count(*) AS spans FROM ev WHERE NOT regexp_full_match(trace_id, '[0-9a-f]{32}')")
 def v07(spark, sf):
     return ev(spark, sf).filter(~F.col("trace_id").rlike("^[0-9a-f]{32}$")).agg(F.countDistinct("trace_id").alias("minted"), F.count("*").alias("spans"))
@@ -303,13 +332,30 @@ def a21(spark, sf):
     return R.adoption(ev(spark, sf))
 
 
+_WORD = r"(?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)"
+# The rules for SQL, told on their own: no look-around, so what stands before an identifier is taken along and put back.
+_REDACTED = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", ""),
+    ("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", ""),
+    ("github-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,})\b", ""),
+    ("aws-akid", r"\bAKIA[0-9A-Z]{16}\b", ""),
+    ("slack-token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", ""),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", ""),
+    ("bearer", r"(?i)\bBearer\s+[A-Za-z0-9._-]{16,}", ""),
+    ("private-key", r"-----BEGIN(?:[A-Z ]+)?PRIVATE KEY-----[\s\S]*?-----END(?:[A-Z ]+)?PRIVATE KEY-----", ""),
+    ("assigned-secret", r"(?i)(^|[^A-Za-z0-9_-])" + _WORD + r"""\+?=(?:\$\((?:\\.|[^\\\r\n])*\)|\$\{(?:\\.|[^}\\\r\n])*\}|`(?:\\.|[^`\\\r\n])*`|\$?'(?:\\.|[^'\\\r\n])*'|\$?"(?:\\.|[^"\\\r\n])*"|\\[^\r\n]|[^\s;&|<>()"'`\\\r\n])+""", r"\1"),
+    ("config-secret", r"""(?im)(?:^[ \t]*["']?""" + _WORD + r"""["']?[ \t]*[:=][ \t]*|["']""" + _WORD + r"""["']\s*:\s*)["']?[A-Za-z0-9._\-]{12,}["']?""", ""),
+    ("url-userinfo", r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", ""),
+    ("url-secret-param", r"""(?i)[?&](?:access[_-]?token|api[_-]?key|apikey|auth|token|secret|password|sig|signature)=[^&\s"'#)]+""", ""),
+]
+
+
 def _redaction_sql() -> str:
-    """The rules without look-around: a character before an identifier is taken along and put back; what follows one is never a part of it."""
     text, parts = "text", []
-    for name, rule in C.REDACTIONS.items():
-        pattern = rule.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])").replace("(?![A-Za-z0-9_-])", "").replace(")*+", ")*").replace(")++", ")+").replace("'", "''")
+    for name, rule, kept in _REDACTED:
+        pattern = rule.replace("'", "''")
         parts.append(f"sum(len(regexp_extract_all({text}, '{pattern}')))::BIGINT AS \"{name}\"")
-        text = f"regexp_replace({text}, '{pattern}', '{chr(92) + '1' if '(?<!' in rule else ''}[{name}]', 'g')"
+        text = f"regexp_replace({text}, '{pattern}', '{kept}[{name}]', 'g')"
     return f"SELECT {', '.join(parts)} FROM documents"
 
 
@@ -411,16 +457,40 @@ def f16(spark, sf):
     return parquet(spark, sf, "pages").select("page_id", S.git_remote("url").alias("remote"))
 
 
-@query("f17_paths", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '(/[A-Za-z0-9._-]+){2,}'))[1:64]) AS paths FROM pages")
+_PATHS = "'/(?:home|tmp|private/tmp|Users|work|workspace|workspaces|mnt|srv|var|opt|repo|app)/[^\\s\"''`<>|;]+'"
+
+
+def _cleaned(x: str) -> str:
+    """A path without what follows it in a text, in SQL; no text here has .. in a path."""
+    c = f"regexp_replace(replace(trim({x}), '\\n', ''), '[),\\].}}]+$', '')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, ':[0-9]+(:[0-9]+)?$', ''), '/\\.(/|$)', '\\1', 'g'), '/+', '/', 'g')"
+
+
+@query("f17_paths", f"SELECT page_id, len(list_distinct(regexp_extract_all(html, {_PATHS}))[1:64]) AS paths FROM pages")
 def f17(spark, sf):
     return parquet(spark, sf, "pages").select("page_id", F.size(S.absolute_paths("html")).cast("long").alias("paths"))
 
 
-@query("f18_repo_scores", "WITH s AS (SELECT trace_id, cwd, sum(CASE k % 4 WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 50 ELSE 5 END)::BIGINT AS score, min(ord) AS first_seen FROM ev GROUP BY trace_id, cwd) SELECT trace_id, cwd, score FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, first_seen) AS n FROM s) WHERE n = 1")
+_FOUND_PATHS = f"ps AS (SELECT DISTINCT trace_id, source, {_cleaned('p')} AS path FROM (SELECT trace_id, source, unnest(CASE source WHEN 'span-path' THEN regexp_extract_all(text, {_PATHS}) ELSE [text] END) AS p FROM path_texts))"
+
+
+@query("f17_message_paths", f"WITH {_FOUND_PATHS} SELECT * FROM ps")
+def f17_messages(spark, sf):
+    return repo_paths(load(spark, sf, "path_texts"))
+
+
+@query("f18_repo_scores", f"""WITH {_FOUND_PATHS}, marked AS (SELECT DISTINCT folder FROM ctx_files WHERE name = '.git'), rooted AS (SELECT trace_id, source, path, max_by(folder, length(folder)) AS repo FROM ps JOIN marked ON path = folder OR starts_with(path, concat(folder, '/')) GROUP BY ALL),
+sc AS (SELECT trace_id, repo, sum(CASE source WHEN 'span-path' THEN 5 WHEN 'ref-cwd' THEN 50 WHEN 'repaired-cwd' THEN 90 WHEN 'span-workdir' THEN 100 ELSE 0 END)::BIGINT AS score FROM rooted GROUP BY trace_id, repo)
+SELECT trace_id, repo, score FROM sc QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, repo) = 1""")
 def f18(spark, sf):
-    weight = F.expr("case k % 4 when 0 then 100 when 1 then 90 when 2 then 50 else 5 end")
-    scores = ev(spark, sf).groupBy("trace_id", "cwd").agg(F.sum(weight).alias("score"), F.min("ord").alias("first_seen"))
-    return scores.groupBy("trace_id").agg(F.min_by(F.struct("cwd", "score"), F.struct(-F.col("score"), "first_seen")).alias("b")).select("trace_id", "b.cwd", "b.score")
+    return best_repos(repo_paths(load(spark, sf, "path_texts")), load(spark, sf, "ctx_files"))
+
+
+@query("n16_n17_nested_tools", """SELECT event_id, CASE WHEN tool = 'exec_command' AND (regexp_matches(args, '(?i)\\b(?:pnpm|npm|yarn|bun)\\s+(?:run\\s+)?(?:test|typecheck|lint|build|check)(?::[A-Za-z0-9:_-]+)?\\b|\\bgit\\s+(?:status|diff|show|merge-tree)\\b')
+  OR (regexp_matches(args, '\\bcurl\\b') AND NOT regexp_matches(args, 'POST| -d ')))  THEN 'exec_command.verify' ELSE tool END AS nested,
+  coalesce(tool = 'wait_agent' OR (tool = 'wait' AND regexp_matches(args, '\\bcell_id\\b["'']?\\s*:')) OR (tool = 'write_stdin' AND regexp_matches(args, '\\bsession_id\\b["'']?\\s*:')), false) AS blocking FROM commands""")
+def n16(spark, sf):
+    return load(spark, sf, "commands").select("event_id", C.nested_tool(F.col("tool"), F.col("args")).alias("nested"), C.is_expected_blocking(F.col("tool"), F.col("args")).alias("blocking"))
 
 
 @query("f20_failure_lines", "SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '(?i)(^|[^A-Za-z0-9_])error([^A-Za-z0-9_]|$)'))[1] AS line FROM conversations")
