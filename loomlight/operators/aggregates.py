@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
+
 def is_tool() -> Column:
     return F.col("kind") == "TOOL"
 
@@ -139,7 +142,9 @@ def distributions(spans: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """n, min, mean, p50, p95 and max of each measure; exact percentiles, linear between ranks."""
     measures = F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(c.cast("double") for c in columns.values()))))
     long = spans.select(measures.alias("measure", "x")).filter("x is not null")
-    return long.groupBy("measure").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.5), 6).alias("p50"), F.round(F.percentile("x", 0.95), 6).alias("p95"), F.max("x").alias("max"))
+    sizes = long.groupBy("measure").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.round(F.avg("x"), 6).alias("mean"), F.max("x").alias("max"))
+    middle = quantiles(long, [0.5, 0.95]).groupBy("measure").agg(*(F.round(F.max(F.when(F.col("share") == share, F.col("value"))), 6).alias(name) for name, share in (("p50", 0.5), ("p95", 0.95))))
+    return sizes.join(middle, "measure").select("measure", "n", "min", "mean", "p50", "p95", "max")
 
 
 def token_totals(spans: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.outputs import output_failed
 from ..operators import context as C
-from ..operators import forks, replay, workflow
+from ..operators import forks, payload, replay, workflow
 from .projection import load
 from .registry import query
 from .span_queries import ev
@@ -132,3 +133,20 @@ def g08_sessions(spark, sf):
 )
 def g08_issues(spark, sf):
     return _expanded(spark, sf)[1]
+
+
+@query("n15_output_failures", "SELECT event_id, CASE WHEN form IN (0, 1, 4, 5, 8) THEN code <> 0 WHEN form = 2 THEN false WHEN form IN (3, 6, 9, 10) THEN true END AS failed FROM tool_outputs")
+def n15(spark, sf):
+    return load(spark, sf, "tool_outputs").select("event_id", output_failed(F.col("output")).alias("failed"))
+
+
+#: Characters of an attribute in this query, and of the payload for each document; whole documents are far more.
+_CAP, _EACH = 200, 600
+
+
+@query("p19_capped_attributes", f"SELECT doc_id, CASE WHEN length(CAST(to_json(text) AS VARCHAR)) <= {_CAP} THEN text ELSE concat(left(text, {_CAP}), '…[truncated ', length(text) - {_CAP}, ' chars]') END AS content FROM documents")
+def p19(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", F.map_from_arrays(F.array(F.lit("content")), F.array(F.col("text").cast("variant"))).alias("attributes"))
+    cut, _ = payload.budgeted(rows, budget=_EACH * docs.count(), cap=_CAP)
+    return cut.select("doc_id", F.try_variant_get(F.col("attributes")["content"], "$", "string").alias("content"))

@@ -131,6 +131,16 @@ UNION ALL SELECT trace_id, ord, 'span-workdir', cwd FROM (EVENTS) AS b WHERE kin
 UNION ALL SELECT trace_id, ord, 'span-path', concat('failed at ', cwd, '//main.py:', CAST(k AS STRING), ':2), see (/tmp/', name, '.log) and /etc/x, ', cwd, '/./lib].') FROM (EVENTS) AS c WHERE status_code = 'ERROR'
 """.replace("EVENTS", EVENT_SPANS)
 
+# Outputs of tools in the protocols that tell of failures; 123 and 125 are braces.
+TOOL_OUTPUTS = r"""
+SELECT event_id, k % 13 AS form, k % 3 AS code, CASE k % 13
+  WHEN 0 THEN concat(chr(123), '"exit_code": ', CAST(k % 3 AS STRING), ', "output": "error!"', chr(125)) WHEN 1 THEN concat('Chunk ID: 7', chr(10), 'Process exited with code ', CAST(k % 3 AS STRING), chr(10), 'Output:', chr(10), 'Process exited with code 9')
+  WHEN 2 THEN concat('Script completed', chr(10), 'Wall time: 3') WHEN 3 THEN concat('Script failed', chr(10), 'Wall time: 3') WHEN 4 THEN concat('Script error:', chr(10), 'Exit code: ', CAST(k % 3 AS STRING)) WHEN 5 THEN concat('Command failed with exit code ', CAST(k % 3 AS STRING), '.')
+  WHEN 6 THEN concat('<tool_error>', chr(10), event_type, '</tool_error>') WHEN 7 THEN 'error: it failed with exit code 3' WHEN 8 THEN concat('[', chr(123), '"type": "text", "text": "Command failed with exit code ', CAST(k % 3 AS STRING), '"', chr(125), ', "plain"]')
+  WHEN 9 THEN concat(chr(123), '"timed_out": true', chr(125)) WHEN 10 THEN concat(chr(123), '"succeeded": false, "error": null', chr(125)) WHEN 11 THEN concat(chr(123), ' not json ', chr(125)) END AS output
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) AS e
+"""
+
 # What each event span says; stand-ins for commands and answers, which the tables don't have.
 SAID = """
 SELECT trace_id, ord, start_us, tool, name, status_code, kind = 'TOOL' AS is_tool,
@@ -150,7 +160,7 @@ def _actions() -> str:
 PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"]),
     "ctx_files": (CONTEXT_FILES, ["nation"]), "fork_children": (FORK_CHILDREN, ["events"]), "fork_turns": (FORK_TURNS, ["events"]),
     "rec_steps": (RECORDED_STEPS, ["lineitem"]), "rerun_steps": (RERUN_STEPS, ["lineitem"]), "fix_tries": (FIX_ATTEMPTS, ["lineitem"]), "kin": (SESSION_KIN, ["events"]),
-    "entries": (INPUT_ENTRIES, ["events"]), "commands": (COMMANDS, ["events"]), "path_texts": (PATH_TEXTS, ["events"])}
+    "entries": (INPUT_ENTRIES, ["events"]), "commands": (COMMANDS, ["events"]), "path_texts": (PATH_TEXTS, ["events"]), "tool_outputs": (TOOL_OUTPUTS, ["events"])}
 
 
 def for_spark(sql: str) -> str:

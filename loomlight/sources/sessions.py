@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_to_epoch_ms
-from .readers import numbered_lines
+from .codex_exec import codex_exec
+from .lines import numbered_lines
 
 FIELDS = {
     "trace_id": "string", "ord": "long", "kind": "string", "role": "string", "ts_ms": "long", "model": "string", "input_tokens": "long", "output_tokens": "long",
@@ -205,8 +206,8 @@ def opencode(spark: SparkSession, messages: str, parts: str) -> DataFrame:
 
 
 #: Readers by the name of the assistant; register() adds to them.
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {"claude-code": claude, "codex": codex, "opencode": opencode, "gemini": gemini, "qwen": qwen, "factory": factory, "pi": pi, "amp": amp, "github-copilot": copilot, "forge": forge}
-ALIASES = {"claude": "claude-code", "copilot": "github-copilot"}
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"claude-code": claude, "codex": codex, "opencode": opencode, "gemini": gemini, "qwen": qwen, "factory": factory, "pi": pi, "amp": amp, "github-copilot": copilot, "forge": forge, "codex-exec": codex_exec}
+ALIASES = {"codex-json": "codex-exec", "claude": "claude-code", "copilot": "github-copilot"}
 
 
 def register(name: str, reader: Callable[..., DataFrame]) -> None:
