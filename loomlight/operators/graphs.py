@@ -1,13 +1,16 @@
 """Trees and graphs of spans, of any depth and size, by rounds of joins whose rows are written in between.
 
-Ancestors come by doubling: pairs up to twice the distance from pairs up to one, so a chain
-of n nodes takes log n rounds. What depends on each step from the root (boundaries, paths)
-goes down level by level, and each level joins its own nodes only. A null parent or one that
-isn't among the nodes ends the walk up; cycles end it where a node would come again.
+What a node has from its ancestors or descendants comes by doubling: each row holds what it knows of a
+stretch of the way up and where the stretch ends, and each round joins two stretches to one, so
+a chain of n nodes takes log n rounds of n rows. A null parent or one that isn't among the
+nodes ends the walk up. Nodes that reach no root, on cycles or under them, are told apart when a
+round settles nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +32,52 @@ def closure(nodes: DataFrame) -> DataFrame:
             return own.union(found)
 
 
+def lifted(nodes: DataFrame, start: dict[str, Column], join: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """node and, by name, what a walk from it up to its root makes of start: join(lower, upper) puts two stretches together. Nodes without a root have no row."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    now = written(nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("at"), *(c.alias(n) for n, c in start.items())))
+    before = -1
+    while True:
+        left = now.filter("at is not null")
+        count = left.count()
+        if count in (0, before):
+            return now.filter("at is null").drop("at")
+        before = count
+        up = now.select(F.col("node").alias("at"), F.col("at").alias("then"), *(F.col(n).alias(f"up_{n}") for n in start))
+        longer = left.join(up, "at").select("node", F.col("then").alias("at"), *(join[n](F.col(n), F.col(f"up_{n}")).alias(n) for n in start))
+        now = written(now.filter("at is null").union(longer))
+
+
+def _cut(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose rings are opened at their smallest node, which becomes a root; and the rings."""
+    rings = written(cycles(nodes.select("node", "parent")))
+    heads = rings.filter("node = cycle").select("node", F.lit(True).alias("head"))
+    return nodes.join(heads, "node", "left").withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))).drop("head"), rings
+
+
 def subtree_totals(nodes: DataFrame) -> DataFrame:
-    """Records, cost and how many costs are unknown of each node with all below it."""
-    below = closure(nodes.select("node", "parent")).join(nodes.select("node", "usd"), "node")
-    there = nodes.select(F.col("node").alias("ancestor"))
-    return below.join(there, "ancestor", "left_semi").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("records"), F.round(F.sum("usd"), 2).alias("usd"), F.count_if(F.col("usd").isNull()).alias("usd_unknown"))
-
-
-def _down(nodes: DataFrame, first: list[Column], step: list[Column]) -> DataFrame:
-    """Rows from the roots down: first of a root's columns, step of a node's and its parent's (``up``) columns. Nodes of a cycle have no root and no row."""
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("has_parent")).distinct()
-    marked = written(nodes.join(known, "parent", "left"))
-    level = written(marked.filter("has_parent is null").select(*first))
-    under = marked.filter("has_parent")
-    found = level
-    while not level.isEmpty():
-        up = level.select(F.col("node").alias("parent"), F.struct("*").alias("up"))
-        level = written(under.join(up, "parent").select(*step))
-        found = found.union(level)
-    return found
+    """Records, cost and how many costs are unknown of each node with all below it; a node of a cycle has all of the cycle below it.
+
+    A row holds the sum of the nodes less than so many steps below; adding the sums of those
+    that many steps below doubles the steps.
+    """
+    cut, rings = _cut(nodes.select("node", "parent", "usd"))
+    known = cut.select(F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    sums = [F.lit(1).cast("long").alias("records"), F.col("usd"), F.col("usd").isNull().cast("long").alias("usd_unknown")]
+    now = written(cut.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("at"), *sums))
+    while True:
+        left = now.filter("at is not null")
+        if left.isEmpty():
+            break
+        below = left.groupBy(F.col("at").alias("node")).agg(*(F.sum(c).alias(f"more_{c}") for c in ("records", "usd", "usd_unknown")))
+        up = left.select(F.col("node").alias("at"), F.col("at").alias("then"))
+        both = now.join(below, "node", "left").join(up, "at", "left")
+        added = lambda c: F.coalesce(F.col(c) + F.col(f"more_{c}"), F.col(c), F.col(f"more_{c}")).alias(c)
+        now = written(both.select("node", F.col("then").alias("at"), added("records"), added("usd"), added("usd_unknown")))
+    totals = now.select("node", "records", F.round("usd", 2).alias("usd"), "usd_unknown")
+    others = rings.filter("node <> cycle").select("node", "cycle")
+    of_ring = others.join(totals.withColumnRenamed("node", "cycle"), "cycle").drop("cycle")
+    return totals.join(others.select("node"), "node", "left_anti").unionByName(of_ring)
 
 
 # Operations that start an agent's run.
@@ -61,15 +91,25 @@ def run_tree(nodes: DataFrame) -> DataFrame:
     operation (where nodes have such columns), or one whose agent differs from the enclosing
     boundary's, if both are known.
     """
-    new = F.coalesce(F.col("agent") != F.col("up.agent"), F.lit(False))
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    forced = F.col("known").isNull()
     if "kind" in nodes.columns:
-        new = new | F.coalesce(F.upper("kind") == "AGENT", F.lit(False))
+        forced = forced | F.coalesce(F.upper("kind") == "AGENT", F.lit(False))
     if "operation" in nodes.columns:
-        new = new | F.coalesce(F.col("operation").isin(*AGENT_OPERATIONS), F.lit(False))
-    first = [F.col("node"), F.col("node").alias("enclosing"), F.col("agent"), F.lit(0).alias("depth")]
-    either = lambda a, b: F.when(new, a).otherwise(b)
-    step = [F.col("node"), either(F.col("node"), F.col("up.enclosing")).alias("enclosing"), either(F.col("agent"), F.col("up.agent")).alias("agent"), either(F.col("up.depth") + 1, F.col("up.depth")).alias("depth")]
-    return _down(nodes, first, step)
+        forced = forced | F.coalesce(F.col("operation").isin(*AGENT_OPERATIONS), F.lit(False))
+    root = F.col("known").isNull().alias("root")
+    marked = written(nodes.join(known, "parent", "left").select("node", "parent", "agent", forced.alias("forced"), root))
+    # the last boundary of its own at or above each node, and the last agent that was told from there on
+    held = F.struct(F.col("forced"), F.when(F.col("forced"), F.col("agent")).alias("first"), F.col("agent").alias("last"))
+    both = lambda low, up: F.when(low["forced"], low).otherwise(F.struct(up["forced"].alias("forced"), up["first"].alias("first"), F.coalesce(low["last"], up["last"]).alias("last")))
+    told = lifted(marked, {"held": held}, {"held": both})
+    # a boundary without an agent has none to differ from
+    state = told.select(F.col("node").alias("parent"), F.when(F.col("held.first").isNotNull(), F.col("held.last")).alias("enclosing_agent"))
+    new = F.col("forced") | F.coalesce(F.col("agent") != F.col("enclosing_agent"), F.lit(False))
+    bounded = written(marked.join(state, "parent", "left").select("node", "parent", "agent", new.alias("new"), (new & ~F.col("root")).cast("int").alias("step")))
+    boundary = F.when(F.col("new"), F.struct(F.col("node").alias("enclosing"), "agent"))
+    found = lifted(bounded, {"boundary": boundary, "depth": F.col("step")}, {"boundary": F.coalesce, "depth": lambda low, up: low + up})
+    return found.select("node", "boundary.enclosing", "boundary.agent", "depth")
 
 
 def spend_split(nodes: DataFrame) -> DataFrame:
@@ -127,10 +167,9 @@ def cycles(nodes: DataFrame) -> DataFrame:
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes with their path from the root, the order of a walk in depth first; a node whose parent is unknown is a root, and so is the smallest node of a cycle."""
-    heads = cycles(nodes.select("node", "parent")).filter("node = cycle").select("node", F.lit(True).alias("head"))
-    cut = nodes.select("node", "parent").join(heads, "node", "left").select("node", F.when(F.col("head").isNull(), F.col("parent")).alias("parent"))
-    first = [F.col("node"), F.col("node").cast("string").alias("path"), F.lit(0).alias("depth")]
-    return _down(cut, first, [F.col("node"), F.concat("up.path", F.lit("/"), F.col("node").cast("string")).alias("path"), (F.col("up.depth") + 1).alias("depth")])
+    cut, _ = _cut(nodes.select("node", "parent"))
+    path = lambda low, up: F.concat(up, F.lit("/"), low)
+    return lifted(cut, {"path": F.col("node").cast("string"), "depth": F.lit(0)}, {"path": path, "depth": lambda low, up: low + up + 1})
 
 
 def round_verdicts(nodes: DataFrame) -> DataFrame:
@@ -138,9 +177,13 @@ def round_verdicts(nodes: DataFrame) -> DataFrame:
 
     nodes: node, parent, is_round, verdict, ord.
     """
-    rounds = nodes.filter("is_round").select("node", "verdict", "ord")
-    above = closure(nodes.select("node", "parent")).filter("depth > 0").join(rounds.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
-    owner = above.groupBy("node").agg(F.min_by("ancestor", "depth").alias("round"), F.min("depth").alias("depth"))
+    parents = nodes.select(F.col("node").alias("parent"), "is_round")
+    cut, _ = _cut(nodes.select("node", "parent"))
+    # steps from each node to the nearest round above it
+    above = cut.join(parents, "parent", "left").withColumn("is_round", F.coalesce("is_round", F.lit(False)))
+    near = F.struct(F.when(F.col("is_round"), F.col("parent")).alias("round"), F.lit(1).alias("depth"))
+    nearest = lambda low, up: F.when(low["round"].isNotNull(), low).otherwise(F.struct(up["round"].alias("round"), (low["depth"] + up["depth"]).alias("depth")))
+    owner = lifted(above, {"near": near}, {"near": nearest}).filter("near.round is not null").select("node", "near.round", "near.depth")
     below = owner.join(nodes.select("node", "verdict", "ord"), "node").select("round", "verdict", "depth", "ord")
-    every = below.union(rounds.select(F.col("node").alias("round"), "verdict", F.lit(0).alias("depth"), "ord"))
+    every = below.union(nodes.filter("is_round").select(F.col("node").alias("round"), "verdict", F.lit(0).alias("depth"), "ord"))
     return every.groupBy("round").agg(F.min_by("verdict", F.when(F.col("verdict").isNotNull(), F.struct("depth", "ord"))).alias("verdict"))
