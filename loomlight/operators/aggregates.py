@@ -189,7 +189,7 @@ def span_structure(spans: DataFrame) -> DataFrame:
     ids = spans.select(F.col("span_id").alias("parent_span_id")).distinct()
     orphans = spans.filter("parent_span_id is not null").join(ids, "parent_span_id", "left_anti").agg(F.count("*").alias("orphans"))
     per = spans.groupBy("trace_id").agg(F.count_if(is_root()).alias("roots"), F.count("*").alias("n"))
-    totals = per.agg(F.sum("n").alias("spans"), F.sum("roots").alias("rootless"), F.sum(F.greatest(F.col("roots") - 1, F.lit(0))).alias("extra_roots"), F.count_if(F.col("roots") == 0).alias("traces_without_root"))
+    totals = per.agg(F.sum("n").alias("spans"), F.sum("roots").alias("rootless"), F.sum(F.greatest(F.col("roots") - 1, F.lit(0))).alias("extra_roots"), F.count_if(F.col("roots") == 0).alias("runs_without_root"))
     return totals.join(orphans, F.lit(True))  # one row each
 
 

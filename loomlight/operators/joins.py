@@ -33,10 +33,11 @@ def rerooted(spans: DataFrame) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """For each left row the latest right value at or before it, by key: one sort over both sides, no range join."""
+    """For each left row the latest right value at or before it, by key: one sort over both sides, no range join. A null key matches none."""
     both = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(key, at, F.col(value).alias("_value")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy(at, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(order)).filter("_side = 1").drop("_side", "_value")
+    latest = F.when(F.col(key).isNotNull(), F.last("_value", ignorenulls=True).over(order))
+    return both.withColumn(value, latest).filter("_side = 1").drop("_side", "_value")
 
 
 def unverified_claims(actions: DataFrame) -> DataFrame:
@@ -96,3 +97,10 @@ def only_in_first_source(rows: DataFrame, identity: str, source: str) -> DataFra
 def not_yet(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key and hash the state doesn't hold."""
     return rows.join(state.select(*keys).distinct(), keys, "left_anti")
+
+
+def without_ambiguous_parents(rows: DataFrame, node: str, identity: str, parent: str) -> DataFrame:
+    """All rows, with dropped_edge: an edge to a node that several identities claim is dropped, its row stays."""
+    claims = rows.groupBy(F.col(node).alias(parent)).agg((F.countDistinct(identity) > 1).alias("ambiguous")).filter("ambiguous")
+    found = rows.join(claims, parent, "left").withColumn("dropped_edge", F.coalesce("ambiguous", F.lit(False)))
+    return found.withColumn(parent, F.when(~F.col("dropped_edge"), F.col(parent))).drop("ambiguous")

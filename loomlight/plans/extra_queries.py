@@ -96,13 +96,13 @@ def p15(spark, sf):
 _RUNS = """
 SELECT trace_id, count(*) FILTER (WHERE kind = 'TOOL') AS calls, count(args) FILTER (WHERE kind = 'TOOL') AS captured,
   count(*) FILTER (WHERE kind = 'TOOL' AND status_code = 'ERROR') AS errors, count(*) FILTER (WHERE parent_span_id IS NULL AND status_code = 'ERROR') AS failures,
-  count(DISTINCT cwd) AS identities
+  count(DISTINCT cwd) AS identities, count(*) FILTER (WHERE link_kind = 'steered_by' AND link_span_id IS NOT NULL) AS steered, count(*) FILTER (WHERE tool = 'Skill') AS skills
 FROM {ev} GROUP BY trace_id
 """
 _COUNTS = """
 SELECT sum(calls) AS tool_calls, sum(captured) AS captured_calls, count(*) AS runs, count(*) FILTER (WHERE identities <> 1) AS missing_sessions,
   count(*) AS groups, count(*) FILTER (WHERE calls > 0) AS measurable_groups, sum(calls) FILTER (WHERE failures = 0) AS quiet_calls,
-  sum(errors) FILTER (WHERE failures = 0) AS quiet_errors, count(*) FILTER (WHERE failures > 0) AS failed_runs, 0 AS corrective, 0 AS skill_runs
+  sum(errors) FILTER (WHERE failures = 0) AS quiet_errors, count(*) FILTER (WHERE failures > 0) AS failed_runs, sum(steered) AS corrective, sum(skills) AS skill_runs
 FROM {runs}
 """
 
@@ -114,7 +114,8 @@ FROM {runs}
     "UNION ALL SELECT 'repeated-calls', CASE WHEN loops >= 10 THEN 'high' ELSE 'medium' END, loops, runs FROM u WHERE loops > 0 "
     "UNION ALL SELECT 'tool-errors', CASE WHEN quiet_errors >= 0.25 * quiet_calls THEN 'high' ELSE 'medium' END, quiet_errors, quiet_calls FROM u WHERE quiet_errors > 0 "
     "UNION ALL SELECT 'reliability', CASE WHEN failed_runs >= 0.1 * runs THEN 'high' ELSE 'medium' END, failed_runs, runs FROM u WHERE failed_runs > 0 "
-    "UNION ALL SELECT 'workflow', 'low', 0, groups FROM u WHERE groups = measurable_groups AND groups > 0",
+    "UNION ALL SELECT 'communication', CASE WHEN corrective >= 10 THEN 'high' ELSE 'medium' END, corrective, runs FROM u WHERE corrective > 0 "
+    "UNION ALL SELECT 'workflow', 'low', 0, groups FROM u WHERE groups = measurable_groups AND groups > 0 AND skill_runs = 0",
 )
 def a32(spark, sf):
     spans = ev(spark, sf)

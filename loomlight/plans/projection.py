@@ -19,7 +19,7 @@ SELECT CAST(user_id AS STRING) AS trace_id, CAST(event_id AS STRING) AS span_id,
   CASE WHEN event_id = root THEN NULL ELSE CAST(root AS STRING) END AS parent_span_id,
   event_id AS ord, EPOCH_US(ts) AS start_us, EPOCH_US(ts) + CAST(round(value * 1000) AS BIGINT) AS end_us, event_type AS name,
   CASE WHEN event_id = root THEN 'AGENT' WHEN event_type = 'signup' THEN 'LLM' WHEN event_type = 'purchase' THEN 'CHAIN' ELSE 'TOOL' END AS kind,
-  CASE WHEN event_id <> root AND event_type IN ('click', 'view', 'error') THEN concat('tool_', CAST(k % 8 AS STRING)) END AS tool,
+  CASE WHEN event_id <> root AND event_type IN ('click', 'view', 'error') THEN CASE k % 8 WHEN 3 THEN 'Skill' WHEN 5 THEN 'spawn_agent' WHEN 6 THEN 'Task' ELSE concat('tool_', CAST(k % 8 AS STRING)) END END AS tool,
   CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(k % 8 AS STRING) END AS args,
   k % 25 = 7 AS expected_blocking,
   CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'purchase' THEN 'OK' ELSE 'UNSET' END AS status_code,
@@ -141,6 +141,13 @@ SELECT event_id, k % 13 AS form, k % 3 AS code, CASE k % 13
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) AS e
 """
 
+# Files of context that a session index lists.
+CONTEXT_DOCS = """
+SELECT concat('/work/repo', CAST(s_nationkey % 7 AS STRING)) AS root, concat('/work/', s_name) AS path, CASE s_suppkey % 5 WHEN 0 THEN 'instruction-doc' WHEN 1 THEN 'reflection' WHEN 2 THEN 'handoff' WHEN 3 THEN 'skill-runs' ELSE 'evolve-log' END AS kind,
+  CAST(floor(abs(s_acctbal) / 60) AS INT) AS lines, s_suppkey % 3 = 0 AS has_toc, CASE WHEN s_suppkey % 5 > 2 THEN s_suppkey END AS rows, CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey % 4 ELSE 0 END AS invalid_rows, CASE WHEN s_suppkey % 5 = 3 THEN s_suppkey % 50 END AS linked_rows
+FROM supplier
+"""
+
 # What each event span says; stand-ins for commands and answers, which the tables don't have.
 SAID = """
 SELECT trace_id, ord, start_us, tool, name, status_code, kind = 'TOOL' AS is_tool,
@@ -160,7 +167,7 @@ def _actions() -> str:
 PROJECTIONS = {"ev": (EVENT_SPANS, ["events"]), "chat": (CHAT_SPANS, ["conversations"]), "ord": (ORDER_SPANS, ["orders", "lineitem"]), "tree": (TREE_NODES, ["region", "nation", "supplier", "customer"]), "act": (_actions(), ["ev"]),
     "ctx_files": (CONTEXT_FILES, ["nation"]), "fork_children": (FORK_CHILDREN, ["events"]), "fork_turns": (FORK_TURNS, ["events"]),
     "rec_steps": (RECORDED_STEPS, ["lineitem"]), "rerun_steps": (RERUN_STEPS, ["lineitem"]), "fix_tries": (FIX_ATTEMPTS, ["lineitem"]), "kin": (SESSION_KIN, ["events"]),
-    "entries": (INPUT_ENTRIES, ["events"]), "commands": (COMMANDS, ["events"]), "path_texts": (PATH_TEXTS, ["events"]), "tool_outputs": (TOOL_OUTPUTS, ["events"])}
+    "entries": (INPUT_ENTRIES, ["events"]), "commands": (COMMANDS, ["events"]), "path_texts": (PATH_TEXTS, ["events"]), "tool_outputs": (TOOL_OUTPUTS, ["events"]), "ctx_docs": (CONTEXT_DOCS, ["supplier"])}
 
 
 def for_spark(sql: str) -> str:

@@ -313,21 +313,19 @@ def n03(spark, sf):
     return parts.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]), "\n").alias("content"))
 
 
-@query("n13_ambiguous_parents", "SELECT count(*) AS kept, count(*) FILTER (bad IS NOT NULL) AS dropped_edges FROM ev LEFT JOIN (SELECT DISTINCT k AS bad FROM (SELECT k FROM ev GROUP BY k HAVING count(*) > 100)) ON k = bad")
+@query("n13_ambiguous_parents", "WITH pt AS (SELECT session_id, count(DISTINCT path) AS paths FROM kin GROUP BY session_id) SELECT kin.session_id, path, CASE WHEN paths > 1 THEN NULL ELSE parent_id END AS parent_id, coalesce(paths > 1, false) AS dropped_edge FROM kin LEFT JOIN pt ON pt.session_id = parent_id")
 def n13(spark, sf):
-    s = ev(spark, sf)
-    bad = s.groupBy("k").agg(F.count("*").alias("n")).filter("n > 100").select("k", F.lit(True).alias("bad"))
-    return s.join(bad, "k", "left").agg(F.count("*").alias("kept"), F.count_if("bad").alias("dropped_edges"))
+    return J.without_ambiguous_parents(load(spark, sf, "kin"), "session_id", "path", "parent_id").select("session_id", "path", "parent_id", "dropped_edge")
 
 
-@query("a22_spawn_fallback", "SELECT count(*) AS sessions, sum(n)::BIGINT AS spawns FROM (SELECT trace_id, count(*) AS n FROM ev a WHERE tool = 'tool_5' AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.trace_id = a.trace_id AND b.tool = 'tool_6') GROUP BY trace_id)")
+@query("a22_spawn_fallback", "SELECT count(*) AS sessions, sum(n)::BIGINT AS spawns FROM (SELECT trace_id, count(*) AS n FROM ev a WHERE tool = 'spawn_agent' AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.trace_id = a.trace_id AND b.tool = 'Task') GROUP BY trace_id)")
 def a22(spark, sf):
     s = ev(spark, sf)
-    own = s.filter("tool = 'tool_6'").select("trace_id").distinct()
-    return s.filter("tool = 'tool_5'").join(own, "trace_id", "left_anti").groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("sessions"), F.sum("n").alias("spawns"))
+    own = s.filter("tool = 'Task'").select("trace_id").distinct()
+    return s.filter("tool = 'spawn_agent'").join(own, "trace_id", "left_anti").groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("sessions"), F.sum("n").alias("spawns"))
 
 
-@query("a21_adoption", "WITH p AS (SELECT trace_id, max(CASE harness WHEN 'claude-code' THEN 2 WHEN 'codex' THEN 1 ELSE 0 END) AS r, count(*) FILTER (kind = 'TOOL' AND tool = 'tool_3') AS s FROM ev GROUP BY trace_id), c AS (SELECT *, CASE WHEN r = 2 OR s > 0 THEN 'supported' WHEN r = 1 THEN 'unsupported' ELSE 'unknown' END AS capability FROM p) SELECT capability, count(*) AS sessions, count(*) FILTER (s > 0) AS with_skill, sum(s)::BIGINT AS skill_calls, CASE WHEN capability = 'supported' THEN round(count(*) FILTER (s > 0) / count(*), 9) END AS penetration FROM c GROUP BY capability")
+@query("a21_adoption", "WITH p AS (SELECT trace_id, max(CASE harness WHEN 'claude-code' THEN 2 WHEN 'codex' THEN 1 ELSE 0 END) AS r, count(*) FILTER (kind = 'TOOL' AND tool = 'Skill') AS s FROM ev GROUP BY trace_id), c AS (SELECT *, CASE WHEN r = 2 OR s > 0 THEN 'supported' WHEN r = 1 THEN 'unsupported' ELSE 'unknown' END AS capability FROM p) SELECT capability, count(*) AS sessions, count(*) FILTER (s > 0) AS with_skill, sum(s)::BIGINT AS skill_calls, CASE WHEN capability = 'supported' THEN round(count(*) FILTER (s > 0) / count(*), 9) END AS penetration FROM c GROUP BY capability")
 def a21(spark, sf):
     return R.adoption(ev(spark, sf))
 
@@ -365,31 +363,42 @@ def a27(spark, sf):
     return parquet(spark, sf, "documents").agg(*(F.sum(c).cast("long").alias(n) for n, c in counts.items()))
 
 
-_TOTALS = "t AS (SELECT (SELECT count(*) FROM loops)::DOUBLE AS loops, count(*) FILTER (kind = 'TOOL' AND status_code = 'ERROR')::DOUBLE AS tool_errors, round(count(*) FILTER (kind = 'TOOL' AND status_code = 'ERROR') / count(*) FILTER (kind = 'TOOL'), 9) AS error_rate, sum(input_tokens) FILTER (kind = 'LLM')::DOUBLE AS input_tokens, count(*) FILTER (kind = 'LLM' AND cost_usd IS NULL)::DOUBLE AS usd_unknown, CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS empty FROM ev)"
-_RULES = " UNION ALL ".join(f"SELECT '{i}' AS id, {m} AS impact, CASE WHEN {m} >= {h} THEN 'high' WHEN {m} >= {lo} THEN 'medium' END AS severity FROM t" for i, m, lo, h in R.RULES)
+_INDEX = f"""{_LOOPS}, lp AS (SELECT trace_id, count(*) AS n FROM loops GROUP BY trace_id),
+ix AS (SELECT trace_id, bool_or(cwd IS NOT NULL) AS attributed, count(*) FILTER (kind = 'TOOL') AS calls, count(*) FILTER (kind = 'TOOL' AND status_code = 'ERROR') AS errors, coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0) AS tokens FROM ev GROUP BY trace_id),
+se AS (SELECT ix.*, coalesce(n, 0) AS loops, coalesce(errors / nullif(calls, 0), 0) AS rate FROM ix LEFT JOIN lp USING (trace_id)),
+sa AS (SELECT count(*) AS n, count(*) FILTER (NOT attributed) AS unattributed, count(*) FILTER (loops > 0) AS looping, sum(loops) AS loops, count(*) FILTER (errors >= 10 OR rate >= 0.1) AS failing, sum(errors) FILTER (errors >= 10 OR rate >= 0.1) AS errors, max(rate) FILTER (errors >= 10 OR rate >= 0.1) AS worst, max(tokens) FILTER (tokens >= 500000) AS largest FROM se),
+fa AS (SELECT count(*) AS files, count(DISTINCT root) AS roots, count(*) FILTER (kind = 'instruction-doc') AS docs, max(lines) FILTER (kind = 'instruction-doc' AND lines >= 100 AND NOT has_toc) AS long_doc, max(lines) FILTER (kind IN ('reflection', 'handoff') AND lines >= 40 AND NOT has_toc) AS long_note, sum(invalid_rows) AS invalid,
+  sum(rows - linked_rows) FILTER (kind = 'skill-runs' AND linked_rows < rows) AS unlinked, bool_or(kind = 'skill-runs' AND linked_rows < rows AND linked_rows = 0) AS never FROM ctx_docs), al AS (SELECT * FROM sa, fa)"""
 
 
-@query("a31_a33_o03_inspection", f"WITH {_LOOPS}, {_TOTALS} SELECT * FROM ({_RULES}) WHERE severity IS NOT NULL")
+@query(
+    "a31_a33_o03_inspection",
+    f"""WITH {_INDEX} SELECT * FROM (SELECT 'repo.missing-attribution' AS id, CASE WHEN unattributed >= 0.25 * n THEN 'high' ELSE 'medium' END AS severity, unattributed::BIGINT AS impact FROM al WHERE unattributed > 0
+    UNION ALL SELECT 'session.repeated-call-loops', CASE WHEN loops >= 10 OR looping / n >= 0.3 THEN 'high' ELSE 'medium' END, loops::BIGINT FROM al WHERE looping > 0
+    UNION ALL SELECT 'session.tool-errors', CASE WHEN errors >= 50 OR worst >= 0.3 THEN 'high' ELSE 'medium' END, errors::BIGINT FROM al WHERE failing > 0
+    UNION ALL SELECT 'session.large-token-runs', CASE WHEN largest >= 1000000 THEN 'medium' ELSE 'low' END, largest::BIGINT FROM al WHERE largest IS NOT NULL
+    UNION ALL SELECT 'context.none-indexed', 'medium', n FROM al WHERE files = 0 UNION ALL SELECT 'context.no-instruction-docs', 'medium', roots FROM al WHERE roots > 0 AND docs = 0
+    UNION ALL SELECT 'context.long-docs-without-toc', CASE WHEN long_doc >= 200 THEN 'medium' ELSE 'low' END, long_doc::BIGINT FROM al WHERE long_doc IS NOT NULL
+    UNION ALL SELECT 'context.long-narrative-docs-without-toc', CASE WHEN long_note >= 120 THEN 'medium' ELSE 'low' END, long_note::BIGINT FROM al WHERE long_note IS NOT NULL
+    UNION ALL SELECT 'context.invalid-jsonl', 'high', invalid::BIGINT FROM al WHERE invalid > 0
+    UNION ALL SELECT 'context.skill-run-trace-links', CASE WHEN never THEN 'medium' ELSE 'low' END, unlinked::BIGINT FROM al WHERE unlinked IS NOT NULL)""",
+)
 def a31(spark, sf):
     s = ev(spark, sf)
-    loops = A.stuck_loops(s, DAY_US).agg(F.count("*").cast("double").alias("loops"))
     error = (F.col("kind") == "TOOL") & (F.col("status_code") == "ERROR")
-    totals = s.agg(
-        F.count_if(error).cast("double").alias("tool_errors"),
-        F.round(F.try_divide(F.count_if(error), F.count_if(F.col("kind") == "TOOL")), 9).alias("error_rate"),
-        F.sum(F.when(F.col("kind") == "LLM", F.col("input_tokens"))).cast("double").alias("input_tokens"),
-        F.count_if((F.col("kind") == "LLM") & F.col("cost_usd").isNull()).cast("double").alias("usd_unknown"),
-        (F.count("*") == 0).cast("double").alias("empty"),
-    )
-    return R.inspect(totals.join(loops, F.lit(True)))  # one row each
+    tokens = F.coalesce(F.sum("input_tokens"), F.lit(0)) + F.coalesce(F.sum("output_tokens"), F.lit(0))
+    rows = s.groupBy("trace_id").agg(F.bool_or(F.col("cwd").isNotNull()).alias("attributed"), F.count_if(F.col("kind") == "TOOL").alias("calls"), F.count_if(error).alias("errors"), tokens.alias("tokens"))
+    loops = A.stuck_loops(s, DAY_US).groupBy("trace_id").agg(F.count("*").alias("loops"))
+    return R.inspect(rows.join(loops, "trace_id", "left").withColumn("loops", F.coalesce("loops", F.lit(0))), load(spark, sf, "ctx_docs"))
 
 
-@query("x10_a32_routes", f"WITH {_LOOPS}, l AS (SELECT trace_id, count(*) AS n FROM loops GROUP BY trace_id), f AS (SELECT trace_id, count(*) FILTER (parent_span_id IS NULL AND status_code = 'ERROR') AS failures FROM ev GROUP BY trace_id) SELECT trace_id, concat('baseline', CASE WHEN failures > 0 THEN ',failure' ELSE '' END, CASE WHEN l.n > 0 THEN ',loop' ELSE '' END) AS analysts FROM f LEFT JOIN l USING (trace_id)")
+@query("x10_a32_routes", f"WITH {_LOOPS}, l AS (SELECT trace_id, count(*) AS n FROM loops GROUP BY trace_id), f AS (SELECT trace_id, count(*) FILTER (parent_span_id IS NULL AND status_code = 'ERROR') AS failures, count(*) FILTER (link_kind = 'steered_by' AND link_span_id IS NOT NULL) AS steered FROM ev GROUP BY trace_id) SELECT trace_id, concat('baseline', CASE WHEN failures > 0 THEN ',failure' ELSE '' END, CASE WHEN l.n > 0 THEN ',loop' ELSE '' END, CASE WHEN steered > 0 THEN ',reaction' ELSE '' END) AS analysts FROM f LEFT JOIN l USING (trace_id)")
 def x10(spark, sf):
     s = ev(spark, sf)
     loops = A.stuck_loops(s, DAY_US).groupBy("trace_id").agg(F.count("*").alias("loops"))
-    failures = s.groupBy("trace_id").agg(F.count_if(F.col("parent_span_id").isNull() & (F.col("status_code") == "ERROR")).alias("failures"))
-    return R.analyst_route(failures.join(loops, "trace_id", "left").withColumn("corrective", F.lit(0)))
+    steered = F.expr("link_kind = 'steered_by' and link_span_id is not null")
+    signals = s.groupBy("trace_id").agg(F.count_if(F.col("parent_span_id").isNull() & (F.col("status_code") == "ERROR")).alias("failures"), F.count_if(steered).alias("corrective"))
+    return R.analyst_route(signals.join(loops, "trace_id", "left"))
 
 
 @query("r01_exclusions", "WITH c AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 1 END AS steps, CASE WHEN doc_id % 5 <> 0 THEN 'i' END AS image, quality AS gold, toxic = 1 AS submit_only FROM documents LEFT JOIN labels USING (doc_id)) SELECT CASE WHEN steps IS NULL THEN 'no raw trajectory' WHEN image IS NULL THEN 'no image' WHEN gold IS NULL THEN 'no gold' WHEN submit_only THEN 'submit-only gold' END AS reason, count(*) AS cases FROM c GROUP BY 1")

@@ -138,7 +138,7 @@ def a17(spark, sf):
     return W.trends(ev(spark, sf))
 
 
-@query("a19_span_structure", "SELECT sum(n)::BIGINT AS spans, sum(roots)::BIGINT AS rootless, sum(greatest(roots - 1, 0))::BIGINT AS extra_roots, count(*) FILTER (roots = 0) AS traces_without_root, (SELECT count(*) FROM ev a WHERE parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.span_id = a.parent_span_id)) AS orphans FROM (SELECT trace_id, count(*) AS n, count(*) FILTER (parent_span_id IS NULL) AS roots FROM ev GROUP BY trace_id)")
+@query("a19_span_structure", "SELECT sum(n)::BIGINT AS spans, sum(roots)::BIGINT AS rootless, sum(greatest(roots - 1, 0))::BIGINT AS extra_roots, count(*) FILTER (roots = 0) AS runs_without_root, (SELECT count(*) FROM ev a WHERE parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.span_id = a.parent_span_id)) AS orphans FROM (SELECT trace_id, count(*) AS n, count(*) FILTER (parent_span_id IS NULL) AS roots FROM ev GROUP BY trace_id)")
 def a19(spark, sf):
     return A.span_structure(ev(spark, sf))
 
