@@ -2,9 +2,9 @@
 
 Tokens are the lower-cased words of a text (ideographs alone, other runs without white
 space in parts of at most 40 characters). Each token is hashed once; the hash of a K-gram
-is the cyclic polynomial of its token hashes, cut to 36 bits. Of each window of WINDOW
+is the cyclic polynomial of its token hashes, cut to 40 bits. Of each window of WINDOW
 consecutive grams the smallest hash is kept, of equal ones the rightmost, with its position.
-Positions have 28 bits; a text of more tokens (half a GB at least) is an error, as they would wrap.
+Positions have 24 bits; a text of more tokens (32 MB at least) is an error, as they would wrap silently.
 So two texts that share K + WINDOW - 1 = 8 consecutive tokens share a fingerprint entry.
 
 A text of fewer than K tokens has one gram of them all, one of fewer than WINDOW grams one
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 K, WINDOW = 5, 4
 _TOKEN = r"\p{IsIdeographic}|[^\s\p{IsIdeographic}]{1,40}"
 #: Low bits of an entry that hold the position, counted down so that the smallest entry is the rightmost.
-_POSITION_BITS = 28
+_POSITION_BITS = 24
 _LAST = (1 << _POSITION_BITS) - 1
 
 
@@ -40,7 +40,7 @@ def _rotated(x: Column, bits: int) -> Column:
 
 
 def _entry(gram: Column, position: Column) -> Column:
-    """A sortable long: 36 bits of the hash, then the position counted down."""
+    """A sortable long: 40 bits of the hash, then the position counted down."""
     return gram.bitwiseAND(F.lit(~_LAST)).bitwiseOR(F.lit(_LAST) - position.bitwiseAND(F.lit(_LAST)))
 
 

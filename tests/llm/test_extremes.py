@@ -1,4 +1,4 @@
-"""Texts that once broke an engine: very many licence sentences, long runs of white space, positions past 24 bits."""
+"""Texts that once broke an engine: very many licence sentences, long runs of white space, more tokens than positions."""
 
 import itertools
 import random
@@ -55,7 +55,9 @@ def test_long_white_space_is_packed(spark):
     assert sum(r.length for r in found if r.doc_id == 1) > 2048 and sum(r.doc_id == 2 for r in found) == 2 and sum(r.doc_id is None for r in found) == 1
 
 
-def test_positions_beyond_24_bits_do_not_wrap(spark):
-    entry = winnow._entry(F.lit(-1).cast("long"), F.col("p"))
-    rows = spark.createDataFrame([(5,), ((1 << 24) + 5,)], "p long").select("p", winnow.as_text(F.array(entry)).alias("t")).collect()
-    assert [int(r.t.split(":")[1]) for r in rows] == [5, (1 << 24) + 5]
+def test_more_tokens_than_positions_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "_LAST", 15)
+    df = spark.createDataFrame([("a " * 15,), ("a " * 16,)], "t string")
+    assert df.filter("length(t) = 30").select(winnow.fingerprint(F.col("t"))).count() == 1
+    with pytest.raises(Exception, match="more than 15 tokens"):
+        df.select(winnow.fingerprint(F.col("t"))).collect()
