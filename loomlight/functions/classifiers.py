@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What commands verify, change or read, and texts that claim to be done.
@@ -70,8 +72,9 @@ NO_TASK_COMMAND = r"<command-name>/(?:clear|copy|effort|exit|login|mcp|model|plu
 # Redaction rules by name, in the order in which they apply. Loops over groups
 # give nothing back (*+, ++), so that they need no stack; the one over what stands in $( ) is
 # told as parts up to each closing bracket for that, and ends at the last one of the line all the same.
+# An email's name is looked for where such a run or the rest after a match begins only, for that ends at the same @ from anywhere in it.
 REDACTIONS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "github-token": r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,})\b",
     "aws-akid": r"\bAKIA[0-9A-Z]{16}\b",
@@ -81,9 +84,25 @@ REDACTIONS = {
     "private-key": r"-----BEGIN(?:[A-Z ]+)?PRIVATE KEY-----[\s\S]*?-----END(?:[A-Z ]+)?PRIVATE KEY-----",
     "assigned-secret": r"""(?i)(?<![A-Za-z0-9_-])(?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)(?![A-Za-z0-9_-])\+?=(?:\$\((?:\\.|[^)\\\r\n])*+\)(?:(?:\\.|[^)\\\r\n])*+\))*+|\$\{(?:\\.|[^}\\\r\n])*+\}|`(?:\\.|[^`\\\r\n])*+`|\$?'(?:\\.|[^'\\\r\n])*+'|\$?"(?:\\.|[^"\\\r\n])*+"|\\[^\r\n]|[^\s;&|<>()"'`\\\r\n])++""",
     "config-secret": r"""(?im)(?:^[ \t]*["']?(?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)(?![A-Za-z0-9_-])["']?[ \t]*[:=][ \t]*|["'](?:[A-Za-z_][A-Za-z0-9_-]*)?(?:api[_-]?key|secret|token|password|passwd|access[_-]?token|client[_-]?secret)["']\s*:\s*)["']?[A-Za-z0-9._\-]{12,}["']?""",
-    "url-userinfo": r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@",
+    "url-userinfo": r"(?i)\b[a-z][a-z0-9+.-]*+://[^\s/:@]+:[^\s/@]+@",
     "url-secret-param": r"""(?i)[?&](?:access[_-]?token|api[_-]?key|apikey|auth|token|secret|password|sig|signature)=[^&\s"'#)]+""",
 }
+# What stands in each text that a rule of REDACTIONS matches: one of each group at least, the last group's in any case.
+_ASSIGNED = ("key", "secret", "token", "passw")
+REDACTION_MARKS = {
+    "email": (("@",), ()),
+    "ipv4": ((".",), ()),
+    "github-token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), ()),
+    "aws-akid": (("AKIA",), ()),
+    "slack-token": (("xox",), ()),
+    "jwt": (("eyJ",), ()),
+    "bearer": ((), ("bearer",)),
+    "private-key": (("PRIVATE KEY-----",), ()),
+    "assigned-secret": (("=",), _ASSIGNED),
+    "config-secret": (("=", ":"), _ASSIGNED),
+    "url-userinfo": (("://",), ()),
+    "url-secret-param": (("?", "&"), ("token=", "key=", "auth=", "secret=", "password=", "sig=", "signature=")),
+}
 # Commands that verify, calls of curl and how they send something, tools that wait by design.
 VERIFY_COMMAND = r"(?i)\b(?:pnpm|npm|yarn|bun)\s+(?:run\s+)?(?:test|typecheck|lint|build|check)(?::[A-Za-z0-9:_-]+)?\b|\b(?:vitest|jest|pytest|tsc|biome|eslint|sha256sum|pdfinfo|pdftotext)\b|\bgo\s+test\b|\bcargo\s+(?:test|check|clippy|build)\b|\bgit\s+(?:status|diff|show|merge-tree)\b|\bgh-drew\s+pr\s+(?:view|checks)\b"
 CURL = r"(?i)\bcurl\b"
@@ -174,13 +193,29 @@ def redacted(text: Column, rules: dict[str, str] = REDACTIONS) -> Column:
     return text
 
 
-def redaction_counts(text: Column, rules: dict[str, str] = REDACTIONS) -> dict[str, Column]:
-    """Matches of each rule, each in what the rules before it left."""
-    out = {}
+def may_hold(text: Column, name: str, pattern: str) -> Column:
+    """Whether a text has what each match of the rule holds (true for rules of others); far cheaper than the rule."""
+    found = F.lit(True)
+    if REDACTIONS.get(name) == pattern:
+        plain, folded = REDACTION_MARKS[name]
+        for group, of in ((plain, text), (folded, F.lower(text))):
+            if group:
+                found = found & reduce(Column.__or__, (of.contains(m) for m in group))
+    return found
+
+
+def with_redaction_counts(rows: DataFrame, text: str, rules: dict[str, str] = REDACTIONS) -> DataFrame:
+    """The rows with the matches of each rule (null: null text), each in what the rules before it left.
+
+    Each rule is a step of its own that reads the text of the one before; as one expression the
+    rules before it would run again for every rule after. Texts without matches are not rewritten.
+    """
+    rows = rows.withColumn("__left", F.col(text))
     for name, pattern in rules.items():
-        out[name] = F.regexp_count(text, F.lit(ascii_bounds(pattern)))
-        text = F.regexp_replace(text, ascii_bounds(pattern), f"[{name}]")
-    return out
+        left, rule = F.col("__left"), ascii_bounds(pattern)
+        rows = rows.withColumn(name, F.when(may_hold(left, name, pattern), F.regexp_count(left, F.lit(rule))).when(left.isNotNull(), 0))
+        rows = rows.withColumn("__left", F.when(F.col(f"`{name}`") > 0, F.regexp_replace(left, rule, f"[{name}]")).otherwise(left))
+    return rows.drop("__left")
 
 
 def inferred_kind(declared: Column, span_type: Column, name: Column, model: Column, tool: Column) -> Column:

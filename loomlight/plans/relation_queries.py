@@ -359,8 +359,8 @@ def _redaction_sql() -> str:
 
 @query("a27_f15_redaction_counts", _redaction_sql())
 def a27(spark, sf):
-    counts = C.redaction_counts(F.col("text"))
-    return parquet(spark, sf, "documents").agg(*(F.sum(c).cast("long").alias(n) for n, c in counts.items()))
+    counted = C.with_redaction_counts(parquet(spark, sf, "documents").select("text"), "text")
+    return counted.agg(*(F.sum(f"`{n}`").cast("long").alias(n) for n in C.REDACTIONS))
 
 
 _INDEX = f"""{_LOOPS}, lp AS (SELECT trace_id, count(*) AS n FROM loops GROUP BY trace_id),
