@@ -66,7 +66,7 @@ SHARES = (1 / 16, 1.0)
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
 #: Lists are met in so many shares of the keys, each of which frees its shuffle before the next.
-WAVES = 4
+WAVES = 6
 BITMAP_BITS = 22
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -133,8 +133,12 @@ class Threshold:
         return out
 
     def _spare(self, differences: int) -> tuple[int, int]:
-        """Parts beyond the differences, and how many of those that stay equal may be empty."""
-        return 3 + differences // 8, 2 + differences // 16
+        """Parts beyond the differences, and how many of those that stay equal may be empty.
+
+        A quarter more parts let a set leave so many of its longest lists that those of common
+        phrases, whose pairs grow as the square of the rows, are hardly ever among the rest.
+        """
+        return 3 + differences // 4, 2 + differences // 16
 
     def shared(self, k: int) -> int:
         """The least number of lists of a class that linking sets share."""
