@@ -8,8 +8,9 @@ in the bitmap and its first and last n - 1 words are in the bitmap of frequent p
 (Apriori). Bitmaps only ever let too much through, so results are exact; with BITS bits
 each (2 MB) they are bounded whatever the corpus, and prune less beyond some billion words.
 
-Each task works in pieces of WORDS words: words get numbers, phrases are sorted arrays of
-numbers, and only distinct phrases with their counts leave the task; Spark adds them up. So
+Each task works in pieces of WORDS words: words get numbers, places whose phrases are not allowed
+go before anything is sorted, the others' phrases are sorted arrays of numbers (buckets are counted
+from the hashes at the places), and only distinct phrases with their counts leave the task; Spark adds them up. So
 a phrase that stands in every text is one row a piece, and texts are never shuffled. Counts that reach the
 threshold are written after each pass.
 
@@ -22,7 +23,9 @@ neither. Empty tables give no rows. A long text may be of any size that an Arrow
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -72,68 +75,65 @@ class Piece:
     """Words of one language that are counted together."""
 
     def __init__(self, lang: str) -> None:
-        self.lang, self.ids = lang, {b"\n": _MARK, b"": _EMPTY}
+        self.lang, self.ids = lang, defaultdict(count(2).__next__, {b"\n": _MARK, b"": _EMPTY})
         self.parts: list[np.ndarray] = []
         self.size = 0
+        self._found: tuple[np.ndarray, np.ndarray] | None = None
 
     def add(self, text: bytes) -> None:
-        ids = self.ids
         words = text.lower().translate(_ONE_MARK).replace(b"\n", b" \n ").split(b" ")
-        found = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
+        found = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
         self.parts += [found[found != _EMPTY], np.full(1, _MARK, np.int32)]
         self.size += len(words)
-
-    def phrases(self, length: int, allowed: list[tuple[Bitmap, Bitmap]], count: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The distinct phrases of a length that allowed lets through (their words, if count), their times and hashes."""
-        words = list(self.ids)
-        place = np.concatenate([np.zeros(1, np.int32), *self.parts])
-        hashes = word_hashes(words, self.lang)
-        last = np.where(place > _EMPTY, place, 0).astype(np.int64)
-        # the number of the phrase that ends at each place (0: none that may count), one word longer each time
-        number, known = last, hashes
-        chains: list[tuple[np.ndarray, np.ndarray]] = []
+        self._found = None
+
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the word at each place (0: none), and the hashes of words by number."""
+        if self._found is None:
+            place = np.concatenate([np.zeros(1, np.int32), *self.parts])
+            self._found = np.where(place > _EMPTY, place, 0).astype(np.int64), word_hashes(list(self.ids), self.lang)
+        return self._found
+
+    def _ends(self, length: int, allowed: list[tuple[Bitmap, Bitmap]]) -> tuple[np.ndarray, np.ndarray]:
+        """The places where phrases of a length end that allowed lets through, and the hashes of these phrases."""
+        last, hashes = self._words()
+        at, known = np.flatnonzero(last), hashes[last[last > 0]]
         for n in range(2, length + 1):
-            # both shorter phrases in it may count
-            there = (number[:-1] > 0) & (number[1:] > 0)
-            distinct, at = np.unique(np.where(there, number[:-1] << 32 | last[1:], -1), return_inverse=True)
-            first, second, good = distinct >> 32, distinct & 0xFFFFFFFF, distinct >= 0
-            found = np.zeros(len(distinct), np.uint64)
-            found[good] = mixed(known[first[good]], hashes[second[good]])
+            # both shorter phrases in it may count: they end here and one place before
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            found = mixed(known[pair], hashes[last[at[pair + 1]]])
             if n - 2 < len(allowed):
-                good[good] = self._passes(chains, known, hashes, first[good], second[good], found[good], *allowed[n - 2])
-            chains.append((np.append(0, first[good]), np.append(0, second[good])))
-            known = np.append(np.zeros(1, np.uint64), found[good])
-            number = np.append(0, np.where(good, np.cumsum(good), 0)[at])
-        times = np.bincount(number, minlength=len(known))[1:]
-        there = times > 0
-        return (self._spelled(words, chains, there) if count else []), times[there], known[1:][there]
-
-    @staticmethod
-    def _passes(chains: list, known: np.ndarray, hashes: np.ndarray, first: np.ndarray, second: np.ndarray, found: np.ndarray, buckets: Bitmap, shorter: Bitmap) -> np.ndarray:
-        """Whether the bucket, the words but the last and the words but the first of each phrase are allowed."""
-        good = buckets.has(found) & shorter.has(known[first])
-        rest = second[good]
-        # the words but the first, from the second on
-        row, tail = first[good], [rest]
-        for head, last in reversed(chains):
-            tail.append(last[row])
-            row = head[row]
-        tail.reverse()
-        h = hashes[tail[0]]
-        for w in tail[1:]:
-            h = mixed(h, hashes[w])
-        good[good] = shorter.has(h)
-        return good
-
-    @staticmethod
-    def _spelled(words: list[bytes], chains: list, there: np.ndarray) -> list[bytes]:
-        row = np.flatnonzero(there) + 1
-        columns = []
-        for head, last in reversed(chains):
-            columns.append([words[i] for i in last[row].tolist()])
-            row = head[row]
-        columns.append([words[i] for i in row.tolist()])
-        return list(map(b" ".join, zip(*reversed(columns), strict=True)))
+                buckets, shorter = allowed[n - 2]
+                # whether the bucket, the words but the last and the words but the first of each phrase are allowed
+                frequent = shorter.has(known)
+                good = frequent[pair] & frequent[pair + 1] & buckets.has(found)
+                pair, found = pair[good], found[good]
+            at, known = at[pair + 1], found
+        return at, known
+
+    def buckets(self, length: int, allowed: list[tuple[Bitmap, Bitmap]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the phrases of a length that allowed lets through, and how many phrases come in each."""
+        return np.unique(slots(self._ends(length, allowed)[1], bits).astype(np.int32), return_counts=True)
+
+    def phrases(self, length: int, allowed: list[tuple[Bitmap, Bitmap]], spell: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct phrases of a length that allowed lets through (their words, if spell), their times and hashes."""
+        last, hashes = self._words()
+        at, _ = self._ends(length, allowed)
+        rows = [last[at - length + 1 + i] for i in range(length)]
+        each = len(hashes).bit_length()
+        if length * each < 64:
+            packed = np.zeros(len(at), np.int64)
+            for row in rows:
+                packed = packed << each | row
+            distinct, times = np.unique(packed, return_counts=True)
+            rows = [distinct >> each * (length - 1 - i) & (1 << each) - 1 for i in range(length)]
+        else:
+            rows, times = np.unique(np.stack(rows), axis=1, return_counts=True)
+        known = hashes[rows[0]]
+        for row in rows[1:]:
+            known = mixed(known, hashes[row])
+        words = list(self.ids) if spell else []
+        return ([b" ".join(x) for x in zip(*([words[i] for i in row.tolist()] for row in rows), strict=True)] if spell else []), times, known
 
 
 _ROWS = "lang string, phrase binary, bucket int, n long"
@@ -156,9 +156,8 @@ def _pass(texts: DataFrame, length: int, longest: int, allowed: list[tuple[Bitma
         if length == 1:
             yield _rows(piece.lang, [b""], None, times.sum(keepdims=True))
         if length < longest:
-            _, times, hashes = piece.phrases(length + 1, sent.value, False)
-            slot, at = np.unique(slots(hashes, bits), return_inverse=True)
-            yield _rows(piece.lang, None, slot, np.bincount(at, times, len(slot)))
+            slot, times = piece.buckets(length + 1, sent.value, bits)
+            yield _rows(piece.lang, None, slot, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[str, Piece] = {}
